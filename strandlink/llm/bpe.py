@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from strandlink.llm.common import map_arrow, steps, utf8
 
-#: Words that a worker remembers before it starts afresh.
-MEMORY_WORDS = 600_000
+#: Words that a worker remembers before it starts a new generation; those in use move along.
+MEMORY_WORDS = 400_000
 
 # The word pattern of the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,6 +91,7 @@ class TrieBpe:
         self.size = {i: len(s) for i, s in self.symbols.items()}
         self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pattern = regex.compile(WORD_PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         top = max(self.text) + 1
@@ -171,8 +172,8 @@ class TrieBpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        docs, fresh, known = [], set(), self.known
+            self.known, self.older = {}, self.known
+        docs, fresh, known, older = [], set(), self.known, self.older
         for t in texts:
             if self.cut is not None and "<|" in t:
                 ws: list = []
@@ -185,7 +186,9 @@ class TrieBpe:
                 ws = self._words(t)
             docs.append(ws)
             fresh.update(ws)
-        self.learn({w for w in fresh if isinstance(w, str) and w not in known})
+        new = {w for w in fresh if isinstance(w, str) and w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        self.learn({w for w in new if w not in older})
         for i in self.special.values():
             known[i] = np.array([i], "<u4").tobytes()
         get = known.__getitem__

@@ -7,18 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe
+from strandlink.llm import bpe, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    shards = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_store(shards, shards._store)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe}
+    return {"op4_token_store": op4_token_store, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

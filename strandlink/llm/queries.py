@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, token_store
+from strandlink.llm import bpe, langid, quality, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
@@ -19,13 +19,23 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(shards, shards._store)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_store": op4_token_store, "op6_bpe": op6_bpe}
+    return {"op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

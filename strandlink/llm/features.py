@@ -55,8 +55,8 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray, bits: int):
 
 
 def bounded_ids(rows: DataFrame, id_col: str, size: Column, label: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """Rows of each label with the smallest id hashes: ``max_rows`` and ``max_bytes`` a label at most (but for
-    one hash bin, where a single bin holds more).
+    """Rows of each label with the smallest id hashes: ``max_rows`` and ``max_bytes`` at most, shared evenly by
+    the labels (one hash bin of a label is always kept).
 
     Only counts for each label and hash bin reach the driver.  The choice depends on the rows alone, not on
     their order or partitioning.
@@ -64,10 +64,10 @@ def bounded_ids(rows: DataFrame, id_col: str, size: Column, label: str, max_rows
     n_bins = 4096
     binned = rows.withColumn("_bin", hash_bins(id_col, n_bins))
     counts = binned.groupBy(label, "_bin").agg(F.count("*").alias("n"), F.sum(size).alias("b")).toPandas()
-    cut = {}
+    cut, share = {}, max(1, counts[label].nunique())
     for value, g in counts.groupby(label):
         g = g.sort_values("_bin")
-        fit = (g["n"].cumsum() <= max_rows) & (g["b"].fillna(0).cumsum() <= max_bytes)
+        fit = (g["n"].cumsum() <= max_rows / share) & (g["b"].fillna(0).cumsum() <= max_bytes / share)
         cut[value] = int(g["_bin"][fit].max()) if fit.any() else int(g["_bin"].min())
         if fit.all():
             cut[value] = n_bins

@@ -18,9 +18,9 @@ from strandlink.llm.features import bounded_ids, char_ngrams, characters, lowere
 
 BITS = 16
 SIZES = (1, 2, 3)
-#: Bounds of the training sample for each language.
-SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 6_000_000
+#: Bounds of the training sample, shared evenly by the languages.
+SAMPLE_ROWS = 12_000
+SAMPLE_BYTES = 24_000_000
 SMOOTHING = 0.5
 
 
@@ -37,12 +37,12 @@ def _grams(data, offsets):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NaiveBayes:
-    """Learn from rows with a text and a language, at most SAMPLE_ROWS and SAMPLE_BYTES a language."""
+    """Learn from rows with a text and a language, at most SAMPLE_ROWS and SAMPLE_BYTES in all."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
     counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
-    for r in bounded_ids(rows, "id", F.octet_length("text"), "lang", SAMPLE_ROWS, SAMPLE_BYTES).select("lang", "text").toLocalIterator():
+    for r in bounded_ids(rows, "id", F.octet_length("text"), "lang", SAMPLE_ROWS, SAMPLE_BYTES).select("lang", "text").collect():
         c = counts.setdefault(r["lang"], np.zeros((len(SIZES), 1 << BITS)))
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         for k, (b, _) in enumerate(_grams(*lowered(pa.array([r["text"]])))):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlink.llm.common import crc_mod, map_arrow, steps
+from strandlink.plans.stages import drop, materialize
 from strandlink.llm.features import bounded_ids, char_ngrams, characters, lowered, utf8, word_buckets
 
 BITS = 17
@@ -25,7 +26,11 @@ CHAR_SIZES = (2, 3)
 DIM = 8
 EPOCHS = 6
 BATCH = 32
-RATE = 0.5
+RATE = 0.4
+#: The mean spreads a text's gradient thinly over its features; vectors learn faster than the layer by this factor.
+SCALE = 8
+#: The bucket of a repeated word.
+ECHO = 0
 #: Bounds of the training sample for each label.
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 10_000_000
@@ -43,9 +48,12 @@ class Embeddings:
 def buckets(data: np.ndarray, offsets: np.ndarray):
     """Bucket and row of each feature: words in the first half of the table, character n-grams in the second.
 
-    Case is kept: it carries quality.
+    Case is kept: it carries quality.  A word that repeats the word before it adds a feature of its own, the same
+    for all words: a word bigram with both words' identity hashed away.
     """
     b, r = word_buckets(data, offsets, BITS - 1)
+    again = np.flatnonzero((b[1:] == b[:-1]) & (r[1:] == r[:-1])) + 1
+    b, r = np.concatenate((b, np.full(len(again), ECHO))), np.concatenate((r, r[again]))
     cp, at = characters(data, offsets)
     all_b, all_r = [b], [r]
     for n in CHAR_SIZES:
@@ -98,8 +106,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Embeddings:
             back = g @ layer.T
             layer -= rate * mean.T @ g
             bias -= rate * 0.05 * g.sum(0)
-            # the mean spreads a text's gradient over its features; scale it up so that each learns
-            delta = (back[row] * (c * np.float32(rate * 40))[:, None]).astype(np.float32)
+            delta = (back[row] * (c * np.float32(rate * SCALE))[:, None]).astype(np.float32)
             for d in range(DIM):
                 vectors[:, d] -= np.bincount(u, delta[:, d], n_buckets).astype(np.float32)
     diff = layer[:, 1] - layer[:, 0]
@@ -118,24 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
         .groupBy("id")
         .agg(F.max("y").alias("y"))
     )
-    chosen = bounded_ids(known, "id", F.lit(0), "y", SAMPLE_ROWS, 1)
+    chosen = bounded_ids(known, "id", F.lit(0), "y", 2 * SAMPLE_ROWS, 1)
     ids = chosen.toPandas()
     spark = docs.sparkSession
     # at most 2 * SAMPLE_ROWS ids (and one hash bin): small enough to broadcast by construction
     small = F.broadcast(spark.createDataFrame(ids if len(ids) else pd.DataFrame({"id": pd.Series(dtype="int64"), "y": pd.Series(dtype="int32")}), "id long, y int"))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(small, "id")
-    rows = rows.sortWithinPartitions(F.xxhash64("id"))
-    texts, ys, used = [], [], {0: 0, 1: 0}
-    got = []
-    for r in rows.toLocalIterator():
-        size = len(r["text"].encode())
-        if used[r["y"]] + size <= SAMPLE_BYTES:
-            used[r["y"]] += size
-            got.append((r["id"], r["text"], r["y"]))
-    got.sort()
-    for _, t, y in got:
-        texts.append(t)
-        ys.append(y)
+    sample = materialize(rows, "labelled")
+    sizes = sample.select("id", "y", F.octet_length("text").alias("size")).toPandas()
+    sizes = sizes.sort_values(["id", "y", "size"])
+    fits = sizes.groupby("y")["size"].cumsum() <= SAMPLE_BYTES
+    within = [int(i) for i in sizes["id"][fits].unique()]
+    got = sorted((r["id"], r["text"], r["y"]) for r in sample.filter(F.col("id").isin(within)).collect()) if within else []
+    drop(sample)
+    texts, ys = [t for _, t, _ in got], [y for _, _, y in got]
     return train(texts, np.array(ys, np.int64))
 
 

@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, langid, quality, token_store
+from strandlink.llm import bpe, embedding_dedup, langid, quality, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -35,7 +40,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op6_bpe": op6_bpe}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

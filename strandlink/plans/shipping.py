@@ -27,4 +27,6 @@ def ship(spark: SparkSession) -> None:
                     p = os.path.join(d, n)
                     z.write(p, os.path.relpath(p, root))
     sc.addPyFile(out)
+    # rows of these tables hold whole texts: smaller batches bound what a Python worker holds at once
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     _shipped.add(sc.applicationId)

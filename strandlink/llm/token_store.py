@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,11 +43,26 @@ SAMPLE_DOCS = 2_000
 SAMPLE_IDS = 2_000_000
 DICT_BYTES = 64 << 10
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 250_000
 
 _tokenizers: dict[str, _Pieces] = {}
 
 
+class _Cache(dict):
+    """Ids of words that follow a space, as little-endian unsigned 32-bit integers; asks the library for others."""
+
+    def __init__(self, tok: Tokenizer, older: dict):
+        super().__init__()
+        self.tok, self.older = tok, older
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = array("I", self.tok.encode(" " + word, add_special_tokens=False).ids).tobytes()
+        self[word] = out
+        return out
+
+
 class _Pieces:
     """The library's encoder, asked once for each distinct piece of text.
 
@@ -56,40 +72,30 @@ class _Pieces:
     """
 
     def __init__(self, path: str):
-        import regex
-
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        safe = r"[\x21-\x7e¡-¬®-ɏ]"
-        self.odd = regex.compile(rf" (?!{safe})")
-        self.cut = regex.compile(rf"(?= {safe})")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.odd.search(text):
+        safe = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]"
+        self.odd = re.compile(rf" (?!{safe})")
+        self.cut = re.compile(rf" (?={safe})")
+        self.known = _Cache(self.tok, {})
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            first, rest = text, []
+        elif self.odd.search(text):
+            first, *rest = self.cut.split(text)
+        else:
             first, *rest = text.split(" ")
-            return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-        return self.cut.split(text)
+        head = array("I", self.tok.encode(first, add_special_tokens=False).ids).tobytes() if first else b""
+        return head + b"".join(map(self.known.__getitem__, rest))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_PIECES:
-            self.known, self.older = {}, self.known
-        known, older, docs, fresh = self.known, self.older, [], set()
-        for t in texts:
-            p = [t] if any(s in t for s in self.special) else self.pieces(t)
-            docs.append(p)
-            fresh.update(p)
-        new = [p for p in fresh if p not in known]
-        if older:
-            known.update((p, older[p]) for p in new if p in older)
-            new = [p for p in new if p not in older]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in docs]
+            self.known = _Cache(self.tok, dict(self.known))
+        return [self.encode(t) for t in texts]
 
 
 def pieces(path: str) -> _Pieces:
@@ -152,6 +158,20 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
+_compressors: dict[bytes, zstandard.ZstdCompressor] = {}
+
+
+def _compressor(zdict: bytes) -> zstandard.ZstdCompressor:
+    """One compressor a worker, with the dictionary digested once for all documents."""
+    if zdict not in _compressors:
+        d = _dictionary(zdict)
+        if d is not None:
+            d.precompute_compress(level=3)
+        _compressors.clear()
+        _compressors[zdict] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=True, write_checksum=False)
+    return _compressors[zdict]
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode documents and write them in ascending id order; returns one row for each shard:
     ``(shard, path, n_docs, n_tokens, first)`` with ``first`` the number of ids in all shards before it.
@@ -175,7 +195,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
     cuts = np.array(sorted(set(cuts)), np.int64)
 
     def compress(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(zdict), write_content_size=True, write_checksum=False)
+        c = _compressor(zdict)
         ids, null = b.column(0).fill_null(-(2**63)).to_numpy(), b.column(0).is_null()
         out, n = [], []
         for x in b.column(1).to_pylist():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, embedding_dedup, langid, quality, token_store
+from strandlink.llm import bpe, embedding_dedup, langid, ngram_join, quality, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
@@ -39,8 +39,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), percent=80, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op6_bpe": op6_bpe}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

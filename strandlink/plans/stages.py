@@ -8,6 +8,7 @@ it back.  Unlike ``localCheckpoint`` such a table survives the loss of an execut
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -41,12 +42,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with an empty lineage."""
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back with an empty lineage.
+
+    ``release`` asks the driver to collect its garbage, after which Spark deletes the shuffle files of frames that
+    are no longer referenced.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._stage_path = path
     return out
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,29 @@ def as_binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return arr
 
 
+def zip_arrays(*arrays: np.ndarray) -> bytes:
+    """Several arrays in one compressed blob: shuffled columns rather than rows."""
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unzip_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(raw, "<i8", 1 + len(kinds))[1:]
+    out, at = [], 8 * (1 + len(kinds))
+    for kind, size in zip(kinds, sizes.tolist()):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def by_part(part: np.ndarray):
+    """Stable order by partition, the partitions, and where each begins and ends."""
+    order = np.argsort(part, kind="stable")
+    names, begin = np.unique(part[order], return_index=True)
+    return order, names, begin, np.append(begin[1:], len(part))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -188,19 +212,5 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
     return out.tobytes()
 
 
-def passes(bitmap, column: str, bits: int = BITMAP_BITS) -> Column:
-    """Whether an id is set in a broadcast bitmap; a vectorised filter over the id column alone."""
-
-    @F.pandas_udf("boolean")
-    def hit(slots):
-        m = np.frombuffer(bitmap.value, np.int64)
-        s = slots.to_numpy()
-        import pandas as pd
-
-        return pd.Series(((m[s >> 6] >> (s & 63)) & 1).astype(bool))
-
-    return hit(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
-
-
 def hash_bins(column: str, n: int = 4096) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(17)), F.lit(n))

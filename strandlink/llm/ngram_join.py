@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import U, as_binary, distinct_sets, id_bitmap, map_arrow, mix64, passes, shingles, steps, utf8, word_hashes
+from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, distinct_sets, id_bitmap, map_arrow, mix64, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
 from strandlink.operators.components import connected_components
 from strandlink.plans.stages import drop, materialize
 
@@ -29,6 +29,8 @@ SKETCH_BITS = 20
 SKETCH_PART = 4096
 #: A list's usual length; more frequent shingles are salted.
 LIST = 2048
+#: Postings that one partition holds on average.
+PER_PART = 500_000
 STAR_ROUNDS = 3
 
 
@@ -113,23 +115,87 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int =
     return map_arrow(src, fn, "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, ranks binary")
 
 
-def _postings(b: pa.RecordBatch) -> pa.RecordBatch | None:
-    """A row for each prefix shingle of each class."""
-    ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
-    flat = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-    lens = np.array([len(x) for x in flat], np.int64)
-    tokens = np.concatenate(flat)
-    ranks = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(3).to_pylist()]).astype(np.int64)
-    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens)
-    group = np.array([mix64(x[:1] + np.add.reduce(mix64(x)))[0] if len(x) else U(0) for x in flat], np.uint64)
-    group = mix64(group + sizes.astype(np.uint64)).view(np.int64)
-    who = np.repeat(ids, lens)
-    spread = np.left_shift(1, np.maximum(ranks + 1 - int(np.log2(LIST)), 0)).astype(np.uint64)
-    salt = (mix64(who.astype(np.uint64)) % spread).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(who), pa.array(np.repeat(sizes, lens).astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(np.repeat(group, lens)), pa.array(spread > 1)],
-        names=["token", "salt", "cid", "size", "pos", "grp", "salted"],
-    )
+def _postings(reps: DataFrame, parts: int) -> DataFrame:
+    """Prefix shingles of classes ``(cid, size, prefix, ranks)``, packed by hash partition.
+
+    A blob holds 32 bits of each shingle (its partition knows more of it; a collision only adds a candidate), so a
+    posting takes a few bytes.  A shingle that is frequent by its rank goes to several partitions, by class.
+    """
+
+    def pack(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            flat = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            lens = np.array([len(x) for x in flat], np.int64)
+            tokens = np.concatenate(flat)
+            ranks = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(3).to_pylist()]).astype(np.int64)
+            begin = np.cumsum(lens) - lens
+            pos = np.arange(len(tokens)) - np.repeat(begin, lens)
+            group = mix64(np.add.reduceat(mix64(tokens), begin) + sizes.astype(np.uint64)).view(np.int64)
+            which = np.repeat(np.arange(len(ids)), lens)
+            lg = np.maximum(ranks + 1 - int(np.log2(LIST)), 0).astype(np.uint8)
+            part = (mix64(tokens) + _salt(ids[which], lg)) % U(parts)
+            order, names, first, end = by_part(part.astype(np.int64))
+            out = []
+            for x, y in zip(first, end):
+                pick = order[x:y]
+                known, local = np.unique(which[pick], return_inverse=True)
+                out.append(zip_arrays((tokens[pick] >> U(32)).astype("<u4"), local.astype("<u4"), pos[pick].astype("<u4"), lg[pick], ids[known].astype("<i8"), sizes[known].astype("<u4"), group[known].astype("<i8")))
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
+
+    return reps.mapInArrow(pack, "q int, blob binary")
+
+
+def _salt(ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
+    return mix64(ids.astype(np.uint64)) & ((U(1) << lg.astype(np.uint64)) - U(1))
+
+
+_LISTS = "token long, cid long, size int, pos int, grp long, salted boolean, leader long, leader_size int, leader_pos int"
+
+
+def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
+    """The lists of two or more classes, a row for each, with the list's leader: its least class.  Lists of frequent
+    shingles are kept whatever their length, since their other parts lie elsewhere."""
+
+    def close(q: int, held: list[bytes]) -> pa.RecordBatch | None:
+        cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "u1", "<i8", "<u4", "<i8") for x in held]
+        h, pos, lg = (np.concatenate([c[k] for c in cols]) for k in (0, 2, 3))
+        cid, size, group = (np.concatenate([c[k][c[1]] for c in cols]) for k in (4, 5, 6))
+        home = ((U(q) + U(parts) * (U(1) + _salt(cid, lg) // U(parts)) - _salt(cid, lg)) % U(parts)).astype(np.int64)
+        token = h.astype(np.int64) << 31 | home
+        order = np.lexsort((cid, token))
+        token, cid = token[order], cid[order]
+        new = np.append(True, token[1:] != token[:-1])
+        begin = np.flatnonzero(new)
+        lens = np.diff(np.append(begin, len(token)))
+        keep = np.repeat(lens > 1, lens) | (lg[order] > 0)
+        if not keep.any():
+            return None
+        lead = np.repeat(begin, lens)[keep]
+        at = order[keep]
+        size, pos = size.astype(np.int32), pos.astype(np.int32)
+        cols = [token[keep], cid[keep], size[at], pos[at], group[at], lg[at] > 0, cid[lead], size[order][lead], pos[order][lead]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _LISTS.split(", ")])
+
+    def run(batches):
+        q, held = None, []
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != q and held:
+                    out = close(q, held)
+                    if out is not None:
+                        yield out
+                    held = []
+                q = k
+                held.append(blob)
+        if held:
+            out = close(q, held)
+            if out is not None:
+                yield out
+
+    return postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(run, _LISTS)
 
 
 def _fits(sa, pa_, sb, pb, percent):
@@ -195,10 +261,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 80, k: int = 5, id_
         b = b.take(pa.array(at))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
-    from strandlink.llm.common import BITMAP_BITS
-
     slotted = src.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("slot"))
-    texts = materialize(map_arrow(slotted, pack, "id long, z binary").join(ids, "id", "left_semi"), "texts")
+    texts = materialize(map_arrow(slotted, pack, "id long, z binary").join(ids, "id", "left_semi"), "texts", release=True)
 
     def compare(batches):
         for whole in batches:
@@ -230,7 +294,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 80, k: int = 5, id_
                 yield b.take(pa.array(np.flatnonzero(good))).select([0, 1])
 
     near = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-    out = materialize(near.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long").distinct(), "near")
+    out = materialize(near.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long").distinct(), "near", release=True)
     drop(texts)
     return out
 
@@ -248,20 +312,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
     reps = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "prefix", "ranks")
-    postings = map_arrow(reps, _postings, "token long, salt int, cid long, size int, pos int, grp long, salted boolean")
-
-    def several(cols, begin):
-        """Drop lists of one row; name the leader of the others: the least class of the list."""
-        n = len(cols[0])
-        lens = np.diff(np.append(begin, n))
-        leader = np.repeat(cols[2][begin], lens)
-        keep = np.repeat(lens > 1, lens) | cols[6]
-        names = ["token", "salt", "cid", "size", "pos", "grp", "salted", "leader", "leader_size", "leader_pos"]
-        full = [*cols, leader, np.repeat(cols[3][begin], lens), np.repeat(cols[4][begin], lens)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in full], names=names)
-
-    schema = "token long, salt int, cid long, size int, pos int, grp long, salted boolean, leader long, leader_size int, leader_pos int"
-    lists = materialize(_lists(postings, ["token", "salt"], ["cid", "size", "pos", "grp", "salted"], several, schema), "lists")
+    total = named.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PART)))
+    lists = materialize(_shared_lists(_postings(reps, parts), parts), "lists", release=True)
     tops = lists.filter("salted").groupBy("token").agg(F.min(F.struct("leader", "leader_size", "leader_pos")).alias("top"))
     crossed = lists.filter("salted").select("token", "leader", "leader_size", "leader_pos").distinct().join(tops, "token")
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import BITMAP_BITS, U, as_binary, id_bitmap, map_arrow, mix64, steps, utf8
+from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, id_bitmap, map_arrow, mix64, steps, unzip_arrays, utf8, zip_arrays
 from strandlink.plans.stages import drop, materialize
 
 WIDTH = 50
@@ -81,28 +81,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     return row[first], p[first], start[first], start[last], h[p[first]]
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, "<i8", 1 + len(kinds))[1:]
-    out, at = [], 8 * (1 + len(kinds))
-    for kind, size in zip(kinds, sizes.tolist()):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
-def _split(part: np.ndarray):
-    """Stable order by partition, and where each partition begins and ends."""
-    order = np.argsort(part, kind="stable")
-    names, begin = np.unique(part[order], return_index=True)
-    return order, names, begin, np.append(begin[1:], len(part))
-
-
 # ---------------------------------------------------------------- sorting
 
 
@@ -298,13 +276,13 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def flush():
             h, ids, ordinal = (np.concatenate(x) for x in zip(*held))
-            order, names, begin, end = _split((h % U(q_parts)).astype(np.int64))
+            order, names, begin, end = by_part((h % U(q_parts)).astype(np.int64))
             out = []
             for a, b in zip(begin, end):
                 pick = order[a:b]
                 known, which = np.unique(ids[pick], return_inverse=True)
                 by = np.lexsort((ordinal[pick], which))
-                out.append(_zip((h[pick][by] >> U(32)).astype("<u4"), which[by].astype("<u4"), ordinal[pick][by].astype("<u4"), known.astype("<i8")))
+                out.append(zip_arrays((h[pick][by] >> U(32)).astype("<u4"), which[by].astype("<u4"), ordinal[pick][by].astype("<u4"), known.astype("<i8")))
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
 
         for b in batches:
@@ -332,7 +310,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         q, held = None, []
 
         def close():
-            cols = [_unzip(x, "<u4", "<u4", "<u4", "<i8") for x in held]
+            cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "<i8") for x in held]
             h = np.concatenate([c[0] for c in cols])
             ids = np.concatenate([c[3][c[1]] for c in cols])
             ordinal = np.concatenate([c[2] for c in cols])
@@ -379,14 +357,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids, start, left, size, part, hot = (np.concatenate([x[k] for x in held]) for k in range(6))
             text = np.concatenate([x[6] for x in held])
             at = np.cumsum(size) - size
-            order, names, begin, end = _split(part)
+            order, names, begin, end = by_part(part)
             names_out, out = [], []
             for name, a, b in zip(names.tolist(), begin, end):
                 pick = order[a:b]
                 where = np.arange(int(size[pick].sum())) + np.repeat(at[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick])
                 known, which = np.unique(ids[pick], return_inverse=True)
                 names_out.append(name)
-                out.append(_zip(which.astype("<u4"), start[pick].astype("<u4"), left[pick].astype("u1"), size[pick].astype("u1"), known.astype("<i8"), text[where]))
+                out.append(zip_arrays(which.astype("<u4"), start[pick].astype("<u4"), left[pick].astype("u1"), size[pick].astype("u1"), known.astype("<i8"), text[where]))
             return pa.RecordBatch.from_arrays([pa.array(names_out, pa.int32()), pa.array(out, pa.binary())], names=["r", "blob"])
 
         for whole in batches:
@@ -421,7 +399,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         r, held = None, []
 
         def close():
-            cols = [_unzip(x, "<u4", "<u4", "u1", "u1", "<i8", "u1") for x in held]
+            cols = [unzip_arrays(x, "<u4", "<u4", "u1", "u1", "<i8", "u1") for x in held]
             ids = np.concatenate([c[4][c[0]] for c in cols])
             start, left, size = (np.concatenate([c[k] for c in cols]).astype(np.int64) for k in (1, 2, 3))
             row, a, b = matched_windows(np.concatenate([c[5] for c in cols]), left, size, ids, width, gram)
@@ -442,7 +420,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def windows(batches):
         for b in batches:
             for blob in b.column(0).to_pylist():
-                which, start, left, size, known, text = _unzip(blob, "<u4", "<u4", "u1", "u1", "<i8", "u1")
+                which, start, left, size, known, text = unzip_arrays(blob, "<u4", "<u4", "u1", "u1", "<i8", "u1")
                 for i in range(0, len(size), 50_000):
                     sz = size[i : i + 50_000].astype(np.int64)
                     at0 = int(size[:i].astype(np.int64).sum())

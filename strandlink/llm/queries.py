@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, embedding_dedup, langid, ngram_join, quality, suffix_dedup, token_store
+from strandlink.llm import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_join, quality, suffix_dedup, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
@@ -22,6 +22,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents"), width=50)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -50,7 +60,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op6_bpe": op6_bpe}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op10_html_extract": op10_html_extract, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,22 +43,22 @@ SAMPLE_DOCS = 2_000
 SAMPLE_IDS = 2_000_000
 DICT_BYTES = 64 << 10
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 400_000
 
 _tokenizers: dict[str, _Pieces] = {}
 
 
 class _Cache(dict):
-    """Ids of words that follow a space, as little-endian unsigned 32-bit integers; asks the library for others."""
+    """Ids of words after a given lead, as little-endian unsigned 32-bit integers; asks the library for others."""
 
-    def __init__(self, tok: Tokenizer, older: dict):
+    def __init__(self, tok: Tokenizer, lead: str, older: dict):
         super().__init__()
-        self.tok, self.older = tok, older
+        self.tok, self.lead, self.older = tok, lead, older
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
-            out = array("I", self.tok.encode(" " + word, add_special_tokens=False).ids).tobytes()
+            out = array("I", self.tok.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
         self[word] = out
         return out
 
@@ -67,8 +67,8 @@ class _Pieces:
     """The library's encoder, asked once for each distinct piece of text.
 
     A space before a printable ASCII or Latin letter, digit or sign always starts a new pre-token of the byte-level
-    pattern, so a text may be cut there and its pieces encoded alone.  Texts with a special token go to the
-    library whole.
+    pattern, and a single line feed between two such characters is one, so a text may be cut there and its pieces
+    encoded alone.  Texts with a special token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -77,24 +77,32 @@ class _Pieces:
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         safe = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]"
-        self.odd = re.compile(rf" (?!{safe})")
+        self.odd = re.compile(rf"[ \n](?!{safe})|(?<!{safe})\n")
         self.cut = re.compile(rf" (?={safe})")
-        self.known = _Cache(self.tok, {})
+        self.feed = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.known, self.heads = _Cache(self.tok, " ", {}), _Cache(self.tok, "", {})
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if any(s in text for s in self.special):
-            first, rest = text, []
-        elif self.odd.search(text):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        known, heads = self.known.__getitem__, self.heads
+        if self.odd.search(text):
             first, *rest = self.cut.split(text)
-        else:
-            first, *rest = text.split(" ")
-        head = array("I", self.tok.encode(first, add_special_tokens=False).ids).tobytes() if first else b""
-        return head + b"".join(map(self.known.__getitem__, rest))
+            return (heads[first] if first else b"") + b"".join(map(known, rest))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append((heads[first] if first else b"") + b"".join(map(known, rest)))
+        return self.feed.join(lines)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_PIECES:
-            self.known = _Cache(self.tok, dict(self.known))
+            self.known = _Cache(self.tok, " ", dict(self.known))
+        if len(self.heads) > MEMORY_PIECES // 8:
+            self.heads = _Cache(self.tok, "", dict(self.heads))
         return [self.encode(t) for t in texts]
 
 

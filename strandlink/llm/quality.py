@@ -142,26 +142,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
     return train(texts, np.array(ys, np.int64))
 
 
+def _scores(m: Embeddings, texts: pa.Array) -> np.ndarray:
+    data, off = utf8(texts)
+    out = [np.zeros(0)]
+    for i, j in steps(off, 1 << 20):
+        n = j - i
+        u, row = buckets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        count = np.maximum(np.bincount(row, minlength=n), 1)
+        out.append(1 / (1 + np.exp(-(np.bincount(row, m.weight[u], n) / count + m.bias))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model: Embeddings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` for every row: the probability of label 1.  An empty or null text gets the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        data, off = utf8(b.column(1))
-        out = []
-        for i, j in steps(off, 1 << 20):
-            n = j - i
-            u, row = buckets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            count = np.maximum(np.bincount(row, minlength=n), 1)
-            z = np.bincount(row, m.weight[u], n) / count + m.bias
-            out.append(1 / (1 + np.exp(-z)))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(shared.value, b.column(1)))], names=["doc_id", "score"])
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return map_arrow(src, fn, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Embeddings, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, in one narrow pass: all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        scores = _scores(shared.value, b.column(at))
+        return b.take(pa.array(np.flatnonzero(scores >= threshold)))
+
+    return map_arrow(docs, fn, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, fit(docs, labels))
     return out.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_join, quality, suffix_dedup, token_store
+from strandlink.llm import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_join, quality, quote_threads, suffix_dedup, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
@@ -59,8 +59,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), percent=80, k=5)
 
 
+def op9_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.link_quotes(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op10_html_extract": op10_html_extract, "op6_bpe": op6_bpe}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op9_quote_threads": op9_quote_threads, "op10_html_extract": op10_html_extract, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

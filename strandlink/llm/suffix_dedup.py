@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, id_bitmap, map_arrow, mix64, steps, unzip_arrays, utf8, zip_arrays
 from strandlink.plans.stages import drop, materialize
@@ -527,4 +528,35 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with the removed bytes cut from their texts, and all other columns as they are.
+
+    Characters of which a part was removed go whole.  A null text stays null; later copies of a whole text become
+    empty.  A column ``n_chars``, where there is one, counts the new text.
+    """
+    spans, base = duplicate_spans(docs, id_col, text_col, width)
+    copies = base.filter(f"doc_id > first and n_bytes >= {width}").select("doc_id", F.lit(None).cast("binary").alias("spans"))
+    cut = spans.union(copies).withColumnRenamed("doc_id", "_id").withColumn("_cut", F.lit(True))
+    joined = docs.join(cut, docs[id_col].cast("long") == F.col("_id"), "left").drop("_id")
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType, True) for f in docs.schema])
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans_of, cut_of = b.column(len(names)), b.column(len(names) + 1)
+        texts = b.column(at).to_pylist()
+        for i in np.flatnonzero(cut_of.fill_null(False).to_numpy(zero_copy_only=False)).tolist():
+            if texts[i] is not None:
+                sp = spans_of[i].as_py()
+                raw = texts[i].encode()
+                texts[i] = "" if sp is None else cut_spans(raw, np.frombuffer(sp, "<i8")).decode("utf-8", "ignore")
+        cols = [b.column(k) for k in range(len(names))]
+        cols[at] = pa.array(texts, pa.string())
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            cols[k] = pa.array([None if t is None else len(t) for t in texts], cols[k].type)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return map_arrow(joined, fn, schema)
+
+
 assert sys.byteorder == "little", "machine words are read as little-endian"

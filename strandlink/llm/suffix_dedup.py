@@ -267,6 +267,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = base.filter(f"doc_id = first and n_bytes >= {width}")
     total = unique.agg(F.sum("n_bytes")).first()[0] or 0
     q_parts = max(shuffle, -(-total * 2 // ((width - gram + 2) * PER_PART)))
+    g_parts = max(shuffle, -(-total // (64 << 20)))
     bitmap = spark.sparkContext.broadcast(id_bitmap(unique, "doc_id"))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {width}")
     src = src.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
@@ -325,9 +326,9 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids, mark = ids[keep], (ordinal[keep].astype(np.uint32) << np.uint32(1)) | hot[keep].astype(np.uint32)
             if not len(ids):
                 return None
-            by = np.argsort(ids, kind="stable")
-            known, count = np.unique(ids[by], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(known), as_binary(mark[by].astype("<u4"), count)], names=["doc_id", "marks"])
+            order, names, begin, end = by_part((mix64(ids.astype(np.uint64)) % U(g_parts)).astype(np.int64))
+            out = [zip_arrays(*_grouped(ids[order[a:b]], mark[order[a:b]])) for a, b in zip(begin, end)]
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["g", "blob"])
 
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -343,12 +344,32 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if out is not None:
                 yield out
 
-    flags = materialize(blobs.repartition(q_parts, "q").sortWithinPartitions("q").mapInArrow(flag, "doc_id long, marks binary"), "flags", release=True)
+    def regroup(batches):
+        g, held = None, []
+
+        def close():
+            cols = [unzip_arrays(x, "<i8", "<i8", "<u4") for x in held]
+            ids = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
+            known, count, mark = _grouped(ids, np.concatenate([c[2] for c in cols]))
+            return pa.RecordBatch.from_arrays([pa.array(known), as_binary(mark, count)], names=["doc_id", "marks"])
+
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != g and held:
+                    yield close()
+                    held = []
+                g = k
+                held.append(blob)
+        if held:
+            yield close()
+
+    marks = blobs.repartition(q_parts, "q").sortWithinPartitions("q").mapInArrow(flag, "g int, blob binary")
+    flags = materialize(marks.repartition(g_parts, "g").sortWithinPartitions("g").mapInArrow(regroup, "doc_id long, marks binary"), "flags", release=True)
     n_marks = flags.agg(F.sum(F.length("marks") / 4)).first()[0] or 0
     r_parts = max(shuffle, int(-(-n_marks // PER_SORT)))
     marked = spark.sparkContext.broadcast(id_bitmap(flags.select("doc_id"), "doc_id"))
     texts = _filter_pack(docs, marked, id_col, text_col, width)
-    joined = flags.groupBy("doc_id").agg(F.collect_list("marks").alias("marks")).join(texts, "doc_id")
+    joined = flags.join(texts, "doc_id")
 
     def stretches(batches):
         held: list = []
@@ -376,7 +397,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 off = np.concatenate(([0], np.cumsum([len(x) for x in bodies])))
                 data = np.frombuffer(b"".join(bodies), np.uint8)
                 ids = b.column(0).to_numpy()
-                marks = [np.concatenate([np.frombuffer(y, "<u4") for y in x]).astype(np.int64) for x in b.column(1).to_pylist()]
+                marks = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column(1).to_pylist()]
                 row, p, s0, s1, h = anchors(data, off, width, gram)
                 begin = np.searchsorted(row, np.arange(len(bodies)))
                 pick = np.concatenate([begin[k] + (m >> 1) for k, m in enumerate(marks)])
@@ -442,7 +463,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     )
 
     hot = packed.filter("r = -1").select("blob").mapInArrow(windows, "h1 long, h2 long, doc_id long, s int")
-    least = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    # written first, so that the join has a plain exchange on either side, which adaptive execution can split
+    least = materialize(hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "hot-windows")
     repeated = hot.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "s", (F.col("s") + width).alias("e"))
 
     def merge(batches):
@@ -466,6 +488,13 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spans, base
 
 
+def _grouped(ids: np.ndarray, marks: np.ndarray):
+    """Distinct ids, how many marks each has, and the marks in that order."""
+    by = np.argsort(ids, kind="stable")
+    known, count = np.unique(ids[by], return_counts=True)
+    return known.astype("<i8"), count.astype("<i8"), marks[by].astype("<u4")
+
+
 def _merged(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     """Union of intervals for each document; rows are ordered by document and begin."""
     s, e = s.astype(np.int64), e.astype(np.int64)

@@ -3,9 +3,9 @@
 1. A fixed-size sketch counts shingles over the whole corpus; shingles are ordered by the logarithm of their
    count, then by hash.  Any total order makes prefix filtering lossless; this one keeps frequent shingles out of
    the prefixes.
-2. Each document becomes a set size, a set hash and its prefix.  Documents with equal sets are one class from
-   here on; classes with equal prefixes and sizes are one group, whose rows differ only in the member.
-3. Prefix shingles are dealt to lists.  Instead of all pairs of a list, rounds verify star pairs: every member
+2. Each document becomes a set size, a 64-bit set hash and its prefix.  Documents with equal sets are one class
+   from here on, and classes that share the same shingles meet in one list, once.
+3. Prefix shingles are dealt to lists: the groups.  Instead of all pairs of a list, rounds verify star pairs: every member
    with one leader of its list.  Verified links join classes into components, and only members of different
    components meet again.  Shingles that the sketch calls frequent are dealt to several salted lists, whose leaders
    then meet.  After the rounds, whatever list still holds several components is compared in blocks, all pairs
@@ -78,7 +78,7 @@ def prefix_length(n, percent: int):
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, h1, h2, prefix, salts)``: set size, set hash, and the rarest shingles, rarest first."""
+    """``(doc_id, n_shingles, cls, prefix, ranks)``: set size, set hash, and the rarest shingles, rarest first."""
     spark = docs.sparkSession
     ranks = np.zeros(len(counts), np.uint8)
     ranks[counts > 0] = np.floor(np.log2(counts[counts > 0])).astype(np.uint8)
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int =
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         rank = shared.value
         data, off = utf8(b.column(1))
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], []]
         for i, j in steps(off):
             n = j - i
             h, r = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n, k)
@@ -98,25 +98,23 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int =
             first = np.arange(len(h)) - np.repeat(begin, sizes) < np.repeat(prefix_length(sizes, percent), sizes)
             pick = order[first]
             ends = np.append(U(0), np.cumsum(mix64(h ^ U(0x1234567)), dtype=np.uint64))
-            ends2 = np.append(U(0), np.cumsum(mix64(h + U(0x9E3779B9)), dtype=np.uint64))
             stop = begin + sizes
             cols[0].append(sizes)
             cols[1].append(mix64(ends[stop] - ends[begin] + sizes.astype(np.uint64)).view(np.int64))
-            cols[2].append(mix64(ends2[stop] - ends2[begin]).view(np.int64))
             got = np.where(sizes > 0, prefix_length(sizes, percent), 0)
-            cols[3].append(as_binary(h[pick], got))
-            cols[4].append(as_binary(c[pick], got))
+            cols[2].append(as_binary(h[pick], got))
+            cols[3].append(as_binary(c[pick], got))
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.concatenate(cols[0]).astype(np.int64)), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2])), pa.concat_arrays(cols[3]), pa.concat_arrays(cols[4])],
-            names=["doc_id", "n_shingles", "h1", "h2", "prefix", "ranks"],
+            [b.column(0), pa.array(np.concatenate(cols[0]).astype(np.int64)), pa.array(np.concatenate(cols[1])), pa.concat_arrays(cols[2]), pa.concat_arrays(cols[3])],
+            names=["doc_id", "n_shingles", "cls", "prefix", "ranks"],
         )
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_arrow(src, fn, "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, ranks binary")
+    return map_arrow(src, fn, "doc_id long, n_shingles long, cls long, prefix binary, ranks binary")
 
 
 def _postings(reps: DataFrame, parts: int) -> DataFrame:
-    """Prefix shingles of classes ``(cid, size, prefix, ranks)``, packed by hash partition.
+    """Prefix shingles of rows ``(cls, size, prefix, ranks)``, packed by hash partition; a class counts once a batch.
 
     A blob holds 32 bits of each shingle (its partition knows more of it; a collision only adds a candidate), so a
     posting takes a few bytes.  A shingle that is frequent by its rank goes to several partitions, by class.
@@ -126,6 +124,7 @@ def _postings(reps: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
+            b = b.take(pa.array(np.sort(np.unique(b.column(0).to_numpy(), return_index=True)[1])))
             ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             flat = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             lens = np.array([len(x) for x in flat], np.int64)
@@ -152,50 +151,81 @@ def _salt(ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
     return mix64(ids.astype(np.uint64)) & ((U(1) << lg.astype(np.uint64)) - U(1))
 
 
-_LISTS = "token long, cid long, size int, pos int, grp long, salted boolean, leader long, leader_size int, leader_pos int"
+_LISTS = "token long, cid long, size int, pos int, salted boolean, leader long, leader_size int, leader_pos int"
+
+
+def _streams(fn):
+    """Call ``fn(key, blobs)`` for each run of rows ``(key, blob)`` of one key."""
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != key and held:
+                    out = fn(key, held)
+                    if out is not None:
+                        yield out
+                    held = []
+                key = k
+                held.append(blob)
+        if held:
+            out = fn(key, held)
+            if out is not None:
+                yield out
+
+    return run
 
 
 def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
-    """The lists of two or more classes, a row for each, with the list's leader: its least class.  Lists of frequent
-    shingles are kept whatever their length, since their other parts lie elsewhere."""
+    """Lists of two or more classes, a row for each class, with the list's leader: its least class.
+
+    Shingles with the same classes make one list, named by a hash of its members, with the least position of each:
+    near duplicates share most of their prefixes, so this leaves few lists.  Lists of frequent shingles keep their
+    own name whatever their length, since other parts of them lie elsewhere.
+    """
 
     def close(q: int, held: list[bytes]) -> pa.RecordBatch | None:
         cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "u1", "<i8", "<u4", "<i8") for x in held]
         h, pos, lg = (np.concatenate([c[k] for c in cols]) for k in (0, 2, 3))
         cid, size, group = (np.concatenate([c[k][c[1]] for c in cols]) for k in (4, 5, 6))
-        home = ((U(q) + U(parts) * (U(1) + _salt(cid, lg) // U(parts)) - _salt(cid, lg)) % U(parts)).astype(np.int64)
-        token = h.astype(np.int64) << 31 | home
+        home = ((U(q) + U(parts) * (U(1) + _salt(cid, lg) // U(parts)) - _salt(cid, lg)) % U(parts)).astype(np.uint64)
+        token = mix64((h.astype(np.uint64) << U(32)) + home)
         order = np.lexsort((cid, token))
-        token, cid = token[order], cid[order]
-        new = np.append(True, token[1:] != token[:-1])
-        begin = np.flatnonzero(new)
+        token, cid, pos, lg, size, group = token[order], cid[order], pos[order], lg[order], size[order], group[order]
+        once = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
+        token, cid, pos, lg, size, group = (x[once] for x in (token, cid, pos, lg, size, group))
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lens = np.diff(np.append(begin, len(token)))
-        keep = np.repeat(lens > 1, lens) | (lg[order] > 0)
+        salted = lg > 0
+        name = np.repeat(mix64(np.add.reduceat(mix64(cid.astype(np.uint64)), begin) + lens.astype(np.uint64)), lens)
+        name = np.where(salted, token, name)
+        keep = np.repeat(lens > 1, lens) | salted
         if not keep.any():
             return None
-        lead = np.repeat(begin, lens)[keep]
-        at = order[keep]
+        rows = _least_position(name[keep], cid[keep], size[keep], pos[keep], salted[keep])
+        order, names, first, end = by_part((rows[0] % U(parts)).astype(np.int64))
+        blobs = [zip_arrays(*(c[order[x:y]] for c in rows)) for x, y in zip(first, end)]
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["p", "blob"])
+
+    def join(p: int, held: list[bytes]) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*(unzip_arrays(x, "<u8", "<i8", "<u4", "<u4", "u1") for x in held))]
+        name, cid, size, pos, salted = _least_position(*cols)
         size, pos = size.astype(np.int32), pos.astype(np.int32)
-        cols = [token[keep], cid[keep], size[at], pos[at], group[at], lg[at] > 0, cid[lead], size[order][lead], pos[order][lead]]
+        begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        lead = np.repeat(begin, np.diff(np.append(begin, len(name))))
+        cols = [name.view(np.int64), cid, size, pos, salted > 0, cid[lead], size[lead], pos[lead]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _LISTS.split(", ")])
 
-    def run(batches):
-        q, held = None, []
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != q and held:
-                    out = close(q, held)
-                    if out is not None:
-                        yield out
-                    held = []
-                q = k
-                held.append(blob)
-        if held:
-            out = close(q, held)
-            if out is not None:
-                yield out
+    lists = postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_streams(close), "p int, blob binary")
+    return lists.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_streams(join), _LISTS)
+
 
-    return postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(run, _LISTS)
+def _least_position(name, cid, size, pos, salted):
+    order = np.lexsort((pos, cid, name))
+    name, cid = name[order], cid[order]
+    once = np.append(True, (name[1:] != name[:-1]) | (cid[1:] != cid[:-1]))
+    pick = order[once]
+    return name[once], cid[once], size[pick].astype("<u4"), pos[pick].astype("<u4"), salted[pick].astype("u1")
 
 
 def _fits(sa, pa_, sb, pb, percent):
@@ -246,10 +276,12 @@ def _pairs(a, b):
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs ``(a, b)`` of document ids whose shingle sets have a Jaccard of ``percent`` or more."""
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose shingle sets have a Jaccard of ``percent`` or more; ``classes`` names a
+    document ``(cls, cid)`` of each."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("cls", F.col("cid").alias("id"))
+    ids = materialize(ids, "wanted")
     bitmap = spark.sparkContext.broadcast(id_bitmap(ids, "id"))
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null and text is not null")
 
@@ -262,7 +294,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 80, k: int = 5, id_
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
     slotted = src.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("slot"))
-    texts = materialize(map_arrow(slotted, pack, "id long, z binary").join(ids, "id", "left_semi"), "texts", release=True)
+    texts = map_arrow(slotted, pack, "id long, z binary").join(ids, "id").select(F.col("cls").alias("id"), "z")
+    texts = materialize(texts, "texts", release=True)
 
     def compare(batches):
         for whole in batches:
@@ -310,11 +343,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     counts = sketch(docs, k, text_col)
     sig = materialize(signatures(docs, counts, percent, k, id_col, text_col), "signatures")
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "prefix", "ranks")
+    classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("cid")), "classes")
     total = named.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PART)))
-    lists = materialize(_shared_lists(_postings(reps, parts), parts), "lists", release=True)
+    lists = materialize(_shared_lists(_postings(named.select("cls", "n_shingles", "prefix", "ranks"), parts), parts), "lists", release=True)
     tops = lists.filter("salted").groupBy("token").agg(F.min(F.struct("leader", "leader_size", "leader_pos")).alias("top"))
     crossed = lists.filter("salted").select("token", "leader", "leader_size", "leader_pos").distinct().join(tops, "token")
 
@@ -330,19 +362,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         as_pairs(crossed.filter(filtered("leader", "leader_size", "leader_pos", "top.leader", "top.leader_size", "top.leader_pos")), "leader", "top.leader")
     )
     checked = materialize(star.distinct(), "pairs")
-    links = verify(checked, docs, percent, k, id_col, text_col)
-    rest = lists.select("token", "cid", "size", "pos", "grp")
+    links = verify(checked, docs, classes, percent, k, id_col, text_col)
+    rest = lists.select("token", "cid", "size", "pos")
     labels = connected_components(links, "a", "b")
 
     for step in range(STAR_ROUNDS):
         last = step == STAR_ROUNDS - 1
         degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
         state = labels.join(degree, "id", "left").select(F.col("id").alias("cid"), "component", F.coalesce("degree", F.lit(0)).alias("degree"))
-        seen = rest.join(state, "cid", "left").select("token", "cid", "size", "pos", "grp", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        seen = rest.join(state, "cid", "left").select("token", "cid", "size", "pos", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
         seen = materialize(seen, "state")
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max(F.struct("degree", "cid", "size", "pos", "comp")).alias("top")).filter("lo < hi")
         mixed = materialize(mixed.select("token", "n", "top"), "mixed")
-        rest = materialize(seen.join(mixed, "token").select("token", "cid", "size", "pos", "grp", "comp", "n", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.pos").alias("leader_pos"), F.col("top.comp").alias("leader_comp")), "rest")
+        rest = materialize(seen.join(mixed, "token").select("token", "cid", "size", "pos", "comp", "n", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.pos").alias("leader_pos"), F.col("top.comp").alias("leader_comp")), "rest")
         if last:
             found = _across(rest, percent)
         else:
@@ -353,14 +385,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
                 break
             continue
         checked = materialize(checked.union(fresh), "checked")
-        more = verify(fresh, docs, percent, k, id_col, text_col)
+        more = verify(fresh, docs, classes, percent, k, id_col, text_col)
         links = materialize(links.union(more), "near")
         labels = connected_components(links, "a", "b")
 
-    named = sig.select("doc_id", "n_shingles", "h1", "h2")
-    joined = named.filter("n_shingles > 0 and doc_id is not null").join(classes, ["h1", "h2"])
-    joined = joined.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
-    return joined.union(named.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
+    # components are named by their least document
+    of_class = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "cid", F.coalesce("component", "cls").alias("component"))
+    of_class = materialize(of_class, "of-class")
+    least = of_class.groupBy("component").agg(F.min("cid").alias("component_id"))
+    final = materialize(of_class.join(least, "component").select("cls", "component_id"), "final")
+    slim = sig.select("doc_id", "n_shingles", "cls")
+    joined = slim.filter("n_shingles > 0 and doc_id is not null").join(final, "cls").select("doc_id", "n_shingles", "component_id")
+    return joined.union(slim.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:

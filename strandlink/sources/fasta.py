@@ -45,22 +45,24 @@ def decode(codes: Column) -> Column:
     return F.translate(codes, "1234", "acgt")
 
 
-def number_rows(df: DataFrame, column: str) -> DataFrame:
-    """Adds dense 0-based row numbers in the frame's order without moving rows to one task.
+def _numbered_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq_no, first, value)``: records in file order (files by path), ``first`` marking the first of a file.
 
-    Rows are written once with their partition's position, partitions are counted, and each partition's offset
-    (a row for each partition) is joined back.
+    Spark reads a block of a file in order, within one partition.  Blocks are counted, and each block's offset (a row
+    for each block) is joined back, so that no task holds more than a block.
     """
-    tagged = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
-    sizes = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    offsets, total = [], 0
-    for r in sorted(sizes.collect()):  # one row for each input partition
-        offsets.append((r["_part"], total - r["_first"]))
-        total += r["_n"]
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame(offsets, "_part long, _shift long"))
-    return tagged.withColumn("_part", part).join(table, "_part").withColumn(column, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    tagged = materialize(
+        raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")), "records"
+    )
+    blocks, total = [], 0
+    for r in sorted(tagged.groupBy("file", "block").agg(F.min("at").alias("begin"), F.count("*").alias("n")).collect()):
+        blocks.append((r["file"], r["block"], r["begin"], total))
+        total += r["n"]
+    table = spark.createDataFrame(blocks, "file string, block long, begin long, before long")
+    return tagged.join(table, ["file", "block"]).select(
+        (F.col("before") + F.col("at") - F.col("begin")).alias("seq_no"), ((F.col("block") == 0) & (F.col("at") == F.col("begin"))).alias("first"), "value"
+    )
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -68,23 +70,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     A record is a line that starts with ">" and the lines up to the next such line.  The header ends at the first
     space or line feed.  Symbols are a, c, g, t and u in either case; line feeds inside a sequence are skipped and
-    anything else, a carriage return included, raises :class:`InvalidInput` with its line's number in its record, as does a first line without
-    ">".  Sequences may be empty, and so may the file.
+    anything else, a carriage return included, raises :class:`InvalidInput` with its line in the sequence, as does
+    a file whose first line has no ">".  Sequences may be empty, and so may the file.
     """
-    import contextlib
-
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    first = None
-    with contextlib.suppress(IndexError):
-        first = spark.read.text(path, wholetext=False).select(F.col("value")).limit(1).collect()[0][0]
-    if first is None:
-        return spark.createDataFrame([], SCHEMA)
-    if not first.startswith(">"):
+    records = _numbered_records(spark, path)
+    if not records.filter("first and not startswith(value, '>')").isEmpty():
         raise InvalidInput("Illegal header line in fasta file.")
-    numbered = number_rows(raw, "seq_no")
-    record = F.when(F.col("seq_no") == 0, F.expr("substring(value, 2)")).otherwise(F.col("value"))
-    cut = numbered.select("seq_no", record.alias("record"))
-    return parse_records(cut)
+    return parse_records(records.select("seq_no", F.when(F.col("first"), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("record")))
+
+
+def write_fasta(sequences: DataFrame, path: str, ordered: bool = True) -> None:
+    """Write records in ``seq_no`` order; part files in name order are the file."""
+    rows = sequences.orderBy("seq_no") if ordered else sequences
+    rows.select(F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.col("seq"))).write.text(path)
 
 
 def parse_records(records: DataFrame) -> DataFrame:

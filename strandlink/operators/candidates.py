@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlink.functions import qgram
+from strandlink.plans.stages import materialize
 
 
 def nested_loop(sequences: DataFrame) -> DataFrame:
@@ -85,8 +86,8 @@ def profile_join(sequences: DataFrame, limit: int) -> DataFrame:
     equi-join on the range's odd codes.  Equal profiles are collapsed before the join and expanded after it.
     """
     n = qgram.PER_EDIT * limit + 1
-    rows = sequences.select("seq_no", qgram.odd_codes(F.col("seq")).alias("codes"))
-    classes = rows.groupBy("codes").agg(F.min("seq_no").alias("rep"))
+    rows = materialize(qgram.profiles(sequences), "profiles")
+    classes = materialize(rows.groupBy("codes").agg(F.min("seq_no").alias("rep")), "classes")
     ranges = classes.select("rep", "codes", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("range"))
     keyed = ranges.select("rep", "codes", "range", F.xxhash64(F.filter("codes", lambda c: F.floor(c * n / F.lit(1024)) == F.col("range"))).alias("key"))
     pairs = keyed.select("range", "key", F.col("rep").alias("a")).join(keyed.select("range", "key", F.col("rep").alias("b")), ["range", "key"]).filter("a < b").select("a", "b").distinct()

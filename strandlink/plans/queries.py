@@ -163,14 +163,16 @@ diffs AS (
   SELECT a.seq_no AS src, b.seq_no AS dst, CAST((a.n + b.n - 2 * coalesce(c, 0) + 9) // 10 AS INT) AS qgram_diff
   FROM n a JOIN n b ON a.seq_no < b.seq_no LEFT JOIN shared ON src = a.seq_no AND dst = b.seq_no)"""
 
-_EDGES = """edges AS (
-  SELECT a.seq_no AS src, b.seq_no AS dst, CAST(levenshtein(a.seq, b.seq) AS INT) AS diff
-  FROM s a JOIN s b ON a.seq_no < b.seq_no AND abs(a.seq_len - b.seq_len) <= 1
-  WHERE levenshtein(a.seq, b.seq) <= 1)"""
+_EDGES = """near AS MATERIALIZED (
+  SELECT a.seq_no AS src, b.seq_no AS dst, a.seq AS x, b.seq AS y
+  FROM (SELECT *, unnest([seq_len - 1, seq_len, seq_len + 1]) AS other FROM s) a JOIN s b ON a.other = b.seq_len
+  WHERE a.seq_no < b.seq_no),
+measured AS MATERIALIZED (SELECT src, dst, CAST(levenshtein(x, y) AS INT) AS diff FROM near),
+edges AS MATERIALIZED (SELECT src, dst, diff FROM measured WHERE diff <= 1)"""
 
 _CLUSTERS = f"""{_EDGES},
-both AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
-reach(v, r) AS (SELECT seq_no, seq_no FROM s UNION SELECT both.dst, reach.r FROM reach JOIN both ON both.src = reach.v),
+sym AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+reach(v, r) AS (SELECT seq_no, seq_no FROM s UNION SELECT sym.dst, reach.r FROM reach JOIN sym ON sym.src = reach.v),
 clusters AS (SELECT min(r) AS cluster_id, v AS seq_no FROM reach GROUP BY v)"""
 
 

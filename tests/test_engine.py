@@ -180,7 +180,7 @@ def test_report_and_totals(spark, tmp_path):
     assert [r["value"] for r in report.report_lines(c, seqs).collect()] == ["", "s0_1", "s1_1", "", "s2_1", "", "", "Total: 2 clusters of 3 sequences"]
     assert tuple(cluster.totals(c).first()) == (2, 3)
     assert [r["seq_no"] for r in cluster.singletons(c).collect()] == [2]
-    assert tuple(cluster.search_stats(seqs).first()) == (3, 1, 1)
+    assert tuple(cluster.search_stats(seqs).first()) == (3, 3, 1)
     report.write_report(c, seqs, f"file://{tmp_path}/out")
     empty = cluster.clusters(frame(spark, []))
     assert tuple(cluster.totals(empty).first()) == (0, 0)

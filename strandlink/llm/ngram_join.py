@@ -1,7 +1,7 @@
 """Near-duplicate documents by a grouped prefix join over word n-grams (exact Jaccard).
 
 1. A fixed-size sketch counts shingles over the whole corpus; shingles are ordered by the logarithm of their
-   count, then by hash.  Any total order makes prefix filtering lossless; this one keeps frequent shingles out of
+   count in excess of the usual counter, then by hash.  Any total order makes prefix filtering lossless; this one keeps frequent shingles out of
    the prefixes.
 2. Each document becomes a set size, a 64-bit set hash and its prefix.  Documents with equal sets are one class
    from here on, and classes that share the same shingles meet in one list, once.
@@ -25,7 +25,7 @@ from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, distinct_s
 from strandlink.operators.components import connected_components
 from strandlink.plans.stages import drop, materialize
 
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_PART = 4096
 #: A list's usual length; more frequent shingles are salted.
 LIST = 2048
@@ -42,7 +42,7 @@ def _sets(data, offsets, n, k):
 
 
 def sketch(docs: DataFrame, k: int = 5, text_col: str = "text") -> np.ndarray:
-    """Document frequencies of hashed shingles in 2^SKETCH_BITS counters (4 MB on the driver at any size)."""
+    """Document frequencies of hashed shingles in 2^SKETCH_BITS counters (16 MB on the driver at any size)."""
     size = 1 << SKETCH_BITS
 
     def count(batches):
@@ -80,8 +80,9 @@ def prefix_length(n, percent: int):
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, cls, prefix, ranks)``: set size, set hash, and the rarest shingles, rarest first."""
     spark = docs.sparkSession
-    ranks = np.zeros(len(counts), np.uint8)
-    ranks[counts > 0] = np.floor(np.log2(counts[counts > 0])).astype(np.uint8)
+    # a counter holds many rare shingles besides a frequent one: what exceeds the usual counter tells
+    usual = float(np.median(counts))
+    ranks = np.floor(np.log2(np.maximum(counts - usual - 3 * np.sqrt(usual), 1))).astype(np.uint8)
     shared = spark.sparkContext.broadcast(ranks)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -202,19 +202,24 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)
 
+    tail = b"" if end_id is None else struct.pack("<I", end_id)
+
     def compress(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = _compressor(zdict)
-        ids, null = b.column(0).fill_null(-(2**63)).to_numpy(), b.column(0).is_null()
+        c, p, texts = _compressor(zdict), pieces(tokenizer_path), b.column(1)
         out, n = [], []
-        for x in b.column(1).to_pylist():
-            a = np.frombuffer(x, "<u4")
-            n.append(len(a))
-            out.append(c.compress(_pack(a, width)))
+        _, off = utf8(texts)
+        for i, j in steps(off):
+            for x in p.encode_batch([t or "" for t in texts.slice(i, j - i).to_pylist()]):
+                a = np.frombuffer(x + tail, "<u4")
+                n.append(len(a))
+                out.append(c.compress(_pack(a, width)))
+        ids, null = b.column(0).fill_null(-(2**63)).to_numpy(), b.column(0).is_null()
         at = np.searchsorted(cuts, ids, side="right")
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(ids), null, pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["shard", "id", "no_id", "n", "frame"])
 
     schema = "shard int, id long, no_id boolean, n long, frame binary"
-    frames = map_arrow(tokenize(docs, tokenizer_path, end_id, id_col, text_col), compress, schema)
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    frames = map_arrow(src, compress, schema)
     ordered = frames.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("no_id").desc(), "id", "n", "frame")
 
     def write(batches):

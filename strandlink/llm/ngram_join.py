@@ -29,6 +29,8 @@ SKETCH_BITS = 21
 SKETCH_PART = 4096
 #: A list's usual length; more frequent shingles are salted.
 LIST = 2048
+#: Rows of a chunk where a list is compared in blocks.
+CHUNK = 512
 #: Postings that one partition holds on average.
 PER_PART = 500_000
 STAR_ROUNDS = 3
@@ -377,7 +379,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         mixed = materialize(mixed.select("token", "n", "top"), "mixed")
         rest = materialize(seen.join(mixed, "token").select("token", "cid", "size", "pos", "comp", "n", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.pos").alias("leader_pos"), F.col("top.comp").alias("leader_comp")), "rest")
         if last:
-            found = _across(rest, percent)
+            found = _across(rest, named, percent)
         else:
             found = as_pairs(rest.filter("comp != leader_comp").filter(filtered("cid", "size", "pos", "leader", "leader_size", "leader_pos")), "cid", "leader")
         fresh = materialize(found.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
@@ -400,29 +402,62 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     return joined.union(slim.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components within lists, by blocks of two chunks."""
-    chunks = F.ceil(F.col("n") / F.lit(LIST)).cast("int")
+def _across(rest: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within lists that can still be similar, by blocks of two chunks.
+
+    Besides the size and position filters, prefixes are compared: the shingles of one prefix up to its last are in
+    the other set only if they are in its prefix (for the prefix that ends first), so the overlap is at most the
+    common prefix and the longer rest.  Pairs that fail never leave their block.
+    """
+    spark = rest.sparkSession
+    wanted = spark.sparkContext.broadcast(id_bitmap(rest.select("cid").distinct(), "cid"))
+
+    def shorten(b: pa.RecordBatch) -> pa.RecordBatch:
+        m = np.frombuffer(wanted.value, np.int64)
+        slot = b.column(2).to_numpy()
+        cls = b.column(0).to_numpy()
+        at = np.unique(cls, return_index=True)[1]
+        at = at[((m[slot[at] >> 6] >> (slot[at] & 63)) & 1).astype(bool)]
+        short = [(np.frombuffer(x, np.uint64) >> U(32)).astype("<u4").tobytes() for x in b.column(1).take(pa.array(at)).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(short, pa.binary())], names=["cid", "prefix"])
+
+    slotted = named.select("cls", "prefix", F.pmod(F.xxhash64("cls"), F.lit(BITMAP_BITS)).alias("slot"))
+    prefixes = map_arrow(slotted, shorten, "cid long, prefix binary").groupBy("cid").agg(F.min("prefix").alias("prefix"))
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
     blocks = (
-        rest.withColumn("c", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
+        rest.select("token", "cid", "size", "pos", "comp", "n")
+        .join(prefixes, "cid")
+        .withColumn("c", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "comp", "cid", "size", "pos", "c")
+        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "comp", "cid", "size", "pos", "c", "prefix")
     )
 
     def cross(cols, begin):
-        _, ci, cj, comp, cid, size, pos, c = cols
+        _, ci, cj, comp, cid, size, pos, c, prefix = cols
         ends = np.append(begin[1:], len(cid))
         out_a, out_b = [], []
         for s, e in zip(begin.tolist(), ends.tolist()):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
             sz, ps, cm, cc = size[s:e].astype(np.int64), pos[s:e].astype(np.int64), comp[s:e], c[s:e]
+            flat = [np.frombuffer(x, "<u4") for x in prefix[s:e]]
+            lens = np.array([len(x) for x in flat], np.int64)
+            first = np.cumsum(lens) - lens
+            codes = np.unique(np.concatenate(flat), return_inverse=True)[1]
+            table = np.zeros(int(codes.max()) + 1, bool)
             for i in range(e - s - 1):
                 ok = (cm[i + 1 :] != cm[i]) & _fits(sz[i], ps[i], sz[i + 1 :], ps[i + 1 :], percent)
                 if ci[s] != cj[s]:
                     ok &= cc[i + 1 :] != cc[i]
-                j = np.flatnonzero(ok)
-                if len(j):
+                if ok.any():
+                    own = codes[first[i] : first[i] + lens[i]]
+                    table[own] = True
+                    common = np.add.reduceat(table[codes].astype(np.int64), first)[i + 1 :]
+                    table[own] = False
+                    left = np.maximum(sz[i] - lens[i], sz[i + 1 :] - lens[i + 1 :])
+                    need = (percent * (sz[i] + sz[i + 1 :]) + 99 + percent) // (100 + percent)
+                    ok &= common + left >= need
+                    j = np.flatnonzero(ok)
                     out_a.append(np.full(len(j), cid[s + i]))
                     out_b.append(cid[s + i + 1 + j])
         if out_a:
@@ -430,4 +465,4 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
             yield _pairs(both[0], both[1])
 
-    return _lists(blocks, ["token", "ci", "cj"], ["comp", "cid", "size", "pos", "c"], cross, "a long, b long")
+    return _lists(blocks, ["token", "ci", "cj"], ["comp", "cid", "size", "pos", "c", "prefix"], cross, "a long, b long")

@@ -45,6 +45,9 @@ DICT_BYTES = 64 << 10
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
 MEMORY_PIECES = 400_000
 
+#: Signs that may follow a word; each is neither a letter, a digit nor white space.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
 _tokenizers: dict[str, _Pieces] = {}
 
 
@@ -54,11 +57,25 @@ class _Cache(dict):
     def __init__(self, tok: Tokenizer, lead: str, older: dict):
         super().__init__()
         self.tok, self.lead, self.older = tok, lead, older
+        self.ends: dict[str, bytes] = {}
+
+    def signs(self, end: str) -> bytes:
+        """Ids of signs after a letter."""
+        out = self.ends.get(end)
+        if out is None:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            out = self.ends[end] = array("I", self.tok.encode(end, add_special_tokens=False).ids).tobytes()
+        return out
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
-            out = array("I", self.tok.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
+            base = word.rstrip(SIGNS)
+            if base and base != word and base[-1].isalpha():  # letters end a pre-token, and so does the word
+                out = self[base] + self.signs(word[len(base) :])
+            else:
+                out = array("I", self.tok.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
         self[word] = out
         return out
 
@@ -77,18 +94,24 @@ class _Pieces:
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         safe = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]"
-        self.odd = re.compile(rf"[ \n](?!{safe})|(?<!{safe})\n")
+        self.unsafe = re.compile("[^ \\n" + safe[1:])
         self.cut = re.compile(rf" (?={safe})")
         self.feed = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes()
         self.known, self.heads = _Cache(self.tok, " ", {}), _Cache(self.tok, "", {})
 
+    def _odd(self, text: str) -> bool:
+        """Whether white space is anything but single spaces and line feeds between other safe characters."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] == "\n" or text[-1] in " \n":
+            return True
+        return not text.replace("\n", " ").isprintable() if text.isascii() else self.unsafe.search(text) is not None
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         known, heads = self.known.__getitem__, self.heads
-        if self.odd.search(text):
+        if self._odd(text):
             first, *rest = self.cut.split(text)
             return (heads[first] if first else b"") + b"".join(map(known, rest))
         lines = []

@@ -371,8 +371,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
 
     for step in range(STAR_ROUNDS):
         last = step == STAR_ROUNDS - 1
-        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-        state = labels.join(degree, "id", "left").select(F.col("id").alias("cid"), "component", F.coalesce("degree", F.lit(0)).alias("degree"))
+        if step == 0:  # a group's origin shares more of its prefix than any edited copy does, so it is in most lists
+            degree = lists.groupBy(F.col("cid").alias("id")).agg(F.count("*").alias("degree"))
+        else:
+            degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+        state = labels.join(degree, "id", "full").select(F.col("id").alias("cid"), F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
         seen = rest.join(state, "cid", "left").select("token", "cid", "size", "pos", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
         seen = materialize(seen, "state")
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max(F.struct("degree", "cid", "size", "pos", "comp")).alias("top")).filter("lo < hi")

@@ -1,12 +1,14 @@
 """Main text of web pages: site template removal over element subtrees.
 
-Elements that bound a region of a page are hashed with everything below them and counted for each host in Spark,
-over pages that differ.  A subtree that recurs on many pages of its host is template and is deleted, as are
-elements whose kind says they are no article text (menus, footers, forms and so on).  Of what is left, the text
-of the article element is taken where there is one, else that of the body.
-
-Paragraphs, headings and other text blocks inside an article never count as template: passages that articles share
-are article text.
+Elements outside articles are hashed with everything below them and counted for each host in Spark, over pages that
+differ.  A subtree that recurs on many pages of its host is template and is deleted, as are elements whose kind says
+they are no article text (menus, footers, forms and so on).  Of what is left, the text of the article element is taken
+where there is one, else that of the body.
+
+Nothing inside an article or main element counts as template, nor do the elements around a page's longest one:
+passages, lists and tables that articles share are article text.  On pages without such an element, a container below
+the body that directly holds text of its own holds passages, and in it only the kinds in REGION count.  Text with its
+inline elements goes or stays as one.  A page that is template throughout keeps its text.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ RAW = set("script style title textarea xmp iframe noembed noframes noscript".spl
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Kinds that count as template in a container of passages, too; those in LISTED are part of its text.
 REGION = set("aside center dd details div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
+LISTED = set("dd dl figure ol table ul".split())
 TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = set("nav header footer aside form script style noscript template iframe button select textarea input svg canvas dialog menu head title object embed audio video map search xmp noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 MARKS = set(
@@ -64,11 +69,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent")
+    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent", "digest", "counts")
 
     def __init__(self, tag, attrs, start, parent):
         self.tag, self.attrs, self.start, self.end, self.parent = tag, attrs, start, start, parent
         self.kids: list = []
+        self.digest, self.counts = 0, False
 
 
 def parse(page: str) -> Node:
@@ -156,34 +162,96 @@ def _is_chrome(node: Node) -> bool:
     return False
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    return xxhash.xxh64_intdigest(_SPACE.sub(" ", page[node.start : node.end]).encode("utf-8", "replace")) - (1 << 63)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _blank(page: str, kid) -> bool:
+    return not (type(kid) is tuple and page[kid[0] : kid[1]].strip())
+
+
+def outline(page: str) -> tuple[Node, list[Node]]:
+    """The parsed page and its elements outside articles, outer ones first, with subtree hashes (0: no text).
+
+    A hash covers tags, attributes and text, but no elements that go by their kind.  ``counts`` marks what can be
+    template: not what encloses the longest article, nor inline elements of a text.
+    """
+    root = parse(page)
+    nodes, articles, stack = [], [], [(root, False)]
+    while stack:
+        node, part = stack.pop()
+        if node is not root and (node.tag == "head" or _is_chrome(node)):
+            continue
+        nodes.append(node)
+        if node.tag in ("article", "main"):
+            articles.append(node)
+            node.digest = _hash(_SPACE.sub(" ", page[node.start : node.end]))
+            continue
+        block = node.tag in BLOCK or node is root
+        node.counts = node.tag not in ("", "html", "body") and not (part and not block)
+        part = part and not block or node.tag in TEXT_BLOCK or not all(_blank(page, k) for k in node.kids)
+        stack += [(k, part) for k in reversed(node.kids) if type(k) is Node]
+    for node in reversed(nodes):
+        if node.tag in ("article", "main"):
+            continue
+        parts = [str(k.digest) if type(k) is Node else _SPACE.sub(" ", page[k[0] : k[1]]).strip() for k in node.kids if type(k) is not str and (type(k) is not Node or k.digest)]
+        parts = [x for x in parts if x]
+        node.digest = _hash("\0".join((node.tag, _SPACE.sub(" ", node.attrs).strip(), *parts))) if parts else 0
+        node.counts = node.counts and bool(parts)
+    if articles:
+        node = max(articles, key=lambda n: n.end - n.start)
+        while node is not None:
+            node.counts = False
+            node = node.parent
+    return root, nodes
+
+
+def regions(page: str) -> set[int]:
+    """Hashes of the page's elements that can be template, once each."""
+    return {n.digest for n in outline(page)[1] if n.counts}
+
 
+def _template_of(page: str, root: Node, template) -> set[int]:
+    """Python ids of the outermost elements that go as template."""
 
-def regions(page: str):
-    """Hashes of the page's regions, once each; text blocks inside an article are left out."""
-    out, stack = set(), [(parse(page), False)]
+    def own(kid) -> bool:
+        """Whether a child is text of its own, outside of any element that recurs."""
+        if type(kid) is not Node:
+            return not _blank(page, kid)
+        return bool(kid.digest) and kid.digest not in template and (kid.tag not in BLOCK or kid.tag in PROSE)
+
+    gone, stack = set(), [(root, False)]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        if node.tag in REGION and not (inside and node.tag in TEXT_BLOCK):
-            out.add(subtree_hash(page, node))
-        if node.tag not in ("head", *RAW):
-            stack += [(k, inside) for k in node.kids if type(k) is Node]
-    return out
+        node, passages = stack.pop()
+        if node.counts and node.digest in template and not (passages and node.tag not in REGION):
+            gone.add(id(node))
+            continue
+        if node.tag in ("article", "main"):
+            continue
+        passages = passages and (node.tag not in REGION or node.tag in LISTED)
+        if not passages and node.tag not in ("", "html", "body"):
+            passages = any(own(k) for k in node.kids)
+        stack += [(k, passages) for k in node.kids if type(k) is Node]
+    return gone
 
 
 def main_text(page: str, template: set[int] | frozenset = frozenset()) -> str:
     """Blocks of the main text in page order, joined by a line feed."""
-    root = parse(page)
+    if not template:
+        return _text(page, parse(page), frozenset())
+    root = outline(page)[0]
+    gone = _template_of(page, root, template)
+    return _text(page, root, gone) or (_text(page, root, frozenset()) if gone else "")
+
 
-    def dropped(node: Node, inside: bool) -> bool:
-        return _is_chrome(node) or bool(template) and node.tag in REGION and not (inside and node.tag in TEXT_BLOCK) and subtree_hash(page, node) in template
+def _text(page: str, root: Node, gone: set[int] | frozenset) -> str:
+    def dropped(node: Node) -> bool:
+        return id(node) in gone or _is_chrome(node)
 
     articles, stack = [], [root]
     while stack:  # outermost articles in page order
         node = stack.pop()
-        if node is not root and dropped(node, False):
+        if node is not root and dropped(node):
             continue
         if node.tag in ("article", "main"):
             articles.append(node)
@@ -195,7 +263,7 @@ def main_text(page: str, template: set[int] | frozenset = frozenset()) -> str:
         inner, stack = [], [k for k in reversed(a.kids) if type(k) is Node] if a.tag == "main" else []
         while stack:
             n = stack.pop()
-            if dropped(n, True):
+            if dropped(n):
                 continue
             if n.tag == "article":
                 inner.append(n)
@@ -223,7 +291,7 @@ def main_text(page: str, template: set[int] | frozenset = frozenset()) -> str:
                 piece.append(" ")
             elif type(item) is tuple:
                 piece.append(page[item[0] : item[1]])
-            elif item is not top and dropped(item, bool(tops)):
+            elif item is not top and dropped(item):
                 if item.tag in BLOCK:
                     flush()
             elif item.tag == "br":

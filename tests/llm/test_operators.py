@@ -224,6 +224,29 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def html_texts(spark, pages, **bounds):
+    df = spark.createDataFrame([(k, "http://h.example/a", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(df, **bounds).collect()}
+
+
+def test_html_text_blocks_are_template(spark):
+    body = "<html><body><p>We use <b>recurring</b> notices</p><h3>Partner offers</h3><address>Main road 1</address><h1>Title {0}</h1><ul><li><a>Home</a></li><li>Page {0}</li></ul><a>Top</a><p>Own <i>the</i> text {0}</p><div><h2>Part {0}</h2><p>Shared <b>passage</b></p></div></body></html>"
+    got = html_texts(spark, [body.format(k) for k in range(8)])
+    assert got == {k: f"Title {k}\nPage {k}\nOwn the text {k}\nPart {k}\nShared passage" for k in range(8)}
+
+
+def test_html_article_content_is_exempt(spark):
+    inner = "<div><p>Copied <i>body</i></p><ul><li>one</li></ul><section><table><tr><td>cell</td></tr></table></section><dl><dt>t</dt><dd>d</dd></dl></div>"
+    for tag in ("article", "main"):
+        page = f"<body><p>Site notice</p><div><{tag}>{inner}</{tag}></div><section><article>teaser</article></section><div class='ad'>{{0}}</div></body>"
+        got = html_texts(spark, [page.format(k) for k in range(8)])
+        assert set(got.values()) == {"Copied body\none\ncell\nt\nd"}
+        got = html_texts(spark, [f"<body><{tag}><h1>Title {k}</h1>{inner}</{tag}></body>" for k in range(8)])
+        assert got == {k: f"Title {k}\nCopied body\none\ncell\nt\nd" for k in range(8)}
+    got = html_texts(spark, [f"<head><title>{k}</title></head><body><div><p>All copied</p></div></body>" for k in range(5)])
+    assert set(got.values()) == {"All copied"}
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are  you?"),

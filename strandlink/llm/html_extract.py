@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from strandlink.llm.common import map_arrow
 from strandlink.plans.stages import materialize
 
-#: A subtree is template on at least this share of a host's differing pages, and at least this many.
+#: A subtree is template on this many differing pages of a host, or on two or more that are this share of them.
 SHARE = 0.2
 MIN_PAGES = 4
-#: Template subtrees that are broadcast; more are joined by host.
+#: Template subtrees that are broadcast; more are joined, to each page its own.
 BROADCAST_ROWS = 100_000
 
 # Element kinds of HTML.
@@ -218,7 +218,7 @@ def _template_of(page: str, root: Node, template) -> set[int]:
         """Whether a child is text of its own, outside of any element that recurs."""
         if type(kid) is not Node:
             return not _blank(page, kid)
-        return bool(kid.digest) and kid.digest not in template and (kid.tag not in BLOCK or kid.tag in PROSE)
+        return bool(kid.digest) and not (kid.counts and kid.digest in template) and (kid.tag not in BLOCK or kid.tag in PROSE)
 
     gone, stack = set(), [(root, False)]
     while stack:
@@ -333,7 +333,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # distinct on the page's own hash removes copies; both steps are partial aggregates, so a hot host is spread
     counts = materialize(found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")), "regions")
     sizes = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    template = materialize(counts.filter(f"hash <> 0 and n >= {min_pages}").join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash"), "template")
+    template = materialize(counts.filter(f"hash <> 0 and n >= {min(2, min_pages)}").join(sizes, "host").filter((F.col("n") >= min_pages) | (F.col("n") >= share * F.col("pages"))).select("host", "hash"), "template")
     n = template.count()
     if n <= BROADCAST_ROWS:
         known: dict[str, set[int]] = {}
@@ -345,7 +345,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def hashes_of(b):
             return [shared.value.get(h, frozenset()) for h in b.column(2).to_pylist()]
     else:
-        rows = src.join(template.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "host", "left").select("page_id", "url", "hashes", "html")
+        # a hot host can have more template than its pages can carry along: each gets what it holds
+        own = found.distinct().join(template, ["host", "hash"]).groupBy("host", "sig").agg(F.collect_set("hash").alias("hashes"))
+        rows = src.withColumn("sig", F.xxhash64("html")).join(own, ["host", "sig"], "left").select("page_id", "url", "hashes", "html")
 
         def hashes_of(b):
             return [frozenset(x or ()) for x in b.column(2).to_pylist()]

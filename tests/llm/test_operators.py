@@ -247,6 +247,19 @@ def test_html_article_content_is_exempt(spark):
     assert set(got.values()) == {"All copied"}
 
 
+def test_html_template_bar_does_not_rise_with_the_host(spark, monkeypatch):
+    some = {0: "first sidebar", 1: "second sidebar"}
+    pages = [f"<body><div><p>{some.get(k // 5, f'aside {k}')}</p></div><div>{'<p>rare</p>' if k > 36 else k}</div><p>Own {k}</p></body>" for k in range(40)]
+    got = html_texts(spark, pages)
+    assert got[2] == "2\nOwn 2" and got[7] == "7\nOwn 7" and got[20] == "aside 20\n20\nOwn 20"
+    assert got[38] == "aside 38\nrare\nOwn 38"
+    assert html_texts(spark, pages, min_pages=6)[2] == "first sidebar\n2\nOwn 2"
+    small = html_texts(spark, [f"<body><div>Site words</div><p>Own {k}</p></body>" for k in range(3)])
+    assert small == {k: f"Own {k}" for k in range(3)}
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert html_texts(spark, pages) == got
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are  you?"),

@@ -113,8 +113,25 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Embeddings:
     return Embeddings((vectors @ diff).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _within(sizes: pd.DataFrame) -> list[int]:
+    """Ids of rows ``(id, y, size)`` that fit into SAMPLE_BYTES a label, in the order given.
+
+    A text that does not fit is passed over, those after it are not; where none fits, the least one is taken.
+    """
+    out = []
+    for _, rows in sizes.groupby("y"):
+        left, taken = SAMPLE_BYTES, []
+        for i, size in zip(rows["id"].tolist(), rows["size"].tolist()):
+            if size <= left:
+                left -= size
+                taken.append(i)
+        out += taken or [int(rows["id"].iloc[int(rows["size"].to_numpy().argmin())])]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
-    """Learn from labelled rows that are not held out: SAMPLE_ROWS and SAMPLE_BYTES a label at most.
+    """Learn from labelled rows that are not held out: SAMPLE_ROWS and SAMPLE_BYTES a label at most, but one row of
+    each label in any case.  Ids are taken in the order of their hash.
 
     Rows with a null id or label teach nothing; the larger of several labels for one id holds.
     """
@@ -132,10 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
     small = F.broadcast(spark.createDataFrame(ids if len(ids) else pd.DataFrame({"id": pd.Series(dtype="int64"), "y": pd.Series(dtype="int32")}), "id long, y int"))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(small, "id")
     sample = materialize(rows, "labelled")
-    sizes = sample.select("id", "y", F.octet_length("text").alias("size")).toPandas()
-    sizes = sizes.sort_values(["id", "y", "size"])
-    fits = sizes.groupby("y")["size"].cumsum() <= SAMPLE_BYTES
-    within = [int(i) for i in sizes["id"][fits].unique()]
+    # repeated rows of an id go together
+    sizes = sample.groupBy("id", "y").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).withColumn("h", F.xxhash64("id")).toPandas()
+    within = _within(sizes.sort_values(["h", "id"]))
     got = sorted((r["id"], r["text"], r["y"]) for r in sample.filter(F.col("id").isin(within)).collect()) if within else []
     drop(sample)
     texts, ys = [t for _, t, _ in got], [y for _, _, y in got]

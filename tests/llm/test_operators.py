@@ -214,6 +214,27 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_sample_passes_over_long_texts(spark, monkeypatch):
+    long = {0: "***! " * 300, 1: "calm " * 300}
+    docs = spark.createDataFrame([(k, long.get(k) or (f"calm text {k} about things" if k % 2 else f"*** {k} $$$ now!!")) for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, ys: seen.append((texts, ys.tolist())) or train(texts, ys))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 600)
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(docs, labels).collect()}
+    assert all(got[k] == k % 2 for k in range(2, 120))
+    texts, ys = seen.pop()
+    for y in (0, 1):
+        of = [t for t, x in zip(texts, ys) if x == y]
+        assert 500 < sum(map(len, of)) <= 600 and long[y] not in of
+        # by hash: not the smallest ids alone
+        assert max(int(t.split()[2 if y else 1]) for t in of) > 90
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 10)
+    quality.fit(docs, labels)
+    assert sorted(seen.pop()[1]) == [0, 1]
+
+
 def test_pages(spark):
     body = '<html><body><div class="x"><p>Site words that recur</p></div><div><p>Own text {0}</p><p>Shared line</p></div></body></html>'
     rows = [(k, "http://Host.example/a", body.format(k), "n") for k in range(8)] + [(20, "http://host.example/b", body.format(3), "n"), (21, None, "<p>alone</p>", "n"), (22, "http://x", None, "n"), (23, "http://x", "", "n")]

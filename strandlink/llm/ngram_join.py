@@ -4,7 +4,8 @@
    count in excess of the usual counter, then by hash.  Any total order makes prefix filtering lossless; this one keeps frequent shingles out of
    the prefixes.
 2. Each document becomes a set size, a 64-bit set hash and its prefix.  Documents with equal sets are one class
-   from here on, and classes that share the same shingles meet in one list, once.
+   from here on; classes with the same prefix and size are one group, of which one class stands in the lists.
+   Groups that share the same shingles meet in one list, once; then the members of each join it.
 3. Prefix shingles are dealt to lists: the groups.  Instead of all pairs of a list, rounds verify star pairs: every member
    with one leader of its list.  Verified links join classes into components, and only members of different
    components meet again.  Shingles that the sketch calls frequent are dealt to several salted lists, whose leaders
@@ -135,7 +136,6 @@ def _postings(reps: DataFrame, parts: int) -> DataFrame:
             ranks = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(3).to_pylist()]).astype(np.int64)
             begin = np.cumsum(lens) - lens
             pos = np.arange(len(tokens)) - np.repeat(begin, lens)
-            group = mix64(np.add.reduceat(mix64(tokens), begin) + sizes.astype(np.uint64)).view(np.int64)
             which = np.repeat(np.arange(len(ids)), lens)
             lg = np.maximum(ranks + 1 - int(np.log2(LIST)), 0).astype(np.uint8)
             part = (mix64(tokens) + _salt(ids[which], lg)) % U(parts)
@@ -144,7 +144,7 @@ def _postings(reps: DataFrame, parts: int) -> DataFrame:
             for x, y in zip(first, end):
                 pick = order[x:y]
                 known, local = np.unique(which[pick], return_inverse=True)
-                out.append(zip_arrays((tokens[pick] >> U(32)).astype("<u4"), local.astype("<u4"), pos[pick].astype("<u4"), lg[pick], ids[known].astype("<i8"), sizes[known].astype("<u4"), group[known].astype("<i8")))
+                out.append(zip_arrays((tokens[pick] >> U(32)).astype("<u4"), local.astype("<u4"), pos[pick].astype("<u4"), lg[pick], ids[known].astype("<i8"), sizes[known].astype("<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
 
     return reps.mapInArrow(pack, "q int, blob binary")
@@ -179,6 +179,23 @@ def _streams(fn):
     return run
 
 
+def _grouped(named: DataFrame) -> DataFrame:
+    """``(cls, rep, size, grp)``: the classes whose prefix and size another class has, the least one (``rep``), too."""
+    keyed = named.select("cls", "n_shingles", F.xxhash64("prefix", "n_shingles").alias("grp"))
+    several = keyed.groupBy("grp").agg(F.min("cls").alias("rep"), F.max("cls").alias("most")).filter("rep < most").select("grp", "rep")
+    return materialize(keyed.join(materialize(several, "groups"), "grp").select("cls", "rep", F.col("n_shingles").cast("int").alias("size"), "grp").distinct(), "grouped")
+
+
+def _expanded(lists: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The lists with all members of each group, and a list of each group's own."""
+    columns = lists.columns
+    members = grouped.select("cls", F.col("rep").alias("cid"))
+    lists = lists.join(members, "cid", "left").withColumn("cid", F.coalesce("cls", "cid")).select(columns)
+    zero = F.lit(0)
+    own = grouped.select(F.col("grp").alias("token"), F.col("cls").alias("cid"), "size", zero.alias("pos"), F.lit(False).alias("salted"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), zero.alias("leader_pos"))
+    return lists.union(own.select(columns))
+
+
 def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
     """Lists of two or more classes, a row for each class, with the list's leader: its least class.
 
@@ -188,15 +205,15 @@ def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
     """
 
     def close(q: int, held: list[bytes]) -> pa.RecordBatch | None:
-        cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "u1", "<i8", "<u4", "<i8") for x in held]
+        cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "u1", "<i8", "<u4") for x in held]
         h, pos, lg = (np.concatenate([c[k] for c in cols]) for k in (0, 2, 3))
-        cid, size, group = (np.concatenate([c[k][c[1]] for c in cols]) for k in (4, 5, 6))
+        cid, size = (np.concatenate([c[k][c[1]] for c in cols]) for k in (4, 5))
         home = ((U(q) + U(parts) * (U(1) + _salt(cid, lg) // U(parts)) - _salt(cid, lg)) % U(parts)).astype(np.uint64)
         token = mix64((h.astype(np.uint64) << U(32)) + home)
         order = np.lexsort((cid, token))
-        token, cid, pos, lg, size, group = token[order], cid[order], pos[order], lg[order], size[order], group[order]
+        token, cid, pos, lg, size = token[order], cid[order], pos[order], lg[order], size[order]
         once = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
-        token, cid, pos, lg, size, group = (x[once] for x in (token, cid, pos, lg, size, group))
+        token, cid, pos, lg, size = (x[once] for x in (token, cid, pos, lg, size))
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lens = np.diff(np.append(begin, len(token)))
         salted = lg > 0
@@ -349,7 +366,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("cid")), "classes")
     total = named.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PART)))
-    lists = materialize(_shared_lists(_postings(named.select("cls", "n_shingles", "prefix", "ranks"), parts), parts), "lists", release=True)
+    grouped = _grouped(named)
+    reps = named.select("cls", "n_shingles", "prefix", "ranks").join(grouped.filter("cls <> rep").select("cls"), "cls", "left_anti")
+    lists = materialize(_expanded(_shared_lists(_postings(reps, parts), parts), grouped), "lists", release=True)
     tops = lists.filter("salted").groupBy("token").agg(F.min(F.struct("leader", "leader_size", "leader_pos")).alias("top"))
     crossed = lists.filter("salted").select("token", "leader", "leader_size", "leader_pos").distinct().join(tops, "token")
 

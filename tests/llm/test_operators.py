@@ -100,6 +100,27 @@ def test_ngram_join(spark, monkeypatch, short_lists):
     assert ngram_join.near_duplicates(docs_frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def grouped_texts():
+    """Copies of a text that differ in their last word, so in one shingle; by hash, most have the same prefix and size."""
+    words = [f"g{k}" for k in range(60)]
+    return [" ".join([*words, f"end{k}"]) for k in range(40)] + [" ".join(words[:40] + [f"x{k}" for k in range(30)]) for _ in range(2)]
+
+
+def test_ngram_join_groups_equal_prefixes(spark, monkeypatch):
+    texts = grouped_texts()
+    sent = []
+    monkeypatch.setattr(ngram_join, "sketch", lambda *a: np.zeros(1 << ngram_join.SKETCH_BITS, np.int64))  # order by hash alone
+    postings = ngram_join._postings
+    monkeypatch.setattr(ngram_join, "_postings", lambda reps, parts: sent.append(reps.select("cls").distinct().count()) or postings(reps, parts))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
+    assert got == {**{k: 0 for k in range(40)}, 40: 40, 41: 40}
+    assert sent[0] < 30  # of 41 classes
+    # a group alone, whose shingles no other class holds
+    pair = next([texts[a], texts[b]] for a in range(40) for b in range(a) if ngram_join._grouped(ngram_join.signatures(docs_frame(spark, [texts[a], texts[b]]), np.zeros(1 << ngram_join.SKETCH_BITS))).count())
+    assert {r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, pair)).collect()} == {0}
+    assert sent[1] == 1
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=64)

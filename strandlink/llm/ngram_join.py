@@ -154,6 +154,11 @@ def _salt(ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
     return mix64(ids.astype(np.uint64)) & ((U(1) << lg.astype(np.uint64)) - U(1))
 
 
+def _part_name(name: np.ndarray, ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
+    """Names of the parts of salted lists; other lists keep theirs."""
+    return np.where(lg > 0, mix64(name + U(1) + _salt(ids, lg)), name)
+
+
 _LISTS = "token long, cid long, size int, pos int, salted boolean, leader long, leader_size int, leader_pos int"
 
 
@@ -201,7 +206,8 @@ def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
 
     Shingles with the same classes make one list, named by a hash of its members, with the least position of each:
     near duplicates share most of their prefixes, so this leaves few lists.  Lists of frequent shingles keep their
-    own name whatever their length, since other parts of them lie elsewhere.
+    own name (``token``) whatever their length, since other parts of them lie elsewhere; each part, which is named with
+    its salt, has its own partition and leader.
     """
 
     def close(q: int, held: list[bytes]) -> pa.RecordBatch | None:
@@ -222,30 +228,33 @@ def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
         keep = np.repeat(lens > 1, lens) | salted
         if not keep.any():
             return None
-        rows = _least_position(name[keep], cid[keep], size[keep], pos[keep], salted[keep])
-        order, names, first, end = by_part((rows[0] % U(parts)).astype(np.int64))
+        rows = _least_position(name[keep], cid[keep], size[keep], pos[keep], lg[keep])
+        order, names, first, end = by_part((_part_name(rows[0], rows[1], rows[4]) % U(parts)).astype(np.int64))
         blobs = [zip_arrays(*(c[order[x:y]] for c in rows)) for x, y in zip(first, end)]
         return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
     def join(p: int, held: list[bytes]) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*(unzip_arrays(x, "<u8", "<i8", "<u4", "<u4", "u1") for x in held))]
-        name, cid, size, pos, salted = _least_position(*cols)
+        name, cid, size, pos, lg = _least_position(*cols)
+        part = _part_name(name, cid, lg)
+        order = np.lexsort((cid, part))
+        part, name, cid, size, pos, lg = (x[order] for x in (part, name, cid, size, pos, lg))
         size, pos = size.astype(np.int32), pos.astype(np.int32)
-        begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        lead = np.repeat(begin, np.diff(np.append(begin, len(name))))
-        cols = [name.view(np.int64), cid, size, pos, salted > 0, cid[lead], size[lead], pos[lead]]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        lead = np.repeat(begin, np.diff(np.append(begin, len(part))))
+        cols = [name.view(np.int64), cid, size, pos, lg > 0, cid[lead], size[lead], pos[lead]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _LISTS.split(", ")])
 
     lists = postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_streams(close), "p int, blob binary")
     return lists.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_streams(join), _LISTS)
 
 
-def _least_position(name, cid, size, pos, salted):
+def _least_position(name, cid, size, pos, lg):
     order = np.lexsort((pos, cid, name))
     name, cid = name[order], cid[order]
     once = np.append(True, (name[1:] != name[:-1]) | (cid[1:] != cid[:-1]))
     pick = order[once]
-    return name[once], cid[once], size[pick].astype("<u4"), pos[pick].astype("<u4"), salted[pick].astype("u1")
+    return name[once], cid[once], size[pick].astype("<u4"), pos[pick].astype("<u4"), lg[pick].astype("u1")
 
 
 def _fits(sa, pa_, sb, pb, percent):

@@ -121,6 +121,20 @@ def test_ngram_join_groups_equal_prefixes(spark, monkeypatch):
     assert sent[1] == 1
 
 
+def test_ngram_join_salted_lists_have_leaders(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST", 4)
+    rng = random.Random(9)
+    texts = ["common words of every text " + " ".join(f"s{rng.randrange(10**6)}" for _ in range(3)) for _ in range(64)]
+    docs = docs_frame(spark, texts)
+    named = ngram_join.signatures(docs, ngram_join.sketch(docs), percent=10).select("cls", "n_shingles", "prefix", "ranks")
+    lists = ngram_join._shared_lists(ngram_join._postings(named, 16), 16).filter("salted").withColumn("task", F.spark_partition_id()).collect()
+    token = max({r["token"] for r in lists}, key=lambda t: sum(r["token"] == t for r in lists))
+    hot = [r for r in lists if r["token"] == token]
+    leaders = {r["leader"] for r in hot}
+    assert len(hot) == 64 and len(leaders) > 4 and len({r["task"] for r in hot}) > 4
+    assert all(min(r["cid"] for r in hot if r["leader"] == x) == x for x in leaders)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=64)

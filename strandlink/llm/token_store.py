@@ -41,6 +41,8 @@ MAGIC = b"tokens01"
 #: Documents of the dictionary's sample, at most, and their ids in all.
 SAMPLE_DOCS = 2_000
 SAMPLE_IDS = 2_000_000
+#: Bytes of ids of a document that the dictionary learns from: its beginning.
+SAMPLE_BODY = 1 << 17
 DICT_BYTES = 64 << 10
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
 MEMORY_PIECES = 400_000
@@ -153,7 +155,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: s
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A dictionary from the documents with the smallest id hashes: SAMPLE_DOCS and SAMPLE_IDS at most.
+    """A dictionary from the documents with the smallest id hashes: SAMPLE_DOCS and SAMPLE_IDS at most,
+    whatever the size of the table, and the first SAMPLE_BODY bytes of ids of each (stored documents are whole).
 
     The same rows make the same dictionary in any partitioning.  Returns b"" where there is too little to learn.
     """
@@ -162,7 +165,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, w
     cut = bins if n <= SAMPLE_DOCS else max(1, int(bins * SAMPLE_DOCS / n))
     some = docs.filter(hash_bins(id_col, bins) < cut)
     rows = tokenize(some, tokenizer_path, end_id, id_col, text_col)
-    narrow = map_arrow(rows, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([_pack(np.frombuffer(x, "<u4"), width)[: 1 << 17] for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "body"]), "doc_id long, body binary")
+    limit = SAMPLE_BODY
+    narrow = map_arrow(rows, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([_pack(np.frombuffer(x, "<u4"), width)[:limit] for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "body"]), "doc_id long, body binary")
     kept, total = [], 0
     for r in narrow.orderBy(F.xxhash64("doc_id"), "doc_id", "body").limit(SAMPLE_DOCS).toLocalIterator():
         kept.append(bytes(r["body"]))

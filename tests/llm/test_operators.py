@@ -106,6 +106,16 @@ def grouped_texts():
     return [" ".join([*words, f"end{k}"]) for k in range(40)] + [" ".join(words[:40] + [f"x{k}" for k in range(30)]) for _ in range(2)]
 
 
+def test_token_dictionary_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_store.zstandard, "train_dictionary", lambda size, samples: seen.append([len(x) for x in samples]) or token_store.zstandard.ZstdCompressionDict(b"x"))
+    docs = docs_frame(spark, [f"word{k} " * 2000 for k in range(20)])
+    for limit in (1000, 1 << 17):
+        monkeypatch.setattr(token_store, "SAMPLE_BODY", limit)
+        token_store.train_dictionary(docs, public_tokenizers.path("word_bpe_49k.json"), None, 2)
+    assert set(seen[0]) == {1000} and min(seen[1]) > 1000
+
+
 def test_ngram_join_groups_equal_prefixes(spark, monkeypatch):
     texts = grouped_texts()
     sent = []

@@ -63,7 +63,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The stages are not expressible in SQL; tests hold them against brute force.
+#: The stages are not expressible in SQL.  Tests hold the kept ids and texts of near_duplicates and repeats against
+#: brute force, and quality against planted classes; decontamination is tested on planted leaks.
 ORACLE_SQL = None
 
 

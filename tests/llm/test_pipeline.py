@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -11,3 +13,39 @@ def test_stages(spark):
             assert docs.columns == corpus_pipeline.COLUMNS
             assert docs.select("doc_id").distinct().count() == docs.count() <= n
     assert sorted(docs.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"]
+
+
+def test_kept_ids_and_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passage = say(60), say(20)
+    texts = [base, base, base + " tail", "", "  ", say(3), say(40) + "\n" + passage, passage + " " + say(30), *(say(50) for _ in range(6)), None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    like = lambda a, b: bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    gone = {j for j in range(len(texts)) for i in range(j) if like(i, j)}  # here every copy resembles its first
+    assert gone == {1, 2}
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.keep_first_near(spark, docs, "").collect()}
+    assert got == {k: t for k, t in enumerate(texts) if k not in gone}
+
+    seen, want = set(), {}
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        grams = [b[p : p + 50] for p in range(len(b) - 49)]
+        cut = {q for p, g in enumerate(grams) if g in seen for q in range(p, p + 50)}
+        seen.update(grams)
+        want[k] = None if t is None else bytes(x for q, x in enumerate(b) if q not in cut).decode()
+    assert want[1] == "" and len(want[7]) < len(texts[7])
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == want
+
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda s, d, name: {"benchmark": items, "labels": labels}[name])
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_leaks(spark, docs, "").collect()}
+    assert kept == {k: t for k, t in enumerate(texts) if k not in (6, 7)}
+
+    marked = spark.createDataFrame([(k, f"calm text {k} about things" if k % 2 else f"*** {k} $$$ now!!", "en", "s", 1) for k in range(200)], docs.schema)
+    assert {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, marked, "").collect()} == set(range(1, 200, 2))

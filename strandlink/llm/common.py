@@ -191,16 +191,23 @@ def crc_of(ids) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) for i in ids], np.int64)
 
 
-#: Bits of an id bitmap; 2^24 bits are 2 MB, whatever the input.
-BITMAP_BITS = 1 << 24
+#: Bits of an id bitmap, at least and at most: eight for each id between these bounds (8 KB and 16 MB).
+BITMAP_BITS = (1 << 16, 1 << 27)
 
 
-def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
-    """A bitmap of hashed ids, at most ``bits / 8`` bytes, for dropping rows before a shuffle.
+def id_slot(column: str) -> Column:
+    """The bit of an id in a bitmap of the greatest size; a smaller one has it at the remainder by its size."""
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITMAP_BITS[1]))
 
-    It lets every id of ``ids`` pass and, as it fills up, others too; an exact join must follow.
+
+def id_bitmap(ids: DataFrame, column: str) -> bytes:
+    """A bitmap of hashed ids, sized to their count, for dropping rows before a shuffle; see :func:`passes`.
+
+    It lets every id of ``ids`` pass and an eighth of the others, more beyond the greatest size; an exact join must
+    follow.
     """
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    bits = min(max(1 << (8 * ids.count()).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    slot = F.pmod(id_slot(column), F.lit(bits))
     words = (
         ids.select((slot / 64).cast("long").alias("w"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
         .groupBy("w")
@@ -212,5 +219,12 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
     return out.tobytes()
 
 
+def passes(bitmap: bytes, slots: np.ndarray) -> np.ndarray:
+    """Which of the ids with these slots may be among the bitmap's."""
+    m = np.frombuffer(bitmap, np.int64)
+    s = slots & (64 * len(m) - 1)
+    return ((m[s >> 6] >> (s & 63)) & 1).astype(bool)
+
+
 def hash_bins(column: str, n: int = 4096) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(17)), F.lit(n))

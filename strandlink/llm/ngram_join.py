@@ -1,17 +1,21 @@
 """Near-duplicate documents by a grouped prefix join over word n-grams (exact Jaccard).
 
 1. A fixed-size sketch counts shingles over the whole corpus; shingles are ordered by the logarithm of their
-   count in excess of the usual counter, then by hash.  Any total order makes prefix filtering lossless; this one keeps frequent shingles out of
-   the prefixes.
-2. Each document becomes a set size, a 64-bit set hash and its prefix.  Documents with equal sets are one class
-   from here on; classes with the same prefix and size are one group, of which one class stands in the lists.
-   Groups that share the same shingles meet in one list, once; then the members of each join it.
-3. Prefix shingles are dealt to lists: the groups.  Instead of all pairs of a list, rounds verify star pairs: every member
-   with one leader of its list.  Verified links join classes into components, and only members of different
-   components meet again.  Shingles that the sketch calls frequent are dealt to several salted lists, whose leaders
-   then meet.  After the rounds, whatever list still holds several components is compared in blocks, all pairs
-   across components that pass the size and position filters, so nothing is lost.
-4. Verification joins the compressed texts of the candidates and intersects their full shingle sets.
+   count in excess of the usual counter, then by hash.  Any total order makes prefix filtering lossless; this one
+   keeps frequent shingles out of the prefixes.
+2. Each document becomes a set size, a 64-bit set hash (its class), its prefix and a parity bitmap.  Documents with
+   the same prefix and size are one group; a group, whatever it holds, goes once into the list of each shingle of
+   its prefix.  Shingles that the sketch calls frequent have lists in several salted parts.  Lists of the same groups
+   are one list.
+3. Group pairs are filtered: in a list, a group stays if another group of it has a size that fits.  Then groups are
+   expanded to their classes, and a group of several classes is a list of its own besides.
+4. Instead of all pairs of a list, rounds verify star pairs: every member with one leader of its list, the class that
+   is in the most lists.  The leader then leaves the list, since its pairs are settled.  Verified links join classes
+   into components, and only members of different components meet again.
+5. What lists still hold after the rounds is compared in blocks: members outside of a list's largest component with
+   each other and with that component's.  No cap applies anywhere, so nothing is lost.
+6. Sizes and parity bitmaps bound the overlap of a pair; pairs that can reach the similarity are verified by joining
+   their compressed texts and intersecting their full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, distinct_sets, id_bitmap, map_arrow, mix64, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
+from strandlink.llm.common import U, as_binary, by_part, distinct_sets, id_bitmap, id_slot, map_arrow, mix64, passes, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
 from strandlink.operators.components import connected_components
 from strandlink.plans.stages import drop, materialize
 
@@ -56,72 +62,121 @@ def sketch(docs: DataFrame, k: int = 5, text_col: str = "text") -> np.ndarray:
                 h, _ = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], j - i, k)
                 total += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         parts = total.reshape(-1, SKETCH_PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts.astype("<u4")])], names=["part", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([_narrow(p) for p in parts])], names=["part", "c"])
 
     def add(batches):
         acc: dict[int, np.ndarray] = {}
         for b in batches:
             for part, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(c, "<u4").astype(np.int64)
+                x = _widen(c)
                 acc[part] = acc[part] + x if part in acc else x
         if acc:
-            yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in acc.values()])], names=["part", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([_narrow(x) for x in acc.values()])], names=["part", "c"])
 
     schema = "part int, c binary"
     rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
     out = np.zeros(size, np.int64)
     for r in rows.collect():
-        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["c"], "<u4")
+        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = _widen(r["c"])
     return out
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in the fewest bytes that hold them, compressed; the first byte is that width."""
+    top = int(counts.max())
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(f"<u{width}").tobytes())
+
+
+def _widen(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+
+
 def prefix_length(n, percent: int):
     """Shingles of a set of ``n`` that any set with Jaccard of ``percent`` or more must share one of."""
     return n - (n * percent + 99) // 100 + 1
 
 
+def parity(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of sets: bytes, one bitmap after the other, and the length of each.
+
+    A bitmap has a power of two of bits, twice the set's size or more, and a bit is the parity of the elements that
+    fall on it.  Halves XORed together make the bitmap of half the length.
+    """
+    bits = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64), 0)
+    begin = np.cumsum(bits) - bits
+    at = begin[rows] + (h & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(bool), bitorder="little"), bits // 8
+
+
+def fold(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity bitmaps, as 64-bit words, at a shorter length."""
+    while bitmaps.shape[1] > width:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def slack(sa, sb, percent: int):
+    """Elements that two sets of these sizes may differ in at the similarity; negative where sizes alone forbid it."""
+    need = (percent * (sa + sb) + 99 + percent) // (100 + percent)
+    return np.where(100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb), sa + sb - 2 * need, -1)
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, cls, prefix, ranks)``: set size, set hash, and the rarest shingles, rarest first."""
+    """``(doc_id, n_shingles, cls, grp, num, prefix, ranks, bits)``: set size, set hash, hash of prefix and size, a
+    number of the row, the rarest shingles (48 bits of each) and the ranks of their counts, and the parity bitmap."""
     spark = docs.sparkSession
     # a counter holds many rare shingles besides a frequent one: what exceeds the usual counter tells
     usual = float(np.median(counts))
     ranks = np.floor(np.log2(np.maximum(counts - usual - 3 * np.sqrt(usual), 1))).astype(np.uint8)
     shared = spark.sparkContext.broadcast(ranks)
+    names = ["doc_id", "n_shingles", "cls", "grp", "num", "prefix", "ranks", "bits"]
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         rank = shared.value
-        data, off = utf8(b.column(1))
-        cols: list[list] = [[], [], [], []]
-        for i, j in steps(off):
-            n = j - i
-            h, r = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n, k)
-            sizes = np.bincount(r, minlength=n)
-            begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            c = rank[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((h, c, r))
-            first = np.arange(len(h)) - np.repeat(begin, sizes) < np.repeat(prefix_length(sizes, percent), sizes)
-            pick = order[first]
-            ends = np.append(U(0), np.cumsum(mix64(h ^ U(0x1234567)), dtype=np.uint64))
-            stop = begin + sizes
-            cols[0].append(sizes)
-            cols[1].append(mix64(ends[stop] - ends[begin] + sizes.astype(np.uint64)).view(np.int64))
-            got = np.where(sizes > 0, prefix_length(sizes, percent), 0)
-            cols[2].append(as_binary(h[pick], got))
-            cols[3].append(as_binary(c[pick], got))
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.concatenate(cols[0]).astype(np.int64)), pa.array(np.concatenate(cols[1])), pa.concat_arrays(cols[2]), pa.concat_arrays(cols[3])],
-            names=["doc_id", "n_shingles", "cls", "prefix", "ranks"],
-        )
+        task, n_rows = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, off = utf8(b.column(1))
+            cols: list[list] = [[] for _ in range(6)]
+            for i, j in steps(off):
+                n = j - i
+                h, r = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n, k)
+                sizes = np.bincount(r, minlength=n)
+                begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+                c = rank[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((h, c, r))
+                got = np.where(sizes > 0, prefix_length(sizes, percent), 0)
+                pick = order[np.arange(len(h)) - np.repeat(begin, sizes) < np.repeat(got, sizes)]
+                cols[0].append(sizes)
+                cols[1].append(_set_hash(mix64(h ^ U(0x1234567)), begin, sizes, sizes))
+                cols[2].append(_set_hash(mix64(h[pick] ^ U(0x7654321)), np.cumsum(got) - got, got, sizes))
+                cols[3].append(as_binary((h[pick] >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel(), 6 * got))
+                cols[4].append(as_binary(c[pick], got))
+                cols[5].append(as_binary(*parity(h, r, sizes)))
+            num = (np.int64(task) << np.int64(33)) + n_rows + np.arange(b.num_rows)
+            n_rows += b.num_rows
+            flat = [pa.array(np.concatenate(x)) for x in cols[:3]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *flat, pa.array(num), *map(pa.concat_arrays, cols[3:])], names=names)
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_arrow(src, fn, "doc_id long, n_shingles long, cls long, prefix binary, ranks binary")
+    return src.mapInArrow(run, "doc_id long, n_shingles long, cls long, grp long, num long, prefix binary, ranks binary, bits binary")
 
 
-def _postings(reps: DataFrame, parts: int) -> DataFrame:
-    """Prefix shingles of rows ``(cls, size, prefix, ranks)``, packed by hash partition; a class counts once a batch.
+def _set_hash(h: np.ndarray, begin: np.ndarray, lens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.append(U(0), np.cumsum(h, dtype=np.uint64))
+    return mix64(ends[begin + lens] - ends[begin] + sizes.astype(np.uint64)).view(np.int64)
 
-    A blob holds 32 bits of each shingle (its partition knows more of it; a collision only adds a candidate), so a
-    posting takes a few bytes.  A shingle that is frequent by its rank goes to several partitions, by class.
+
+def _postings(named: DataFrame, parts: int) -> DataFrame:
+    """Prefix shingles of rows ``(grp, num, prefix, ranks)``, packed by hash partition; a group counts once a batch.
+
+    A blob holds 32 bits of each shingle (its partition knows more of it; a collision only adds a candidate) and the
+    numbers of rows as differences, so a posting takes some six bytes however many partitions there are.  A
+    shingle that is frequent by its rank goes to several partitions, by row.
     """
 
     def pack(batches):
@@ -129,25 +184,34 @@ def _postings(reps: DataFrame, parts: int) -> DataFrame:
             if not b.num_rows:
                 continue
             b = b.take(pa.array(np.sort(np.unique(b.column(0).to_numpy(), return_index=True)[1])))
-            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            flat = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-            lens = np.array([len(x) for x in flat], np.int64)
-            tokens = np.concatenate(flat)
-            ranks = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(3).to_pylist()]).astype(np.int64)
-            begin = np.cumsum(lens) - lens
-            pos = np.arange(len(tokens)) - np.repeat(begin, lens)
-            which = np.repeat(np.arange(len(ids)), lens)
+            nums = b.column(1).to_numpy()
+            data, off = utf8(b.column(2))
+            lens = np.diff(off) // 6
+            tokens = np.zeros((int(lens.sum()), 8), np.uint8)
+            tokens[:, :6] = data.reshape(-1, 6)
+            tokens = tokens.view("<u8").ravel()
+            ranks = utf8(b.column(3))[0].astype(np.int64)
+            which = np.repeat(np.arange(len(nums)), lens)
             lg = np.maximum(ranks + 1 - int(np.log2(LIST)), 0).astype(np.uint8)
-            part = (mix64(tokens) + _salt(ids[which], lg)) % U(parts)
+            part = (mix64(tokens) + _salt(nums[which], lg)) % U(parts)
             order, names, first, end = by_part(part.astype(np.int64))
             out = []
             for x, y in zip(first, end):
                 pick = order[x:y]
                 known, local = np.unique(which[pick], return_inverse=True)
-                out.append(zip_arrays((tokens[pick] >> U(32)).astype("<u4"), local.astype("<u4"), pos[pick].astype("<u4"), lg[pick], ids[known].astype("<i8"), sizes[known].astype("<u4")))
+                out.append(zip_arrays((tokens[pick] >> U(16)).astype("<u4"), _steps(local), lg[pick], _steps(nums[known])))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
 
-    return reps.mapInArrow(pack, "q int, blob binary")
+    return named.select("grp", "num", "prefix", "ranks").mapInArrow(pack, "q int, blob binary")
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array, its first value at the front, as byte planes."""
+    return np.diff(ascending.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def _unsteps(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
 
 
 def _salt(ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
@@ -159,9 +223,6 @@ def _part_name(name: np.ndarray, ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
     return np.where(lg > 0, mix64(name + U(1) + _salt(ids, lg)), name)
 
 
-_LISTS = "token long, cid long, size int, pos int, salted boolean, leader long, leader_size int, leader_pos int"
-
-
 def _streams(fn):
     """Call ``fn(key, blobs)`` for each run of rows ``(key, blob)`` of one key."""
 
@@ -184,85 +245,77 @@ def _streams(fn):
     return run
 
 
-def _grouped(named: DataFrame) -> DataFrame:
-    """``(cls, rep, size, grp)``: the classes whose prefix and size another class has, the least one (``rep``), too."""
-    keyed = named.select("cls", "n_shingles", F.xxhash64("prefix", "n_shingles").alias("grp"))
-    several = keyed.groupBy("grp").agg(F.min("cls").alias("rep"), F.max("cls").alias("most")).filter("rep < most").select("grp", "rep")
-    return materialize(keyed.join(materialize(several, "groups"), "grp").select("cls", "rep", F.col("n_shingles").cast("int").alias("size"), "grp").distinct(), "grouped")
-
-
-def _expanded(lists: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The lists with all members of each group, and a list of each group's own."""
-    columns = lists.columns
-    members = grouped.select("cls", F.col("rep").alias("cid"))
-    lists = lists.join(members, "cid", "left").withColumn("cid", F.coalesce("cls", "cid")).select(columns)
-    zero = F.lit(0)
-    own = grouped.select(F.col("grp").alias("token"), F.col("cls").alias("cid"), "size", zero.alias("pos"), F.lit(False).alias("salted"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), zero.alias("leader_pos"))
-    return lists.union(own.select(columns))
-
-
 def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
-    """Lists of two or more classes, a row for each class, with the list's leader: its least class.
+    """``(token, part, num)``: lists of two or more rows, a row for each member.
 
-    Shingles with the same classes make one list, named by a hash of its members, with the least position of each:
-    near duplicates share most of their prefixes, so this leaves few lists.  Lists of frequent shingles keep their
-    own name (``token``) whatever their length, since other parts of them lie elsewhere; each part, which is named with
-    its salt, has its own partition and leader.
+    Shingles with the same members make one list, named (``token``) by a hash of its members: near duplicates share
+    most of their prefixes, so this leaves few lists.  Lists of frequent shingles keep their own name whatever their
+    length, since other parts of them lie elsewhere: ``part`` names each part with its salt, in its own partition.
     """
 
     def close(q: int, held: list[bytes]) -> pa.RecordBatch | None:
-        cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "u1", "<i8", "<u4") for x in held]
-        h, pos, lg = (np.concatenate([c[k] for c in cols]) for k in (0, 2, 3))
-        cid, size = (np.concatenate([c[k][c[1]] for c in cols]) for k in (4, 5))
-        home = ((U(q) + U(parts) * (U(1) + _salt(cid, lg) // U(parts)) - _salt(cid, lg)) % U(parts)).astype(np.uint64)
+        cols = [unzip_arrays(x, "<u4", "u1", "u1", "u1") for x in held]
+        h, lg = (np.concatenate([c[k] for c in cols]) for k in (0, 2))
+        num = np.concatenate([_unsteps(c[3])[_unsteps(c[1])] for c in cols])
+        home = (U(q) + U(parts) * (U(1) + _salt(num, lg) // U(parts)) - _salt(num, lg)) % U(parts)
         token = mix64((h.astype(np.uint64) << U(32)) + home)
-        order = np.lexsort((cid, token))
-        token, cid, pos, lg, size = token[order], cid[order], pos[order], lg[order], size[order]
-        once = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
-        token, cid, pos, lg, size = (x[once] for x in (token, cid, pos, lg, size))
+        order = np.lexsort((num, token))
+        token, num, lg = token[order], num[order], lg[order]
+        once = np.append(True, (token[1:] != token[:-1]) | (num[1:] != num[:-1]))
+        token, num, lg = token[once], num[once], lg[once]
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lens = np.diff(np.append(begin, len(token)))
         salted = lg > 0
-        name = np.repeat(mix64(np.add.reduceat(mix64(cid.astype(np.uint64)), begin) + lens.astype(np.uint64)), lens)
+        name = np.repeat(mix64(np.add.reduceat(mix64(num.astype(np.uint64)), begin) + lens.astype(np.uint64)), lens)
         name = np.where(salted, token, name)
         keep = np.repeat(lens > 1, lens) | salted
         if not keep.any():
             return None
-        rows = _least_position(name[keep], cid[keep], size[keep], pos[keep], lg[keep])
-        order, names, first, end = by_part((_part_name(rows[0], rows[1], rows[4]) % U(parts)).astype(np.int64))
-        blobs = [zip_arrays(*(c[order[x:y]] for c in rows)) for x, y in zip(first, end)]
+        name, num, lg = _once(name[keep], num[keep], lg[keep])
+        order, names, first, end = by_part((_part_name(name, num, lg) % U(parts)).astype(np.int64))
+        blobs = [zip_arrays(name[order[x:y]], num[order[x:y]], lg[order[x:y]]) for x, y in zip(first, end)]
         return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
     def join(p: int, held: list[bytes]) -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*(unzip_arrays(x, "<u8", "<i8", "<u4", "<u4", "u1") for x in held))]
-        name, cid, size, pos, lg = _least_position(*cols)
-        part = _part_name(name, cid, lg)
-        order = np.lexsort((cid, part))
-        part, name, cid, size, pos, lg = (x[order] for x in (part, name, cid, size, pos, lg))
-        size, pos = size.astype(np.int32), pos.astype(np.int32)
-        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        lead = np.repeat(begin, np.diff(np.append(begin, len(part))))
-        cols = [name.view(np.int64), cid, size, pos, lg > 0, cid[lead], size[lead], pos[lead]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _LISTS.split(", ")])
+        name, num, lg = _once(*(np.concatenate(c) for c in zip(*(unzip_arrays(x, "<u8", "<i8", "u1") for x in held))))
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(_part_name(name, num, lg).view(np.int64)), pa.array(num)], names=["token", "part", "num"])
 
     lists = postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_streams(close), "p int, blob binary")
-    return lists.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_streams(join), _LISTS)
+    return lists.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_streams(join), "token long, part long, num long")
 
 
-def _least_position(name, cid, size, pos, lg):
-    order = np.lexsort((pos, cid, name))
-    name, cid = name[order], cid[order]
-    once = np.append(True, (name[1:] != name[:-1]) | (cid[1:] != cid[:-1]))
-    pick = order[once]
-    return name[once], cid[once], size[pick].astype("<u4"), pos[pick].astype("<u4"), lg[pick].astype("u1")
+def _once(name, num, lg):
+    """Distinct members of each list, ordered by list and number."""
+    order = np.lexsort((num, name))
+    name, num, lg = name[order], num[order], lg[order]
+    once = np.append(True, (name[1:] != name[:-1]) | (num[1:] != num[:-1]))
+    return name[once], num[once], lg[once]
 
 
-def _fits(sa, pa_, sb, pb, percent):
-    """Size and position filters: whether sets of these sizes that first share a shingle at these positions can
-    reach the similarity."""
-    ok = (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & True
-    need = (percent * (sa + sb) + 99 + percent) // (100 + percent)
-    return ok & (1 + np.minimum(sa - pa_, sb - pb) - 1 >= need)
+def _grouped(named: DataFrame) -> DataFrame:
+    """``(grp, cls, size)``: the classes of each group, that is with one prefix and size."""
+    return named.groupBy("grp", "cls").agg(F.first("n_shingles").alias("size"))
+
+
+def _filtered(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Lists ``(token, part, grp, size)`` without the groups whose size fits no other group of the list.
+
+    Of all sizes, the next ones on either side are those that fit if any does.  A list of one part is ordered as a
+    whole, which its usual length bounds; parts of a salted list stay as they are.
+    """
+    parts = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("token")
+    whole = lists.join(parts, "token", "left_anti")
+    rest = lists.join(parts, "token", "left_semi")
+    by_size = W.partitionBy("token").orderBy("size", "grp")
+    fits = (F.lag("size").over(by_size) * 100 >= percent * F.col("size")) | (F.lead("size").over(by_size) * percent <= 100 * F.col("size"))
+    return whole.withColumn("fits", F.coalesce(fits, F.lit(False))).filter("fits").drop("fits").unionByName(rest)
+
+
+def _expanded(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(token, part, cid, size)``: the lists with all classes of each group, and a list of each group's own."""
+    several = groups.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("grp")
+    own = groups.join(several, "grp").select(F.col("grp").alias("token"), F.col("grp").alias("part"), F.col("cls").alias("cid"), "size")
+    return lists.drop("size").join(groups, "grp").select("token", "part", F.col("cls").alias("cid"), "size").unionByName(own)
 
 
 def _lists(df: DataFrame, keys: list[str], columns: list[str], fn, schema: str) -> DataFrame:
@@ -305,6 +358,34 @@ def _pairs(a, b):
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
 
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and parity bitmaps allow the similarity; ``bits`` is ``(cid, size, bits)``."""
+
+    def test(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 8192):
+                b = batch.slice(s, 8192)
+                sa, sb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
+                room = slack(sa, sb, percent)
+                (da, oa), (db, ob) = utf8(b.column(4)), utf8(b.column(5))
+                wa, wb = np.diff(oa) // 8, np.diff(ob) // 8
+                good = np.zeros(b.num_rows, bool)
+                for x, y in {(int(x), int(y)) for x, y in zip(wa[room >= 0], wb[room >= 0])}:
+                    at = np.flatnonzero((wa == x) & (wb == y) & (room >= 0))
+                    left = fold(_words(da, oa, at, x), min(x, y))
+                    right = fold(_words(db, ob, at, y), min(x, y))
+                    good[at] = np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= room[at]
+                yield b.take(pa.array(np.flatnonzero(good))).select([0, 1])
+
+    near = pairs.join(bits.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
+    return near.select("a", "b", "sa", "sb", "ba", "bb").mapInArrow(test, "a long, b long")
+
+
+def _words(data: np.ndarray, off: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps of some rows, all of ``width`` words."""
+    return data[off[at][:, None] + np.arange(8 * width)].view("<u8")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs ``(a, b)`` of classes whose shingle sets have a Jaccard of ``percent`` or more; ``classes`` names a
     document ``(cls, cid)`` of each."""
@@ -315,15 +396,12 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null and text is not null")
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = np.frombuffer(bitmap.value, np.int64)
-        s = b.column(2).to_numpy()
-        at = np.flatnonzero((m[s >> 6] >> (s & 63)) & 1)
         z = zstandard.ZstdCompressor(level=3)
-        b = b.take(pa.array(at))
+        b = b.take(pa.array(np.flatnonzero(passes(bitmap.value, b.column(2).to_numpy()))))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
-    slotted = src.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("slot"))
-    texts = map_arrow(slotted, pack, "id long, z binary").join(ids, "id").select(F.col("cls").alias("id"), "z")
+    slotted = src.select("id", "text", id_slot("id").alias("slot"))
+    texts = map_arrow(slotted, pack, "id long, z binary").join(ids, "id").dropDuplicates(["id"]).select(F.col("cls").alias("id"), "z")
     texts = materialize(texts, "texts", release=True)
 
     def compare(batches):
@@ -356,8 +434,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
                 yield b.take(pa.array(np.flatnonzero(good))).select([0, 1])
 
     near = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-    out = materialize(near.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long").distinct(), "near", release=True)
+    out = materialize(near.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long"), "near", release=True)
     drop(texts)
+    drop(ids)
     return out
 
 
@@ -368,132 +447,120 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     a text of fewer words has one shingle of them all.  A null text, or one without words, has size 0 and links
     with nothing.  Ids must be unique but for repeated rows; a row with a null id is its own component, null.
     """
-    ids = docs[id_col].cast("long")
     counts = sketch(docs, k, text_col)
     sig = materialize(signatures(docs, counts, percent, k, id_col, text_col), "signatures")
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("cid")), "classes")
-    total = named.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    slim = materialize(sig.select("doc_id", "n_shingles", "cls", "grp", "num"), "documents")
+    known = slim.filter("n_shingles > 0 and doc_id is not null")
+    classes = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("cid")), "classes")
+    total = named.agg(F.sum(F.length("ranks"))).first()[0] or 0
     parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PART)))
-    grouped = _grouped(named)
-    reps = named.select("cls", "n_shingles", "prefix", "ranks").join(grouped.filter("cls <> rep").select("cls"), "cls", "left_anti")
-    lists = materialize(_expanded(_shared_lists(_postings(reps, parts), parts), grouped), "lists", release=True)
-    tops = lists.filter("salted").groupBy("token").agg(F.min(F.struct("leader", "leader_size", "leader_pos")).alias("top"))
-    crossed = lists.filter("salted").select("token", "leader", "leader_size", "leader_pos").distinct().join(tops, "token")
 
-    def filtered(a, sa, xa, b, sb, xb):
-        sa, xa, sb, xb = (F.col(c) for c in (sa, xa, sb, xb))
-        need = F.floor((percent * (sa + sb) + 99 + percent) / F.lit(100 + percent))
-        return (F.col(a) != F.col(b)) & (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (F.least(sa - xa, sb - xb) >= need)
+    members = _shared_lists(_postings(named, parts), parts)
+    lists = materialize(members.join(known.select("num", "grp", F.col("n_shingles").alias("size")), "num").select("token", "part", "grp", "size").distinct(), "lists", release=True)
+    groups = materialize(_grouped(known), "groups")
+    rest = materialize(_expanded(_filtered(lists, groups, percent), groups), "members")
+    drop(lists)
+    drop(groups)
+    wanted = rest.select(F.col("cid").alias("cls")).distinct()
+    of = named.select("cls", F.col("n_shingles").alias("size"), "bits").join(wanted, "cls").dropDuplicates(["cls"])
+    bits = materialize(of.select(F.col("cls").alias("cid"), "size", "bits"), "bitmaps", release=True)
+    drop(sig)
 
     def as_pairs(df, a, b):
         return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
-    star = as_pairs(lists.filter(filtered("cid", "size", "pos", "leader", "leader_size", "leader_pos")), "cid", "leader").union(
-        as_pairs(crossed.filter(filtered("leader", "leader_size", "leader_pos", "top.leader", "top.leader_size", "top.leader_pos")), "leader", "top.leader")
-    )
-    checked = materialize(star.distinct(), "pairs")
-    links = verify(checked, docs, classes, percent, k, id_col, text_col)
-    rest = lists.select("token", "cid", "size", "pos")
-    labels = connected_components(links, "a", "b")
-
-    for step in range(STAR_ROUNDS):
-        last = step == STAR_ROUNDS - 1
-        if step == 0:  # a group's origin shares more of its prefix than any edited copy does, so it is in most lists
-            degree = lists.groupBy(F.col("cid").alias("id")).agg(F.count("*").alias("degree"))
-        else:
-            degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-        state = labels.join(degree, "id", "full").select(F.col("id").alias("cid"), F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        seen = rest.join(state, "cid", "left").select("token", "cid", "size", "pos", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        seen = materialize(seen, "state")
-        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max(F.struct("degree", "cid", "size", "pos", "comp")).alias("top")).filter("lo < hi")
-        mixed = materialize(mixed.select("token", "n", "top"), "mixed")
-        rest = materialize(seen.join(mixed, "token").select("token", "cid", "size", "pos", "comp", "n", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.pos").alias("leader_pos"), F.col("top.comp").alias("leader_comp")), "rest")
-        if last:
-            found = _across(rest, named, percent)
+    links = checked = labels = last = None
+    for step in range(STAR_ROUNDS + 1):
+        degree = rest.groupBy("cid").agg(F.count("*").alias("degree"))
+        state = degree.withColumn("comp", F.col("cid")) if labels is None else degree.join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        seen = materialize(rest.select("token", "part", "cid", "size").join(state, "cid"), "state")
+        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "cid", "size", "comp")).alias("top")).filter("lo < hi")
+        # the leader goes to each part of its list, so that the join's key is as salted as the list is
+        leaders = seen.select("token", "part").distinct().join(mixed.select("token", "top"), "token")
+        led = materialize(seen.join(leaders, ["token", "part"]).select("token", "part", "cid", "size", "comp", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.comp").alias("leader_comp")), "led")
+        drop(rest)
+        drop(seen)
+        drop(last)
+        if led.isEmpty():
+            break
+        if step == STAR_ROUNDS:
+            found = _across(led, bits, percent).distinct()
         else:
-            found = as_pairs(rest.filter("comp != leader_comp").filter(filtered("cid", "size", "pos", "leader", "leader_size", "leader_pos")), "cid", "leader")
-        fresh = materialize(found.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if last:
-                break
-            continue
-        checked = materialize(checked.union(fresh), "checked")
-        more = verify(fresh, docs, classes, percent, k, id_col, text_col)
-        links = materialize(links.union(more), "near")
-        labels = connected_components(links, "a", "b")
-
+            fits = (F.col("comp") != F.col("leader_comp")) & (100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size"))
+            found = possible(as_pairs(led.filter(fits), "cid", "leader").distinct(), bits, percent)
+        fresh = materialize(found if checked is None else found.join(checked, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            more = verify(fresh, docs, classes, percent, k, id_col, text_col)
+            links = more if links is None else materialize(links.union(more), "links")
+            checked = fresh if checked is None else materialize(checked.union(fresh), "checked")
+            labels = connected_components(links, "a", "b").withColumnRenamed("id", "cid")
+        rest, last = led.filter("cid <> leader"), led
+
+    if labels is None:
+        component = classes.withColumn("component", F.col("cls"))
+    else:
+        component = classes.join(labels.withColumnRenamed("cid", "cls"), "cls", "left").select("cls", "cid", F.coalesce("component", "cls").alias("component"))
     # components are named by their least document
-    of_class = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "cid", F.coalesce("component", "cls").alias("component"))
-    of_class = materialize(of_class, "of-class")
-    least = of_class.groupBy("component").agg(F.min("cid").alias("component_id"))
-    final = materialize(of_class.join(least, "component").select("cls", "component_id"), "final")
-    slim = sig.select("doc_id", "n_shingles", "cls")
+    component = materialize(component, "of-class")
+    least = component.groupBy("component").agg(F.min("cid").alias("component_id"))
+    final = materialize(component.join(least, "component").select("cls", "component_id"), "final")
+    slim = slim.select("doc_id", "n_shingles", "cls")
     joined = slim.filter("n_shingles > 0 and doc_id is not null").join(final, "cls").select("doc_id", "n_shingles", "component_id")
     return joined.union(slim.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
 
 
-def _across(rest: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within lists that can still be similar, by blocks of two chunks.
+def _across(led: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within lists that sizes and parity bitmaps allow, by blocks of two chunks.
 
-    Besides the size and position filters, prefixes are compared: the shingles of one prefix up to its last are in
-    the other set only if they are in its prefix (for the prefix that ends first), so the overlap is at most the
-    common prefix and the longer rest.  Pairs that fail never leave their block.
+    A list's largest component needs no comparison with itself: its chunks meet only those of the others, so a list
+    that one component fills costs what its few others cost.  Pairs that fail never leave their block.
     """
-    spark = rest.sparkSession
-    wanted = spark.sparkContext.broadcast(id_bitmap(rest.select("cid").distinct(), "cid"))
-
-    def shorten(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = np.frombuffer(wanted.value, np.int64)
-        slot = b.column(2).to_numpy()
-        cls = b.column(0).to_numpy()
-        at = np.unique(cls, return_index=True)[1]
-        at = at[((m[slot[at] >> 6] >> (slot[at] & 63)) & 1).astype(bool)]
-        short = [(np.frombuffer(x, np.uint64) >> U(32)).astype("<u4").tobytes() for x in b.column(1).take(pa.array(at)).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(short, pa.binary())], names=["cid", "prefix"])
-
-    slotted = named.select("cls", "prefix", F.pmod(F.xxhash64("cls"), F.lit(BITMAP_BITS)).alias("slot"))
-    prefixes = map_arrow(slotted, shorten, "cid long, prefix binary").groupBy("cid").agg(F.min("prefix").alias("prefix"))
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    counts = led.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).filter("most.n < all")
+    sizes = sizes.select("token", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / F.lit(CHUNK)).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("most.n")) / F.lit(CHUNK)).cast("int").alias("minors"))
+    homes = led.select("token", "part").distinct().join(sizes, "token")
+    # chunks of the largest component are numbered down from -1, those of the others up from 0
+    inner = F.col("comp") == F.col("major")
+    chunk = F.when(inner, -1 - F.pmod(F.xxhash64("cid"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("minors"))).cast("int")
+    others = F.when(inner, F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(-F.col("majors"), F.col("minors") - 1))
     blocks = (
-        rest.select("token", "cid", "size", "pos", "comp", "n")
-        .join(prefixes, "cid")
-        .withColumn("c", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "comp", "cid", "size", "pos", "c", "prefix")
+        led.join(homes, ["token", "part"])
+        .join(bits.select("cid", "bits"), "cid")
+        .select("token", "comp", "cid", "size", "bits", chunk.alias("c"), F.explode(others).alias("o"))
+        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "size", "cid", "comp", "c", "bits")
     )
 
     def cross(cols, begin):
-        _, ci, cj, comp, cid, size, pos, c, prefix = cols
+        _, ci, cj, size, cid, comp, c, blobs = cols
         ends = np.append(begin[1:], len(cid))
         out_a, out_b = [], []
         for s, e in zip(begin.tolist(), ends.tolist()):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
-            sz, ps, cm, cc = size[s:e].astype(np.int64), pos[s:e].astype(np.int64), comp[s:e], c[s:e]
-            flat = [np.frombuffer(x, "<u4") for x in prefix[s:e]]
-            lens = np.array([len(x) for x in flat], np.int64)
-            first = np.cumsum(lens) - lens
-            codes = np.unique(np.concatenate(flat), return_inverse=True)[1]
-            table = np.zeros(int(codes.max()) + 1, bool)
-            for i in range(e - s - 1):
-                ok = (cm[i + 1 :] != cm[i]) & _fits(sz[i], ps[i], sz[i + 1 :], ps[i + 1 :], percent)
-                if ci[s] != cj[s]:
-                    ok &= cc[i + 1 :] != cc[i]
-                if ok.any():
-                    own = codes[first[i] : first[i] + lens[i]]
-                    table[own] = True
-                    common = np.add.reduceat(table[codes].astype(np.int64), first)[i + 1 :]
-                    table[own] = False
-                    left = np.maximum(sz[i] - lens[i], sz[i + 1 :] - lens[i + 1 :])
-                    need = (percent * (sz[i] + sz[i + 1 :]) + 99 + percent) // (100 + percent)
-                    ok &= common + left >= need
-                    j = np.flatnonzero(ok)
-                    out_a.append(np.full(len(j), cid[s + i]))
-                    out_b.append(cid[s + i + 1 + j])
+            sz, cm, cc, ids = size[s:e].astype(np.int64), comp[s:e], c[s:e], cid[s:e]
+            widths = np.array([len(x) // 8 for x in blobs[s:e]])
+            # rows ascend by size, so bitmaps ascend by length; those that fit are as long or twice as long
+            for w in np.unique(widths):
+                own = np.flatnonzero(widths == w)
+                reach = np.flatnonzero((widths == w) | (widths == 2 * w))
+                maps = np.concatenate([fold(np.frombuffer(b"".join(blobs[s + k] for k in reach if widths[k] == x), "<u8").reshape(-1, x), w) for x in (w, 2 * w) if (widths == x).any()])
+                for i in own.tolist():
+                    at = i - own[0]
+                    room = slack(sz[i], sz[reach[at + 1 :]], percent)
+                    j = reach[at + 1 :]
+                    ok = (room >= 0) & (cm[j] != cm[i])
+                    if ci[s] != cj[s]:
+                        ok &= cc[j] != cc[i]
+                    where = np.flatnonzero(ok)
+                    if len(where):
+                        odd = np.bitwise_count(maps[at + 1 + where] ^ maps[at]).sum(1, dtype=np.int64)
+                        j = j[where[odd <= room[where]]]
+                        out_a.append(np.full(len(j), ids[i]))
+                        out_b.append(ids[j])
         if out_a:
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
             yield _pairs(both[0], both[1])
 
-    return _lists(blocks, ["token", "ci", "cj"], ["comp", "cid", "size", "pos", "c", "prefix"], cross, "a long, b long")
+    return _lists(blocks, ["token", "ci", "cj"], ["size", "cid", "comp", "c", "bits"], cross, "a long, b long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlink.llm.common import BITMAP_BITS, U, as_binary, by_part, id_bitmap, map_arrow, mix64, steps, unzip_arrays, utf8, zip_arrays
+from strandlink.llm.common import U, as_binary, by_part, id_bitmap, id_slot, map_arrow, mix64, passes, steps, unzip_arrays, utf8, zip_arrays
 from strandlink.plans.stages import drop, materialize
 
 WIDTH = 50
@@ -245,14 +245,12 @@ def _filter_pack(docs: DataFrame, bitmap, id_col: str, text_col: str, width: int
     """Ids and compressed texts of documents that pass the bitmap and are long enough."""
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = np.frombuffer(bitmap.value, np.int64)
-        s = b.column(2).to_numpy()
-        at = pa.array(np.flatnonzero((m[s >> 6] >> (s & 63)) & 1))
+        at = pa.array(np.flatnonzero(passes(bitmap.value, b.column(2).to_numpy())))
         z = zstandard.ZstdCompressor(level=3)
         return pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([z.compress(t.encode()) for t in b.column(1).take(at).to_pylist()], pa.binary())], names=["doc_id", "z"])
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {width}")
-    return map_arrow(src.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))), pack, "doc_id long, z binary")
+    return map_arrow(src.withColumn("slot", id_slot("doc_id")), pack, "doc_id long, z binary")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM):
@@ -270,7 +268,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     g_parts = max(shuffle, -(-total // (64 << 20)))
     bitmap = spark.sparkContext.broadcast(id_bitmap(unique, "doc_id"))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {width}")
-    src = src.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
+    src = src.withColumn("slot", id_slot("doc_id"))
 
     def list_anchors(batches):
         held: list = []
@@ -288,9 +286,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
 
         for b in batches:
-            m = np.frombuffer(bitmap.value, np.int64)
-            s = b.column(2).to_numpy()
-            b = b.take(pa.array(np.flatnonzero((m[s >> 6] >> (s & 63)) & 1)))
+            b = b.take(pa.array(np.flatnonzero(passes(bitmap.value, b.column(2).to_numpy()))))
             data, off = utf8(b.column(1))
             ids = b.column(0).to_numpy()
             for i, j in steps(off):

@@ -118,31 +118,65 @@ def test_token_dictionary_sample_is_bounded(spark, monkeypatch):
 
 def test_ngram_join_groups_equal_prefixes(spark, monkeypatch):
     texts = grouped_texts()
-    sent = []
-    monkeypatch.setattr(ngram_join, "sketch", lambda *a: np.zeros(1 << ngram_join.SKETCH_BITS, np.int64))  # order by hash alone
-    postings = ngram_join._postings
-    monkeypatch.setattr(ngram_join, "_postings", lambda reps, parts: sent.append(reps.select("cls").distinct().count()) or postings(reps, parts))
+    listed = []
+    flat = np.zeros(1 << ngram_join.SKETCH_BITS, np.int64)  # order by hash alone
+    monkeypatch.setattr(ngram_join, "sketch", lambda *a: flat)
+    expanded = ngram_join._expanded
+    monkeypatch.setattr(ngram_join, "_expanded", lambda lists, groups: listed.append((lists.select("grp").distinct().count(), groups.count())) or expanded(lists, groups))
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
     assert got == {**{k: 0 for k in range(40)}, 40: 40, 41: 40}
-    assert sent[0] < 30  # of 41 classes
-    # a group alone, whose shingles no other class holds
-    pair = next([texts[a], texts[b]] for a in range(40) for b in range(a) if ngram_join._grouped(ngram_join.signatures(docs_frame(spark, [texts[a], texts[b]]), np.zeros(1 << ngram_join.SKETCH_BITS))).count())
+    assert listed[0][0] < 30 and listed[0][1] == 41  # groups in the lists, classes in all
+    # a group alone, whose shingles no other group holds
+    groups = ngram_join.signatures(docs_frame(spark, texts[:40]), flat).groupBy("grp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").first()
+    pair = [texts[groups["a"]], texts[groups["b"]]]
     assert {r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, pair)).collect()} == {0}
-    assert sent[1] == 1
+    assert listed[1] == (0, 2)
 
 
-def test_ngram_join_salted_lists_have_leaders(spark, monkeypatch):
+def test_ngram_join_salted_lists_have_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST", 4)
     rng = random.Random(9)
     texts = ["common words of every text " + " ".join(f"s{rng.randrange(10**6)}" for _ in range(3)) for _ in range(64)]
     docs = docs_frame(spark, texts)
-    named = ngram_join.signatures(docs, ngram_join.sketch(docs), percent=10).select("cls", "n_shingles", "prefix", "ranks")
-    lists = ngram_join._shared_lists(ngram_join._postings(named, 16), 16).filter("salted").withColumn("task", F.spark_partition_id()).collect()
+    named = ngram_join.signatures(docs, ngram_join.sketch(docs), percent=10)
+    lists = ngram_join._shared_lists(ngram_join._postings(named, 16), 16).withColumn("task", F.spark_partition_id()).collect()
     token = max({r["token"] for r in lists}, key=lambda t: sum(r["token"] == t for r in lists))
     hot = [r for r in lists if r["token"] == token]
-    leaders = {r["leader"] for r in hot}
-    assert len(hot) == 64 and len(leaders) > 4 and len({r["task"] for r in hot}) > 4
-    assert all(min(r["cid"] for r in hot if r["leader"] == x) == x for x in leaders)
+    assert len({r["num"] for r in hot}) == len(hot) == 64
+    assert len({r["part"] for r in hot}) > 4 and len({r["task"] for r in hot}) > 4
+
+
+def test_ngram_join_blocks_of_components(spark, monkeypatch):
+    """Members that no leader reaches meet in blocks, whatever their chunks and component."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base[:k] + [f"n{j}"] + base[k + 1 :]) for j in range(40) for k in [rng.randrange(100)]] + [" ".join(base[::-1] + [f"m{k}"]) for k in range(7)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert got == dict(enumerate(roots(len(sets), edges)))
+
+
+def test_parity_bound_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 40, 300, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[: n - n // 5], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)))
+        maps, sizes = ngram_join.parity(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
+        x, y = (m.view("<u8")[None] for m in np.split(maps, [sizes[0]]))
+        width = min(x.shape[1], y.shape[1])
+        odd = int(np.bitwise_count(ngram_join.fold(x, width) ^ ngram_join.fold(y, width)).sum())
+        differ = len(np.setxor1d(a, b))
+        assert odd <= differ and odd >= differ * 0.6
+
+
+def test_ngram_join_rows(spark):
+    same = "one two three four five six seven"
+    rows = [(None, same, 1), (None, None, 1), (3, same, 1), (3, same, 2), (4, same + " ", 1), (5, "", 1), (6, None, 1), (7, "\t \n", 1)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, cls int")).collect()
+    assert sorted(((r[0] or -1, r[1], r[2] or -1) for r in got)) == [(-1, 0, -1), (-1, 3, -1), (3, 3, 3), (3, 3, 3), (4, 3, 3), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
 
 
 def test_embeddings(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -170,6 +172,28 @@ def by_part(part: np.ndarray):
     return order, names, begin, np.append(begin[1:], len(part))
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers keep what their last task left."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` whose worker gives its memory back when a partition is done."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -178,7 +202,37 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
+
+
+def by_key(fn: Callable, *names: str) -> Callable:
+    """Call ``fn(key, blobs)`` for each run of rows ``(key, blob)`` of one key; it returns a batch or None, or, where
+    the name of the new key is given, a list of ``(key, blob)``."""
+
+    def made(key, held):
+        out = fn(key, held)
+        if names and out is not None:
+            keys, blobs = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=[*names, "blob"])
+        return out
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != key and held:
+                    out = made(key, held)
+                    if out is not None and out.num_rows:
+                        yield out
+                    held = []
+                key = k
+                held.append(blob)
+        if held:
+            out = made(key, held)
+            if out is not None and out.num_rows:
+                yield out
+
+    return run
 
 
 def crc_mod(column: str | Column, m: int = 4) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandlink.llm.common import U, as_binary, by_part, distinct_sets, id_bitmap, id_slot, map_arrow, mix64, passes, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
+from strandlink.llm.common import U, arrow_map, as_binary, by_key, by_part, distinct_sets, id_bitmap, id_slot, map_arrow, mix64, passes, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
 from strandlink.operators.components import connected_components
 from strandlink.plans.stages import drop, materialize
 
@@ -74,7 +74,7 @@ def sketch(docs: DataFrame, k: int = 5, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([_narrow(x) for x in acc.values()])], names=["part", "c"])
 
     schema = "part int, c binary"
-    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    rows = arrow_map(arrow_map(docs.select(docs[text_col].cast("string").alias("text")), count, schema).repartition("part"), add, schema)
     out = np.zeros(size, np.int64)
     for r in rows.collect():
         out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = _widen(r["c"])
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int =
             yield pa.RecordBatch.from_arrays([b.column(0), *flat, pa.array(num), *map(pa.concat_arrays, cols[3:])], names=names)
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, cls long, grp long, num long, prefix binary, ranks binary, bits binary")
+    return arrow_map(src, run, "doc_id long, n_shingles long, cls long, grp long, num long, prefix binary, ranks binary, bits binary")
 
 
 def _set_hash(h: np.ndarray, begin: np.ndarray, lens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def _postings(named: DataFrame, parts: int) -> DataFrame:
                 out.append(zip_arrays((tokens[pick] >> U(16)).astype("<u4"), _steps(local), lg[pick], _steps(nums[known])))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
 
-    return named.select("grp", "num", "prefix", "ranks").mapInArrow(pack, "q int, blob binary")
+    return arrow_map(named.select("grp", "num", "prefix", "ranks"), pack, "q int, blob binary")
 
 
 def _steps(ascending: np.ndarray) -> np.ndarray:
@@ -223,28 +223,6 @@ def _part_name(name: np.ndarray, ids: np.ndarray, lg: np.ndarray) -> np.ndarray:
     return np.where(lg > 0, mix64(name + U(1) + _salt(ids, lg)), name)
 
 
-def _streams(fn):
-    """Call ``fn(key, blobs)`` for each run of rows ``(key, blob)`` of one key."""
-
-    def run(batches):
-        key, held = None, []
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != key and held:
-                    out = fn(key, held)
-                    if out is not None:
-                        yield out
-                    held = []
-                key = k
-                held.append(blob)
-        if held:
-            out = fn(key, held)
-            if out is not None:
-                yield out
-
-    return run
-
-
 def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
     """``(token, part, num)``: lists of two or more rows, a row for each member.
 
@@ -280,8 +258,8 @@ def _shared_lists(postings: DataFrame, parts: int) -> DataFrame:
         name, num, lg = _once(*(np.concatenate(c) for c in zip(*(unzip_arrays(x, "<u8", "<i8", "u1") for x in held))))
         return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(_part_name(name, num, lg).view(np.int64)), pa.array(num)], names=["token", "part", "num"])
 
-    lists = postings.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_streams(close), "p int, blob binary")
-    return lists.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_streams(join), "token long, part long, num long")
+    lists = arrow_map(postings.repartition(parts, "q").sortWithinPartitions("q"), by_key(close), "p int, blob binary")
+    return arrow_map(lists.repartition(parts, "p").sortWithinPartitions("p"), by_key(join), "token long, part long, num long")
 
 
 def _once(name, num, lg):
@@ -350,7 +328,7 @@ def _lists(df: DataFrame, keys: list[str], columns: list[str], fn, schema: str)
                 change[1:] |= c[1:] != c[:-1]
             yield from fn(held, np.concatenate(([0], np.flatnonzero(change))))
 
-    return ordered.mapInArrow(run, schema)
+    return arrow_map(ordered, run, schema)
 
 
 def _pairs(a, b):
@@ -378,7 +356,7 @@ def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                 yield b.take(pa.array(np.flatnonzero(good))).select([0, 1])
 
     near = pairs.join(bits.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
-    return near.select("a", "b", "sa", "sb", "ba", "bb").mapInArrow(test, "a long, b long")
+    return arrow_map(near.select("a", "b", "sa", "sb", "ba", "bb"), test, "a long, b long")
 
 
 def _words(data: np.ndarray, off: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -434,7 +412,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
                 yield b.take(pa.array(np.flatnonzero(good))).select([0, 1])
 
     near = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-    out = materialize(near.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long"), "near", release=True)
+    out = materialize(arrow_map(near.select("a", "b", "za", "zb"), compare, "a long, b long"), "near", release=True)
     drop(texts)
     drop(ids)
     return out

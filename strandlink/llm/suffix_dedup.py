@@ -6,13 +6,14 @@ anchors at equal places, so comparing the suffixes that start at anchors finds e
 
 1. Exact copies: a text's hash and the least id that has it.  Later copies repeat it whole.
 2. Anchor hashes of the other texts are packed by hash partition; those of two or more documents are flagged back
-   to their documents.  Anchors of very many rows are flagged hot.
+   to their documents.  An anchor that a map task meets often is flagged there and sent on as a mere count, so no
+   partition holds all rows of a frequent anchor.
 3. Flagged anchors bring the stretch of text that their windows cover.  A task sorts its suffixes: multikey
    quicksort on machine words to the depth of the anchor, then a blind trie for each group that is still equal.
    Windows with an equal right part are runs of the suffix array above an LCP; an equal left part is a hash; the
    least document id of a run decides.
-4. Hot anchors go another exact way, which a single task need not hold: each of their windows is a row keyed by a
-   128-bit hash, whose least document id is a partial aggregate.
+4. The stretches of a hot anchor are cut, by the place of the anchor in the window, into shorter ones that lie in
+   partitions of their own; equal ones are collapsed by each map task before they are sent to the same sort.
 5. Intervals are merged for each document.
 """
 
@@ -23,12 +24,13 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlink.llm.common import U, as_binary, by_part, id_bitmap, id_slot, map_arrow, mix64, passes, steps, unzip_arrays, utf8, zip_arrays
+from strandlink.llm.common import U, arrow_map, as_binary, by_key, by_part, id_bitmap, id_slot, map_arrow, mix64, passes, steps, unzip_arrays, utf8, zip_arrays
 from strandlink.plans.stages import drop, materialize
 
 WIDTH = 50
@@ -36,8 +38,13 @@ GRAM = 16
 #: Anchors that one partition of step 2, and one of step 3, holds on average.
 PER_PART = 400_000
 PER_SORT = 40_000
-#: Rows of one anchor from which it is hot.
+#: Rows of one anchor from which it is hot: this many, or this share of all anchors, which bounds the hot ones.
 HOT = 20_000
+HOT_SHARE = 1 << 20
+#: Rows of one anchor among those that a map task packs at once from which it sends a count.
+OFTEN = 64
+#: Window places of a hot anchor's shorter stretches.
+PLACES = 5
 #: Anchors that a map task packs at once.
 FLUSH = 1_500_000
 
@@ -266,6 +273,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = unique.agg(F.sum("n_bytes")).first()[0] or 0
     q_parts = max(shuffle, -(-total * 2 // ((width - gram + 2) * PER_PART)))
     g_parts = max(shuffle, -(-total // (64 << 20)))
+    hot_rows = max(HOT, total * 2 // ((width - gram + 2) * HOT_SHARE))
     bitmap = spark.sparkContext.broadcast(id_bitmap(unique, "doc_id"))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {width}")
     src = src.withColumn("slot", id_slot("doc_id"))
@@ -276,14 +284,31 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def flush():
             h, ids, ordinal = (np.concatenate(x) for x in zip(*held))
-            order, names, begin, end = by_part((h % U(q_parts)).astype(np.int64))
-            out = []
-            for a, b in zip(begin, end):
-                pick = order[a:b]
-                known, which = np.unique(ids[pick], return_inverse=True)
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            h, ids, ordinal = h[order], ids[order], ordinal[order]
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            lens = np.diff(np.append(begin, len(h)))
+            often = (lens >= OFTEN) & (np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin))
+            here = np.repeat(often, lens)
+            known, counts = h[begin[often]], lens[often]
+            names, out = [], []
+            if here.any():  # flagged already
+                for g, blob in _mark_blobs(ids[here], ordinal[here], g_parts):
+                    names.append(q_parts + g)
+                    out.append(blob)
+                h, ids, ordinal = h[~here], ids[~here], ordinal[~here]
+            part, where = (h % U(q_parts)).astype(np.int64), (known % U(q_parts)).astype(np.int64)
+            order, first, begin, end = by_part(part)
+            spans = dict(zip(first.tolist(), zip(begin, end)))
+            for q in sorted({*spans, *where.tolist()}):
+                x, y = spans.get(q, (0, 0))
+                pick, own = order[x:y], where == q
+                docs_, which = np.unique(ids[pick], return_inverse=True)
                 by = np.lexsort((ordinal[pick], which))
-                out.append(zip_arrays((h[pick][by] >> U(32)).astype("<u4"), which[by].astype("<u4"), ordinal[pick][by].astype("<u4"), known.astype("<i8")))
-            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["q", "blob"])
+                names.append(q)
+                out.append(zip_arrays((h[pick][by] >> U(32)).astype("<u4"), which[by].astype("<u4"), ordinal[pick][by].astype("<u4"), docs_.astype("<i8"), (known[own] >> U(32)).astype("<u4"), counts[own].astype("<i8")))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["q", "blob"])
 
         for b in batches:
             b = b.take(pa.array(np.flatnonzero(passes(bitmap.value, b.column(2).to_numpy()))))
@@ -297,83 +322,63 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     n += len(row)
             if n >= FLUSH:
                 yield flush()
-                held.clear()
                 n = 0
         if held:
             yield flush()
 
-    blobs = src.mapInArrow(list_anchors, "q int, blob binary")
-
-    def flag(batches):
-        q, held = None, []
-
-        def close():
-            cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "<i8") for x in held]
-            h = np.concatenate([c[0] for c in cols])
-            ids = np.concatenate([c[3][c[1]] for c in cols])
-            ordinal = np.concatenate([c[2] for c in cols])
-            order = np.argsort(h, kind="stable")
-            h, ids, ordinal = h[order], ids[order], ordinal[order]
-            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            lens = np.diff(np.append(begin, len(h)))
-            shared = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
-            keep = np.repeat(shared, lens)
-            hot = np.repeat(lens >= HOT, lens)
-            ids, mark = ids[keep], (ordinal[keep].astype(np.uint32) << np.uint32(1)) | hot[keep].astype(np.uint32)
-            if not len(ids):
-                return None
-            order, names, begin, end = by_part((mix64(ids.astype(np.uint64)) % U(g_parts)).astype(np.int64))
-            out = [zip_arrays(*_grouped(ids[order[a:b]], mark[order[a:b]])) for a, b in zip(begin, end)]
-            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(out, pa.binary())], names=["g", "blob"])
-
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != q and held:
-                    out = close()
-                    if out is not None:
-                        yield out
-                    held = []
-                q = k
-                held.append(blob)
-        if held:
-            out = close()
-            if out is not None:
-                yield out
-
-    def regroup(batches):
-        g, held = None, []
-
-        def close():
-            cols = [unzip_arrays(x, "<i8", "<i8", "<u4") for x in held]
-            ids = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
-            known, count, mark = _grouped(ids, np.concatenate([c[2] for c in cols]))
-            return pa.RecordBatch.from_arrays([pa.array(known), as_binary(mark, count)], names=["doc_id", "marks"])
-
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != g and held:
-                    yield close()
-                    held = []
-                g = k
-                held.append(blob)
-        if held:
-            yield close()
-
-    marks = blobs.repartition(q_parts, "q").sortWithinPartitions("q").mapInArrow(flag, "g int, blob binary")
-    flags = materialize(marks.repartition(g_parts, "g").sortWithinPartitions("g").mapInArrow(regroup, "doc_id long, marks binary"), "flags", release=True)
-    n_marks = flags.agg(F.sum(F.length("marks") / 4)).first()[0] or 0
+    blobs = arrow_map(src, list_anchors, "q int, blob binary")
+
+    def flag(q: int, held: list[bytes]):
+        if q >= q_parts:
+            return [(q - q_parts, x) for x in held]
+        cols = [unzip_arrays(x, "<u4", "<u4", "<u4", "<i8", "<u4", "<i8") for x in held]
+        often, count = (np.concatenate([c[k] for c in cols]) for k in (4, 5))
+        h = np.concatenate([c[0] for c in cols])
+        ids = np.concatenate([c[3][c[1]] for c in cols])
+        ordinal = np.concatenate([c[2] for c in cols])
+        known, at = np.unique(np.concatenate((h, often)), return_inverse=True)
+        rows = np.bincount(at, np.concatenate((np.ones(len(h), np.int64), count)), len(known))
+        shared = np.zeros(len(known), bool)
+        shared[at[len(h) :]] = True  # in two documents of one map task
+        at = at[: len(h)]
+        least, most = np.full(len(known), 2**63 - 1), np.full(len(known), -(2**63))
+        np.minimum.at(least, at, ids)
+        np.maximum.at(most, at, ids)
+        keep = (shared | (least < most))[at]
+        out = list(_mark_blobs(ids[keep], ordinal[keep], g_parts)) if keep.any() else []
+        hot = known[rows >= hot_rows].astype(np.int64) * q_parts + q
+        if len(hot):
+            out.append((-1, zip_arrays(np.zeros(1, "<i8"), np.ones(1, "<i8"), hot.astype("<i8"))))
+        return out
+
+    def regroup(g: int, held: list[bytes]):
+        if g < 0:
+            hot = np.concatenate([unzip_arrays(x, "<i8", "<i8", "<i8")[2] for x in held])
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([hot.tobytes()], pa.binary())], names=["doc_id", "marks"])
+        cols = [unzip_arrays(x, "<i8", "<i8", "<u4") for x in held]
+        ids = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
+        known, count, mark = _grouped(ids, np.concatenate([c[2] for c in cols]))
+        return pa.RecordBatch.from_arrays([pa.array(known), as_binary(mark, count)], names=["doc_id", "marks"])
+
+    marks = arrow_map(blobs.repartition(q_parts, "q").sortWithinPartitions("q"), by_key(flag, "g"), "g int, blob binary")
+    flags = materialize(arrow_map(marks.repartition(g_parts, "g").sortWithinPartitions("g"), by_key(regroup), "doc_id long, marks binary"), "flags", release=True)
+    hot = np.unique(np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r["marks"], "<i8") for r in flags.filter("doc_id is null").toLocalIterator())]))
+    hot_keys = spark.sparkContext.broadcast(hot.tobytes())  # HOT_SHARE of them at most
+    n_marks = flags.filter("doc_id is not null").agg(F.sum(F.length("marks") / 4)).first()[0] or 0
     r_parts = max(shuffle, int(-(-n_marks // PER_SORT)))
-    marked = spark.sparkContext.broadcast(id_bitmap(flags.select("doc_id"), "doc_id"))
+    marked = spark.sparkContext.broadcast(id_bitmap(flags.filter("doc_id is not null").select("doc_id"), "doc_id"))
     texts = _filter_pack(docs, marked, id_col, text_col, width)
     joined = flags.join(texts, "doc_id")
 
     def stretches(batches):
         held: list = []
         n = 0
+        hot_known = np.frombuffer(hot_keys.value, "<i8")
 
         def flush():
-            ids, start, left, size, part, hot = (np.concatenate([x[k] for x in held]) for k in range(6))
-            text = np.concatenate([x[6] for x in held])
+            ids, start, left, size, part = (np.concatenate([x[k] for x in held]) for k in range(5))
+            text = np.concatenate([x[5] for x in held])
+            held.clear()
             at = np.cumsum(size) - size
             order, names, begin, end = by_part(part)
             names_out, out = [], []
@@ -383,7 +388,26 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 known, which = np.unique(ids[pick], return_inverse=True)
                 names_out.append(name)
                 out.append(zip_arrays(which.astype("<u4"), start[pick].astype("<u4"), left[pick].astype("u1"), size[pick].astype("u1"), known.astype("<i8"), text[where]))
-            return pa.RecordBatch.from_arrays([pa.array(names_out, pa.int32()), pa.array(out, pa.binary())], names=["r", "blob"])
+            return names_out, out
+
+        def both():
+            """Stretches to sort, and the intervals of hot ones that repeat an equal one of the same batch of rows."""
+            hot_rows_ = [k for k, x in enumerate(held) if x[6]]
+            repeated = []
+            if hot_rows_:
+                ids, start, left, size, part = (np.concatenate([held[k][c] for k in hot_rows_]) for c in range(5))
+                text = np.concatenate([held[k][5] for k in hot_rows_])
+                for k in hot_rows_[::-1]:
+                    del held[k]
+                keep, later = _collapse(text, left, size, part, ids)
+                at = np.cumsum(size) - size
+                sz = size[keep]
+                where = np.arange(int(sz.sum())) + np.repeat(at[keep] - (np.cumsum(sz) - sz), sz)
+                held.append((ids[keep], start[keep], left[keep], sz, part[keep], text[where], False))
+                if len(later):
+                    repeated.append(zip_arrays(ids[later].astype("<i8"), start[later].astype("<i8"), (start + size)[later].astype("<i8")))
+            names, out = flush()
+            return pa.RecordBatch.from_arrays([pa.array(names + [-1] * len(repeated), pa.int32()), pa.array(out + repeated, pa.binary())], names=["r", "blob"])
 
         for whole in batches:
             for s in range(0, whole.num_rows, 200):
@@ -396,72 +420,46 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 marks = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column(1).to_pylist()]
                 row, p, s0, s1, h = anchors(data, off, width, gram)
                 begin = np.searchsorted(row, np.arange(len(bodies)))
-                pick = np.concatenate([begin[k] + (m >> 1) for k, m in enumerate(marks)])
-                hot = np.concatenate([m & 1 for m in marks])
-                size = s1[pick] + width - s0[pick]
-                where = np.arange(int(size.sum())) + np.repeat(s0[pick] - (np.cumsum(size) - size), size)
-                part = np.where(hot == 1, -1, (mix64(h[pick] ^ _B) % U(r_parts)).astype(np.int64))
-                held.append((ids[row[pick]], s0[pick] - off[row[pick]], p[pick] - s0[pick], size, part, hot, data[where]))
-                n += len(pick)
+                pick = np.concatenate([begin[k] + m for k, m in enumerate(marks)])
+                row, p, s0, end, h = row[pick], p[pick], s0[pick], s1[pick] + width, h[pick]
+                key = (h >> U(32)).astype(np.int64) * q_parts + (h % U(q_parts)).astype(np.int64)
+                is_hot = np.isin(key, hot_known)
+                for hot_part in (False, True):
+                    of = np.flatnonzero(is_hot == hot_part)
+                    if not len(of):
+                        continue
+                    at, s_, e_, place = p[of], s0[of], end[of], np.zeros(len(of), np.int64)
+                    if hot_part:
+                        src_, s_, e_, place = _cut_places(at, s_, e_, width)
+                        of, at = of[src_], at[src_]
+                    size = e_ - s_
+                    where = np.arange(int(size.sum())) + np.repeat(s_ - (np.cumsum(size) - size), size)
+                    part = (mix64(h[of] ^ _B + place.astype(np.uint64)) % U(r_parts)).astype(np.int64)
+                    held.append((ids[row[of]], s_ - off[row[of]], at - s_, size, part, data[where], hot_part))
+                    n += len(of)
                 if n >= FLUSH // 4:
-                    yield flush()
-                    held, n = [], 0
+                    yield both()
+                    n = 0
         if held:
-            yield flush()
+            yield both()
 
-    packed = materialize(joined.select("doc_id", "marks", "z").mapInArrow(stretches, "r int, blob binary"), "stretches", release=True)
+    packed = materialize(arrow_map(joined.select("doc_id", "marks", "z"), stretches, "r int, blob binary"), "stretches", release=True)
     drop(flags)
     cut = "doc_id long, s int, e int"
 
-    def sort(batches):
-        r, held = None, []
-
-        def close():
-            cols = [unzip_arrays(x, "<u4", "<u4", "u1", "u1", "<i8", "u1") for x in held]
-            ids = np.concatenate([c[4][c[0]] for c in cols])
-            start, left, size = (np.concatenate([c[k] for c in cols]).astype(np.int64) for k in (1, 2, 3))
-            row, a, b = matched_windows(np.concatenate([c[5] for c in cols]), left, size, ids, width, gram)
-            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((start[row] + a).astype(np.int32)), pa.array((start[row] + b).astype(np.int32))], names=["doc_id", "s", "e"])
+    def sort(r: int, held: list[bytes]):
+        cols = [unzip_arrays(x, "<u4", "<u4", "u1", "u1", "<i8", "u1") for x in held]
+        ids = np.concatenate([c[4][c[0]] for c in cols])
+        start, left, size = (np.concatenate([c[k] for c in cols]).astype(np.int64) for k in (1, 2, 3))
+        row, a, b = matched_windows(np.concatenate([c[5] for c in cols]), left, size, ids, width, gram)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((start[row] + a).astype(np.int32)), pa.array((start[row] + b).astype(np.int32))], names=["doc_id", "s", "e"])
 
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != r and held:
-                    yield close()
-                    held = []
-                r = k
-                held.append(blob)
-        if held:
-            yield close()
+    def unpack(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, s, e = (np.concatenate(c) for c in zip(*(unzip_arrays(x, "<i8", "<i8", "<i8") for x in b.column(0).to_pylist())))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "s", "e"])
 
-    normal = packed.filter("r >= 0").repartition(r_parts, "r").sortWithinPartitions("r").mapInArrow(sort, cut)
-
-    def windows(batches):
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                which, start, left, size, known, text = unzip_arrays(blob, "<u4", "<u4", "u1", "u1", "<i8", "u1")
-                for i in range(0, len(size), 50_000):
-                    sz = size[i : i + 50_000].astype(np.int64)
-                    at0 = int(size[:i].astype(np.int64).sum())
-                    count = sz - width + 1
-                    base_at = np.cumsum(sz) - sz
-                    rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    at = np.repeat(base_at, count) + rel
-                    t = np.append(text[at0 : at0 + int(sz.sum())], np.zeros(8, np.uint8))
-                    words = np.ndarray((len(t) - 7,), "<u8", buffer=t.tobytes(), strides=(1,))
-                    h1, h2 = np.zeros(len(at), np.uint64), np.full(len(at), _B)
-                    for k in [*range(0, width - 7, 8), width - 8]:
-                        w = words[at + k]
-                        h1 = mix64(h1 * _A + w)
-                        h2 = mix64(h2 ^ w) * _B
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.repeat(known[which[i : i + 50_000]], count)), pa.array((np.repeat(start[i : i + 50_000].astype(np.int64), count) + rel).astype(np.int32))],
-                        names=["h1", "h2", "doc_id", "s"],
-                    )
-
-    hot = packed.filter("r = -1").select("blob").mapInArrow(windows, "h1 long, h2 long, doc_id long, s int")
-    # written first, so that the join has a plain exchange on either side, which adaptive execution can split
-    least = materialize(hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "hot-windows")
-    repeated = hot.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "s", (F.col("s") + width).alias("e"))
+    sorted_ = arrow_map(packed.filter("r >= 0").repartition(r_parts, "r").sortWithinPartitions("r"), by_key(sort), cut)
+    repeated = map_arrow(packed.filter("r = -1").select("blob"), unpack, cut)
 
     def merge(batches):
         held = None
@@ -478,12 +476,45 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held is not None and len(held[0]):
             yield _merged(*held)
 
-    spans = normal.union(repeated).repartition(shuffle, "doc_id").sortWithinPartitions("doc_id", "s").mapInArrow(merge, "doc_id long, spans binary")
+    spans = arrow_map(sorted_.union(repeated).repartition(shuffle, "doc_id").sortWithinPartitions("doc_id", "s"), merge, "doc_id long, spans binary")
     spans = materialize(spans, "spans", release=True)
     drop(packed)
     return spans, base
 
 
+def _mark_blobs(ids: np.ndarray, ordinal: np.ndarray, parts: int):
+    """Partition and blob of the flagged anchors of each partition of documents."""
+    order, names, begin, end = by_part((mix64(ids.astype(np.uint64)) % U(parts)).astype(np.int64))
+    for g, a, b in zip(names.tolist(), begin, end):
+        yield g, zip_arrays(*_grouped(ids[order[a:b]], ordinal[order[a:b]]))
+
+
+def _cut_places(at: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int):
+    """Stretches ``(row, begin, end, place)`` around the anchors ``at``, each for the windows that hold the anchor at
+    one of PLACES neighbouring places."""
+    lo, hi = width - (end - at), at - begin  # places of the anchor in the stretch's windows
+    count = hi // PLACES - lo // PLACES + 1
+    row = np.repeat(np.arange(len(at)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo // PLACES, count)
+    low, high = np.maximum(lo[row], place * PLACES), np.minimum(hi[row], place * PLACES + PLACES - 1)
+    return row, at[row] - high, at[row] + width - low, place + 1
+
+
+def _collapse(text: np.ndarray, left: np.ndarray, size: np.ndarray, part: np.ndarray, doc: np.ndarray):
+    """Of equal stretches of one partition, the rows of the least document, and those of later documents."""
+    at = np.cumsum(size) - size
+    raw = text.tobytes()
+    codes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + n]) for a, n in zip(at.tolist(), size.tolist())), "<u8").reshape(-1, 2)
+    keys = (left, size, part, codes[:, 0], codes[:, 1])
+    order = np.lexsort((doc, *keys))
+    same = np.ones(len(order) - 1, bool)
+    for c in keys:
+        same &= c[order][1:] == c[order][:-1]
+    new = np.append(True, ~same)
+    least = doc[order[new]][np.cumsum(new) - 1]
+    return order[doc[order] == least], order[doc[order] > least]
+
+
 def _grouped(ids: np.ndarray, marks: np.ndarray):
     """Distinct ids, how many marks each has, and the marks in that order."""
     by = np.argsort(ids, kind="stable")
@@ -519,7 +550,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row and, with ``with_text``, ``kept binary``
     where something but not all was removed (null elsewhere).
 
-    A null text is empty.  Ids must be unique; a row with a null id is left as it is and removes nothing.
+    A null text is empty.  Ids must be unique but for repeated rows, which stay as many as they are and remove nothing
+    from each other; a row with a null id is left as it is and removes nothing.
     """
     spark = docs.sparkSession
     spans, base = duplicate_spans(docs, id_col, text_col, width)
@@ -539,7 +571,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept.append(left if with_text else None)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "removed", "spans", "kept_sha", "kept"])
 
-    results = map_arrow(joined.select("doc_id", "z", "spans"), digest, "doc_id long, removed long, spans long, kept_sha binary, kept binary")
+    results = map_arrow(joined.select("doc_id", "z", "spans").dropDuplicates(["doc_id"]), digest, "doc_id long, removed long, spans long, kept_sha binary, kept binary")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= width)
     empty = hashlib.sha256(b"").hexdigest()
     out = base.join(results, "doc_id", "left").select(
@@ -556,11 +588,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with the removed bytes cut from their texts, and all other columns as they are.
 
-    Characters of which a part was removed go whole.  A null text stays null; later copies of a whole text become
+    Characters of which a part was removed go whole.  Repeated rows of one id are treated alike.  A null text stays null; later copies of a whole text become
     empty.  A column ``n_chars``, where there is one, counts the new text.
     """
     spans, base = duplicate_spans(docs, id_col, text_col, width)
-    copies = base.filter(f"doc_id > first and n_bytes >= {width}").select("doc_id", F.lit(None).cast("binary").alias("spans"))
+    copies = base.filter(f"doc_id > first and n_bytes >= {width}").select("doc_id", F.lit(None).cast("binary").alias("spans")).distinct()
     cut = spans.union(copies).withColumnRenamed("doc_id", "_id").withColumn("_cut", F.lit(True))
     joined = docs.join(cut, docs[id_col].cast("long") == F.col("_id"), "left").drop("_id")
     names, at = docs.columns, docs.columns.index(text_col)

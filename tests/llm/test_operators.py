@@ -40,8 +40,7 @@ def corpus(seed=1, n=40):
     return out + [out[-1], " ".join(words * 60)]
 
 
-def test_suffix_dedup(spark, monkeypatch):
-    texts = corpus(2)
+def cut_by_brute_force(texts):
     seen, want = {}, {}
     for i, t in enumerate(texts):
         b = (t or "").encode()
@@ -51,14 +50,58 @@ def test_suffix_dedup(spark, monkeypatch):
                 cover[p : p + 50] = True
         runs = int(np.sum(np.diff(np.concatenate(([0], cover.astype(int)))) == 1))
         want[i] = (len(b), int(cover.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("hot", [None, 3, 12])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    texts = corpus(2 if hot is None else hot, 40 if hot is None else 90)
+    if hot:  # nearly all repeated anchors are hot, or some; many are counted by map tasks alone
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", 2 if hot == 3 else 4)
+        monkeypatch.setattr(suffix_dedup, "FLUSH", 600)
+    want = cut_by_brute_force(texts)
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.deduplicate(docs_frame(spark, texts)).collect()}
     assert got == want
+    if hot:
+        return
     cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_documents(docs_frame(spark, texts)).collect()}
     assert cut[0] is None and cut[4] == "one" and cut[len(texts) - 2] == ""
     assert len(cut[3 + 5].encode()) == want[8][0] - want[8][1]
     assert suffix_dedup.deduplicate(docs_frame(spark, ["a"]).limit(0)).count() == 0
-    null = spark.createDataFrame([(None, "y" * 70), (5, "y" * 70), (6, "y" * 70)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in suffix_dedup.deduplicate(null).collect()) == [(-1, 0), (5, 0), (6, 70)]
+
+
+def test_suffix_dedup_rows(spark):
+    a, b = "y" * 70, "".join(chr(97 + k * k % 23) for k in range(90))
+    rows = [(None, a), (5, a), (6, a), (6, a), (7, b), (8, b + "z"), (8, b + "z"), (8, b + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == [(-1, 0, 0), (5, 0, 0), (6, 70, 1), (6, 70, 1), (7, 0, 0), (8, 90, 1), (8, 90, 1), (8, 90, 1)]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in suffix_dedup.cut_documents(df).collect())
+    assert got == [(-1, a), (5, a), (6, ""), (6, ""), (7, b), (8, "z"), (8, "z"), (8, "z")]
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """Stretches of an anchor that all documents hold lie in several partitions, and equal ones are sent once a task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "PER_SORT", 8)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    texts = ["".join(rng.choice("klmnop ") for _ in range(40)) + passage + "".join(rng.choice("qrstu ") for _ in range(40)) for _ in range(60)]
+    sent = []
+    sort = suffix_dedup.materialize
+
+    def keep(df, label, **more):
+        out = sort(df, label, **more)
+        if label == "stretches":
+            sent.extend((r["r"], suffix_dedup.unzip_arrays(r["blob"], "<u4", "<u4", "u1", "u1", "<i8", "u1")) for r in out.filter("r >= 0").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", keep)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.deduplicate(docs_frame(spark, texts)).collect()}
+    assert got == cut_by_brute_force(texts)
+    inside = [(part, size) for part, (_, _, _, sizes, _, _) in sent for size in sizes]
+    assert len({p for p, _ in inside}) > 10 and len(inside) < 60 * 35
 
 
 def shingle_set(t):

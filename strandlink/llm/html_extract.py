@@ -28,8 +28,6 @@ from strandlink.plans.stages import materialize
 #: A subtree is template on this many differing pages of a host, or on two or more that are this share of them.
 SHARE = 0.2
 MIN_PAGES = 4
-#: Template subtrees that are broadcast; more are joined, to each page its own.
-BROADCAST_ROWS = 100_000
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +42,10 @@ TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figc
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = set("nav header footer aside form script style noscript template iframe button select textarea input svg canvas dialog menu head title object embed audio video map search xmp noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-MARKS = set(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
-)
+#: Words in the class or id of menus, headers, footers, sidebars, notices, adverts and reader comments.  Any other kind
+#: of boilerplate goes only where it recurs on its host.
+ADVERTS = set("ad ads advert advertisement advertisements adverts sponsor sponsored".split())
+MARKS = ADVERTS | set("breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation notice notices replies reply sidebar".split())
 #: Start tags that end an open element of these kinds, up to the nearest of the bounds.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -63,16 +62,18 @@ CLOSES = {
 }
 P_ENDS = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "title", "legend", "figcaption"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*)>""", re.S)
+# Nothing in a tag is matched in two ways and no part of a match is given back, so a tag that never ends costs one pass.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent", "digest", "counts")
+    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent", "level", "digest", "counts")
 
     def __init__(self, tag, attrs, start, parent):
         self.tag, self.attrs, self.start, self.end, self.parent = tag, attrs, start, start, parent
+        self.level = parent.level + 1 if parent else 0
         self.kids: list = []
         self.digest, self.counts = 0, False
 
@@ -81,16 +82,28 @@ def parse(page: str) -> Node:
     """A tree of elements and text spans; unclosed and crossed tags end where HTML's rules or their parents say."""
     root = node = Node("", "", 0, None)
     at, size = 0, len(page)
-    depth: dict[str, int] = {}
+    opened: dict[str, list[Node]] = {}  # of each kind the open elements, outer ones first
 
     def close(until: Node, where: int) -> Node:
         n = node
         while n is not until:
             n.end = where
-            depth[n.tag] -= 1
+            opened[n.tag].pop()
             n = n.parent
         return n
 
+    def outermost(ends: set[str], bounds: set[str]) -> Node | None:
+        """The outermost open element of ``ends`` within the nearest of ``bounds``."""
+        floor = max((opened[t][-1].level for t in bounds if opened.get(t)), default=0)
+        top = None
+        for t in ends:
+            for n in reversed(opened.get(t, ())):
+                if n.level <= floor:
+                    break
+                if top is None or n.level < top.level:
+                    top = n
+        return top
+
     while at < size:
         m = _TOKEN.search(page, at)
         begin = m.start() if m else size
@@ -104,27 +117,17 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if depth.get(tag):
-                n = node
-                while n.tag != tag:
-                    n = n.parent
+            if opened.get(tag):
+                n = opened[tag][-1]
                 n.end = at
                 node = close(n.parent, at)
             elif tag == "br":
                 node.kids.append("br")
             continue
-        if tag in P_ENDS and depth.get("p"):
-            n = node
-            while n.tag != "p":
-                n = n.parent
-            node = close(n.parent, begin)
+        if tag in P_ENDS and opened.get("p"):
+            node = close(opened["p"][-1].parent, begin)
         if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            n, top = node, None
-            while n is not root and n.tag not in bounds:
-                if n.tag in ends:
-                    top = n
-                n = n.parent
+            top = outermost(*CLOSES[tag])
             if top is not None:
                 node = close(top.parent, begin)
         made = Node(tag, m[3], begin, node)
@@ -133,12 +136,12 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            e = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
             stop = e.start() if e else size
             made.kids.append((at, stop))
             at = made.end = e.end() if e else size
             continue
-        depth[tag] = depth.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(made)
         node = made
     close(root, size)
     return root
@@ -150,6 +153,7 @@ def _is_chrome(node: Node) -> bool:
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main") and "comment" not in node.attrs.lower():
         return False
+    marks = MARKS if node.tag in BLOCK else ADVERTS  # an inline element is part of a text, whatever its class
     for name, value in _ATTR.findall(node.attrs):
         name = name.lower()
         if name == "hidden":
@@ -157,7 +161,7 @@ def _is_chrome(node: Node) -> bool:
         value = value.strip("\"'").lower()
         if name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(x for w in value.split() for x in (w, *re.split(r"[-_]", w))):
+        if name in ("class", "id") and not marks.isdisjoint(x for w in value.split() for x in (w, *re.split(r"[-_]", w))):
             return True
     return False
 
@@ -312,8 +316,9 @@ def _host(col):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row, duplicates included.
 
-    A null or empty page has the text "" (0 characters).  A null url or one without a host belongs to the host "".
-    Equal pages of a host count once as evidence of a template.
+    A null or empty page has the text "" (0 characters), whatever its host's template.  A null url or one without a host
+    belongs to the host "".  Null ids stay null.  Equal pages of a host count once as evidence of a template.  Tags that
+    never end, cross or repeat make a text like any other.
     """
     spark = pages.sparkSession
     src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
@@ -329,31 +334,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             hashes += found
         return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(sigs), pa.array(hashes, pa.int64())], names=["host", "sig", "hash"])
 
-    found = map_arrow(marked.select("host", "sig", "html"), list_regions, "host string, sig long, hash long")
     # distinct on the page's own hash removes copies; both steps are partial aggregates, so a hot host is spread
-    counts = materialize(found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")), "regions")
+    found = materialize(map_arrow(marked.select("host", "sig", "html"), list_regions, "host string, sig long, hash long").distinct(), "regions")
+    counts = materialize(found.groupBy("host", "hash").agg(F.count("*").alias("n")), "counts")
     sizes = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    template = materialize(counts.filter(f"hash <> 0 and n >= {min(2, min_pages)}").join(sizes, "host").filter((F.col("n") >= min_pages) | (F.col("n") >= share * F.col("pages"))).select("host", "hash"), "template")
-    n = template.count()
-    if n <= BROADCAST_ROWS:
-        known: dict[str, set[int]] = {}
-        for r in template.collect():
-            known.setdefault(r["host"], set()).add(r["hash"])
-        shared = spark.sparkContext.broadcast(known)
-        rows = src.select("page_id", "url", "host", "html")
-
-        def hashes_of(b):
-            return [shared.value.get(h, frozenset()) for h in b.column(2).to_pylist()]
-    else:
-        # a hot host can have more template than its pages can carry along: each gets what it holds
-        own = found.distinct().join(template, ["host", "hash"]).groupBy("host", "sig").agg(F.collect_set("hash").alias("hashes"))
-        rows = src.withColumn("sig", F.xxhash64("html")).join(own, ["host", "sig"], "left").select("page_id", "url", "hashes", "html")
-
-        def hashes_of(b):
-            return [frozenset(x or ()) for x in b.column(2).to_pylist()]
+    recurring = counts.filter(f"hash <> 0 and n >= {min(2, min_pages)}").join(sizes, "host")
+    template = materialize(recurring.filter((F.col("n") >= min_pages) | (F.col("n") >= share * F.col("pages"))).select("host", "hash"), "template")
+    # a hot host can have more template than its pages can carry along: each gets what it holds
+    own = materialize(found.join(template, ["host", "hash"]).groupBy("host", "sig").agg(F.collect_list("hash").alias("hashes")), "own")
+    rows = src.withColumn("sig", F.xxhash64("html")).join(own, ["host", "sig"], "left").select("page_id", "url", "hashes", "html")
 
     def text_of(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(p, t) if p else "" for p, t in zip(b.column(3).to_pylist(), hashes_of(b))]
+        texts = [main_text(p, frozenset(t or ())) if p else "" for p, t in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
 
     return map_arrow(rows, text_of, "page_id long, url string, text string, n_chars long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -390,7 +391,7 @@ def test_html_article_content_is_exempt(spark):
     assert set(got.values()) == {"All copied"}
 
 
-def test_html_template_bar_does_not_rise_with_the_host(spark, monkeypatch):
+def test_html_template_bar_does_not_rise_with_the_host(spark):
     some = {0: "first sidebar", 1: "second sidebar"}
     pages = [f"<body><div><p>{some.get(k // 5, f'aside {k}')}</p></div><div>{'<p>rare</p>' if k > 36 else k}</div><p>Own {k}</p></body>" for k in range(40)]
     got = html_texts(spark, pages)
@@ -399,8 +400,63 @@ def test_html_template_bar_does_not_rise_with_the_host(spark, monkeypatch):
     assert html_texts(spark, pages, min_pages=6)[2] == "first sidebar\n2\nOwn 2"
     small = html_texts(spark, [f"<body><div>Site words</div><p>Own {k}</p></body>" for k in range(3)])
     assert small == {k: f"Own {k}" for k in range(3)}
-    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
-    assert html_texts(spark, pages) == got
+
+
+def test_html_template_counts_decide(spark):
+    """Sites of unmarked boilerplate and own passages in random order: the recurring subtrees go, and without the counts
+    they would stay.  The expected text is built along with the pages."""
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    rows, want, plain = [], {}, {}
+    for host in range(6):
+        parts = [f"<div class='x{k}'><p>{say(6)}</p><ul><li>{say(2)}</li><li>{say(2)}</li></ul></div>" for k in range(4)]
+        texts = {x: "\n".join(re.findall(r"<(?:p|li)>([^<]*)", x)) for x in parts}
+        for n in range(12):
+            own = [say(rng.randint(3, 20)) for _ in range(rng.randint(1, 4))]
+            body = [f"<div><p>{x}</p></div>" for x in own]
+            used = rng.sample(parts, 3)
+            at = sorted(rng.randrange(len(body) + 1) for _ in used)
+            pieces, k = [], 0
+            for i in range(len(body) + 1):
+                while k < len(used) and at[k] == i:
+                    pieces.append((used[k], texts[used[k]]))
+                    k += 1
+                if i < len(body):
+                    pieces.append((body[i], own[i]))
+            page_id = len(rows)
+            rows.append((page_id, f"https://h{host}.example/{n}", "<html><body>" + "".join(x for x, _ in pieces) + "</body></html>"))
+            want[page_id], plain[page_id] = "\n".join(own), "\n".join(t for _, t in pieces)
+    rows += [(None, rows[0][1], rows[0][2]), (900, rows[0][1], None), (901, rows[0][1], ""), (902, rows[0][1], rows[0][2]), (902, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract(df).collect()]
+    assert sorted(((k is None, k or 0, t) for k, t in got)) == sorted([(False, k, t) for k, t in want.items()] + [(True, 0, want[0]), (False, 900, ""), (False, 901, ""), (False, 902, want[0]), (False, 902, want[0])])
+    off = {r["page_id"]: r["text"] for r in html_extract.extract(df, share=2.0, min_pages=10**6).collect()}
+    assert all(off[k] == plain[k] != want[k] for k in want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " + " ".join(f'x{k}="v{k}"' for k in range(100)) + " unclosed",
+        "<a " + "\"'" * 5000,
+        "<p>" + "<a href='x\" " * 20000,
+        "<script>" + "</script " * 50000,
+        "<!-- " * 50000,
+        "<b>" * 20000 + "<body>" * 20000 + "<li>" * 20000,
+        "<div " * 50000 + "<p>end</p>",
+        "<table>" * 5000 + "<td>" * 20000 + "x",
+    ],
+)
+def test_html_hostile_pages_end(page):
+    begin = time.monotonic()
+    html_extract.main_text(page, {1})
+    html_extract.regions(page)
+    assert time.monotonic() - begin < 10
+
+
+def test_html_inline_marks_are_text():
+    page = "<article><p>Code: <span class='comment'># note</span> and <em class='header'>more</em> <span class='ad'>buy</span></p><div class='related'>Kept</div><div class='comments'>gone</div></article>"
+    assert html_extract.main_text(page) == "Code: # note and more\nKept"
 
 
 def test_quotes(spark):

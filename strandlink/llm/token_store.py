@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from strandlink.llm.bpe import byte_alphabet
 from strandlink.llm.common import hash_bins, map_arrow, steps, utf8
 from strandlink.plans.stages import new_path
 
@@ -44,6 +45,8 @@ SAMPLE_IDS = 2_000_000
 #: Bytes of ids of a document that the dictionary learns from: its beginning.
 SAMPLE_BODY = 1 << 17
 DICT_BYTES = 64 << 10
+#: Of the quick levels the one that makes the smallest frames under a dictionary.
+LEVEL = 2
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
 MEMORY_PIECES = 400_000
 
@@ -53,12 +56,23 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _tokenizers: dict[str, _Pieces] = {}
 
 
+#: What a byte-level model is shown for each byte.
+_SHOWN = dict(enumerate(byte_alphabet()))
+
+
+def _shown(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
+    return text.encode().decode("latin-1").translate(_SHOWN)
+
+
 class _Cache(dict):
     """Ids of words after a given lead, as little-endian unsigned 32-bit integers; asks the library for others."""
 
     def __init__(self, tok: Tokenizer, lead: str, older: dict):
         super().__init__()
         self.tok, self.lead, self.older = tok, lead, older
+        self.model, self.shown = tok.model, _shown(lead)
         self.ends: dict[str, bytes] = {}
 
     def signs(self, end: str) -> bytes:
@@ -74,7 +88,9 @@ class _Cache(dict):
         out = self.older.get(word)
         if out is None:
             base = word.rstrip(SIGNS)
-            if base and base != word and base[-1].isalpha():  # letters end a pre-token, and so does the word
+            if word.isalpha():  # letters after the lead are one pre-token: the library's model alone is enough
+                out = array("I", [t.id for t in self.model.tokenize(self.shown + _shown(word))]).tobytes()
+            elif base and base != word and base[-1].isalpha():  # letters end a pre-token, and so does the word
                 out = self[base] + self.signs(word[len(base) :])
             else:
                 out = array("I", self.tok.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
@@ -201,9 +217,9 @@ def _compressor(zdict: bytes) -> zstandard.ZstdCompressor:
     if zdict not in _compressors:
         d = _dictionary(zdict)
         if d is not None:
-            d.precompute_compress(level=3)
+            d.precompute_compress(level=LEVEL)
         _compressors.clear()
-        _compressors[zdict] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=True, write_checksum=False)
+        _compressors[zdict] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True, write_checksum=False)
     return _compressors[zdict]
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -47,6 +47,8 @@ SAMPLE_BODY = 1 << 17
 DICT_BYTES = 64 << 10
 #: Of the quick levels the one that makes the smallest frames under a dictionary.
 LEVEL = 2
+#: Documents that a shard holds at most, where their number is not given.
+SHARD_DOCS = 500_000
 #: Pieces of text that a worker remembers before it starts a new generation; those in use move along.
 MEMORY_PIECES = 400_000
 
@@ -223,6 +225,20 @@ def _compressor(zdict: bytes) -> zstandard.ZstdCompressor:
     return _compressors[zdict]
 
 
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that Spark's hash partitioning deals to the partitions 0, 1 and so on of ``n``, so that no two shards
+    share a task."""
+    found: dict[int, int] = {}
+    begin = 0
+    while len(found) < n:
+        number = F.col("id").cast("int")
+        rows = spark.range(begin, begin + 16 * n + 64).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number"))
+        for r in rows.collect():
+            found.setdefault(r["part"], r["number"])
+        begin += 16 * n + 64
+    return [found[k] for k in range(n)]
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode documents and write them in ascending id order; returns one row for each shard:
     ``(shard, path, n_docs, n_tokens, first)`` with ``first`` the number of ids in all shards before it.
@@ -241,7 +257,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
     filesystem.create_dir(root, recursive=True)
     with filesystem.open_output_stream(f"{root}/dictionary.zdict") as f:
         f.write(zdict)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_DOCS))
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)
 
@@ -263,7 +279,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
     schema = "shard int, id long, no_id boolean, n long, frame binary"
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     frames = map_arrow(src, compress, schema)
-    ordered = frames.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("no_id").desc(), "id", "n", "frame")
+    slots = _slots(spark, len(cuts) + 1)
+    slot = F.get(F.array(*map(F.lit, slots)), F.col("shard"))
+    ordered = frames.withColumn("slot", slot).repartition(len(cuts) + 1, "slot").drop("slot").sortWithinPartitions("shard", F.col("no_id").desc(), "id", "n", "frame")
 
     def write(batches):
         filesystem, root = fs.FileSystem.from_uri(path)
@@ -271,13 +289,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
 
         def close():
             f, index = state["f"], state["index"]
-            body = np.array(index, "<i8").tobytes()
-            f.write(body)
-            f.write(struct.pack("<4q", state["at"], len(index), width, state["null"]))
+            n = len(index) // 4
+            f.write(np.frombuffer(index, np.int64).astype("<i8").tobytes())
+            f.write(struct.pack("<4q", state["at"], n, width, state["null"]))
             f.close()
             final = f"{root}/shard-{state['shard']:08d}.tok"
             filesystem.move(state["tmp"], final)
-            return {"shard": state["shard"], "path": final, "n_docs": len(index), "n_tokens": state["tokens"]}
+            return {"shard": state["shard"], "path": final, "n_docs": n, "n_tokens": state["tokens"]}
 
         done = []
         for b in batches:
@@ -288,8 +306,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id
                     tmp = f"{root}/.{uuid.uuid4().hex}.part"
                     f = filesystem.open_output_stream(tmp)
                     f.write(MAGIC + digest)
-                    state = {"shard": shard, "tmp": tmp, "f": f, "index": [], "at": len(MAGIC) + 32, "tokens": 0, "null": 0}
-                state["index"].append((i, state["tokens"], state["at"], n))
+                    state = {"shard": shard, "tmp": tmp, "f": f, "index": array("q"), "at": len(MAGIC) + 32, "tokens": 0, "null": 0}
+                state["index"].extend((i, state["tokens"], state["at"], n))
                 state["f"].write(frame)
                 state["at"] += len(frame)
                 state["tokens"] += n

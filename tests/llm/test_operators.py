@@ -305,6 +305,24 @@ def test_token_store(spark):
     assert sorted(r["start"] for r in token_store.read_store(null, null._store).collect()) == [0, 2, 4]
 
 
+def test_token_shards_have_tasks_of_their_own(spark):
+    n = 37
+    slots = spark.createDataFrame([(x,) for x in token_store._slots(spark, n)], "slot int").repartition(n, "slot")
+    assert {r["c"] for r in slots.groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()} == {1}
+
+
+def test_token_pieces_are_the_library_s():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(31)
+    signs = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0 and c != 0xAD] + list("'´’ \t\n\r\u00a0\u2028中あ🙂́")
+    letters = "abcdefghijklmnopqrstuvwxyzABCéüñßøŁ"
+    texts = ["".join(rng.choice(signs if k % 2 else letters + "  ..,'\n") for _ in range(rng.randint(1, 60))) for k in range(3000)]
+    texts += ["word " * 40_000, "x" * 200_000, "it's we'll I'd", " lead", "trail ", "\n", "a\nb", "<|endoftext|>", "a<|endoftext|> b"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert token_store.pieces(path).encode_batch(texts) == want
+
+
 def test_bpe_digest(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)

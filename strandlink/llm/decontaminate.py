@@ -8,6 +8,10 @@ make 8 blocks of 8, and a distance of at most 23 leaves some block within 2 bits
 2-bit neighbourhood of each block misses nothing.  The candidates' weighted Jaccard similarity (sum of minima over
 sum of maxima of shingle counts) is then computed exactly.
 
+The radius is wide for windows that differ in distinct shingles, but where a shingle repeats, a similar window's
+fingerprint may lie beyond it.  Those windows are not lost: every window with so many of an item's shingles that it
+could reach the similarity, and which the index did not return, is held against the item as well.
+
 The benchmark is broadcast in blocks of a checked size, each held against all documents.
 """
 
@@ -22,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import U, shingles, steps, utf8, word_hashes
+from strandlink.llm.common import U, map_arrow, shingles, steps, utf8, word_hashes
 
 RADIUS = 23
 BLOCKS = 8
@@ -59,7 +63,7 @@ class Index:
         begin = np.searchsorted(rows, np.arange(len(texts) + 1))
         self.items: list[tuple[int, int, int, Counter]] = []
         by_length: dict[int, list[int]] = defaultdict(list)
-        found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         prints = []
         for i, item in enumerate(ids):
             w = words[begin[i] : begin[i + 1]]
@@ -68,20 +72,21 @@ class Index:
                 continue
             k = min(K, n)
             h, _, _ = shingles(w, np.zeros(n, np.int64), 1, k)
+            counts = Counter(h.tolist())
+            for x in counts:
+                found[k][x].append(len(self.items))
             by_length[n].append(len(self.items))
-            for x in h.tolist():
-                found[k][x].add(n)
-            self.items.append((item, n, k, Counter(h.tolist())))
+            self.items.append((item, n, k, counts))
             prints.append(int(sign_hash(bit_signs(h).sum(0, keepdims=True))[0]))
         self.by_length = {n: np.array(x) for n, x in by_length.items()}
         self.prints = np.array(prints, np.uint64)
-        # for each shingle size: its sorted shingles, a bitmap over them, and the item lengths that hold each
+        # for each shingle size: its sorted shingles, a bitmap over them, and the items that hold each
         self.known = {}
         for k, table in found.items():
             h = np.array(sorted(table), np.uint64)
             slots = np.zeros(1 << _SLOTS, bool)
             slots[(h >> U(64 - _SLOTS)).astype(np.int64)] = True
-            self.known[k] = (h, slots, [sorted(table[x]) for x in h.tolist()])
+            self.known[k] = (h, slots, [table[x] for x in h.tolist()])
         pop = np.array([bin(v).count("1") for v in range(256)])
         near = pop[np.arange(256)[:, None] ^ np.arange(256)] <= radius // BLOCKS
         self.tables = {}
@@ -113,81 +118,128 @@ def scan_text(index: Index, k: int, h: np.ndarray, hits: np.ndarray, n_words: in
 
     ``h`` are the hashes of the text's k-word shingles by position, ``hits`` positions that hold known ones.
     """
-    known, _, lengths = index.known[k]
-    by_length: dict[int, list[int]] = defaultdict(list)
+    known, _, holders = index.known[k]
+    by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for p, at in zip(hits.tolist(), np.searchsorted(known, h[hits]).tolist()):
-        for n in lengths[at]:
-            by_length[n].append(p)
+        for item in holders[at]:
+            by_length[index.items[item][1]][item].append(p)
     best: dict[int, tuple] = {}
-    for n, ps in by_length.items():
+
+    def verify(item: int, at: int, width: int, span: int, distance: int) -> None:
+        both, union = similarity(Counter(h[at : at + span].tolist()), index.items[item][3])
+        if 100 * both >= percent * union:
+            old = best.get(item)
+            if old is None or both * old[1] > old[0] * union or (both * old[1] == old[0] * union and at < old[2]):
+                best[item] = (both, union, at, width, distance)
+
+    for n, places in by_length.items():
         width = min(n, n_words)  # a text shorter than the item is one window
-        p = np.array(ps)
         span = width - k + 1  # shingles in a window
+        p = np.array(sorted({x for ps in places.values() for x in ps}))
         lo, hi = np.maximum(p - span + 1, 0), np.minimum(p, n_words - width)
         starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]))
+        prints = np.empty(len(starts), np.uint64)
+        seen: set[tuple[int, int]] = set()
         for s in range(0, len(starts), SEGMENT):
             part = starts[s : s + SEGMENT]
             # runs of neighbouring starts share one cumulative sum
+            done = s
             for run in np.split(part, np.flatnonzero(np.diff(part) > span) + 1):
                 first = run[0]
                 body = h[first : run[-1] + span]
                 sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bit_signs(body), axis=0, dtype=np.int32)))
                 rel = run - first
-                w, items, dist = index.candidates(n, sign_hash(sums[rel + span] - sums[rel]))
+                own = prints[done : done + len(run)] = sign_hash(sums[rel + span] - sums[rel])
+                done += len(run)
+                w, items, dist = index.candidates(n, own)
                 for x, item, d in zip(w.tolist(), items.tolist(), dist.tolist()):
-                    at = int(run[x])
-                    both, union = similarity(Counter(h[at : at + span].tolist()), index.items[item][3])
-                    if 100 * both >= percent * union:
-                        old = best.get(item)
-                        if old is None or both * old[1] > old[0] * union or (both * old[1] == old[0] * union and at < old[2]):
-                            best[item] = (both, union, at, width, d)
+                    seen.add((item, int(run[x])))
+                    verify(item, int(run[x]), width, span, d)
+        # windows with enough of an item's shingles whose fingerprint is beyond the radius
+        for item, ps in places.items():
+            total = span + sum(index.items[item][3].values())
+            need = max(1, (percent * total + 99 + percent) // (100 + percent))
+            if len(ps) < need:
+                continue
+            at = np.array(ps)
+            lo, hi = np.maximum(at[need - 1 :] - span + 1, 0), np.minimum(at[: len(at) - need + 1], n_words - width)
+            enough = lo <= hi
+            for a in sorted({int(x) for b, c in zip(lo[enough], hi[enough]) for x in range(b, c + 1)}):
+                if (item, a) not in seen:
+                    own = prints[np.searchsorted(starts, a)]
+                    verify(item, a, width, span, int(np.bitwise_count(own ^ index.prints[item])))
     return best
 
 
+def scan_batch(index: Index, column: pa.Array, percent: int):
+    """``(row, item number, best window)`` for each text of a batch and each item that it holds."""
+    data, off = _words(column)
+    for i, j in steps(off):
+        n = j - i
+        words, rows_, _, _ = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], alnum=True)
+        begin = np.searchsorted(rows_, np.arange(n + 1))
+        for k, (known, slots, _) in index.known.items():
+            h, r, _ = shingles(words, rows_, n, k)
+            hit = np.flatnonzero(slots[(h >> U(64 - _SLOTS)).astype(np.int64)])
+            hit = hit[np.isin(h[hit], known)]
+            for row in np.unique(r[hit]).tolist():
+                s, e = np.searchsorted(r, [row, row + 1])
+                count = int(begin[row + 1] - begin[row])
+                if count >= k:
+                    mine = hit[(hit >= s) & (hit < e)] - s
+                    for item, window in scan_text(index, k, h[s:e], mine, count, percent).items():
+                        yield i + row, item, window
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str):
+    """Broadcast indexes of the benchmark's distinct items, of about BLOCK_BYTES of text each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).filter("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    for number in range(n_blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number).distinct().collect()
+        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in rows)
+        yield spark.sparkContext.broadcast(Index([None if a else i for a, i, _ in rows], [t for _, _, t in rows]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item it holds:
     ``(doc_id, item_id, start_word, n_words, hamming, similarity)`` of the most similar window (the first of
     equals).
 
-    Null and empty texts hold nothing, items without words match nothing, and equal items each get their row.  A
-    document with a null id is reported under null.
+    Null and empty texts hold nothing, items without words match nothing, and equal items each get their row.  Repeated
+    rows are reported as often as they come, and a document with a null id under null.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words int, hamming int, similarity double"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
 
-    def block(number: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number).distinct().collect()
-        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in rows)
-        shared = spark.sparkContext.broadcast(Index([None if a else i for a, i, _ in rows], [t for _, _, t in rows]))
-
-        def scan(batches):
+    def held_against(shared) -> DataFrame:
+        def scan(b: pa.RecordBatch) -> pa.RecordBatch | None:
             index = shared.value
-            for b in batches:
-                out = []
-                data, off = _words(b.column(1))
-                for i, j in steps(off):
-                    n = j - i
-                    words, rows_, _, _ = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], alnum=True)
-                    begin = np.searchsorted(rows_, np.arange(n + 1))
-                    for k, (known, slots, _) in index.known.items():
-                        h, r, at = shingles(words, rows_, n, k)
-                        hit = np.flatnonzero(slots[(h >> U(64 - _SLOTS)).astype(np.int64)])
-                        hit = hit[np.isin(h[hit], known)]
-                        for row in np.unique(r[hit]).tolist():
-                            s, e = np.searchsorted(r, [row, row + 1])
-                            count = int(begin[row + 1] - begin[row])
-                            if count < k:
-                                continue
-                            mine = hit[(hit >= s) & (hit < e)] - s
-                            for item, (both, union, start, width, d) in scan_text(index, k, h[s:e], mine, count, percent).items():
-                                out.append((b.column(0)[i + row].as_py(), index.items[item][0], start, width, d, both / union))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
-
-        return src.mapInArrow(scan, schema)
-
-    return reduce(DataFrame.union, [block(k) for k in range(n_blocks)])
+            out = [(b.column(0)[row].as_py(), index.items[item][0], start, width, d, both / union) for row, item, (both, union, start, width, d) in scan_batch(index, b.column(1), percent)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"]) if out else None
+
+        return map_arrow(src, scan, schema)
+
+    return reduce(DataFrame.union, [held_against(x) for x in _blocks(benchmark, item_col, item_text_col)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no benchmark item.
+
+    A row is judged by its own text alone, so null ids and repeated rows need no care; a null text holds nothing.
+    """
+    at = docs.columns.index(text_col)
+
+    def filtered(rows: DataFrame, shared) -> DataFrame:
+        def keep(b: pa.RecordBatch) -> pa.RecordBatch:
+            gone = np.zeros(b.num_rows, bool)
+            for row, _, _ in scan_batch(shared.value, b.column(at), percent):
+                gone[row] = True
+            return b.take(pa.array(np.flatnonzero(~gone)))
+
+        return map_arrow(rows, keep, docs.schema)
+
+    return reduce(filtered, _blocks(benchmark, item_col, item_text_col), docs)

@@ -27,6 +27,9 @@ def ship(spark: SparkSession) -> None:
                     p = os.path.join(d, n)
                     z.write(p, os.path.relpath(p, root))
     sc.addPyFile(out)
-    # rows of these tables hold whole texts: smaller batches bound what a Python worker holds at once
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # rows of these tables hold whole texts: smaller batches bound what a Python worker holds at once; a setting of the
+    # caller's own stays as it is
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not sc.getConf().contains(key) and spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
     _shipped.add(sc.applicationId)

@@ -107,6 +107,16 @@ def search_stats_d1(spark, sf_dir):
     return cluster.search_stats(_written(spark, sf_dir), ClusterConfig())
 
 
+def level_stats_d1(spark, sf_dir):
+    return cluster.level_stats(_written(spark, sf_dir), ClusterConfig(), 2)
+
+
+def profile_words(spark, sf_dir):
+    """The profile as 16 words, by number: the same bits as ``qgram_profile``."""
+    words = sequences(spark, sf_dir).select("seq_no", F.posexplode(qgram.words(F.col("seq"))).alias("word", "bits"))
+    return words.filter("bits <> 0")
+
+
 def cluster_report_d1(spark, sf_dir):
     s = _written(spark, sf_dir)
     return report.report_lines(cluster.clusters(s, ClusterConfig()), s).select("value")
@@ -133,6 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "singletons_d1": _clusters(1, cluster.singletons),
         "cluster_totals_d1": _clusters(1, cluster.totals),
         "search_stats_d1": search_stats_d1,
+        "level_stats_d1": level_stats_d1,
+        "profile_words": profile_words,
         "cluster_report_d1": cluster_report_d1,
         "edges_d2_affine": _edges(2),
         "clusters_d2_affine": _clusters(2),
@@ -198,5 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "singletons_d1": f"{c} SELECT cluster_id AS seq_no FROM clusters GROUP BY cluster_id HAVING count(*) = 1",
         "cluster_totals_d1": f"{c} SELECT count(DISTINCT cluster_id) AS clusters, count(*) AS sequences FROM clusters",
         "search_stats_d1": f"WITH {_SEQ}, {_PAIRS}, {_EDGES} SELECT (SELECT CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) FROM s) AS total_estimate, (SELECT count(*) FROM diffs WHERE qgram_diff <= 1) AS total_search, (SELECT count(*) FROM edges) AS total_match",
+        "level_stats_d1": f"WITH {_SEQ}, {_PAIRS} SELECT CAST(ceil(qgram_diff / 1) AS INT) AS level, count(*) AS pairs FROM diffs WHERE qgram_diff <= 2 GROUP BY ALL",
+        "profile_words": f"WITH {_SEQ}, {_CODES} SELECT seq_no, CAST(code // 64 AS INT) AS word, bit_xor(CASE WHEN code % 64 = 63 THEN (-9223372036854775807 - 1)::BIGINT ELSE (1::BIGINT << (code % 64)) END) AS bits FROM odd GROUP BY ALL",
         "cluster_report_d1": f"{c}, t AS (SELECT count(DISTINCT cluster_id) AS n, count(*) AS m FROM clusters) SELECT header AS value FROM clusters JOIN s USING (seq_no) UNION ALL SELECT '' FROM (SELECT DISTINCT cluster_id FROM clusters) UNION ALL SELECT '' UNION ALL SELECT '' UNION ALL SELECT 'Total: ' || n || ' clusters of ' || m || ' sequences' FROM t",
     }

@@ -70,12 +70,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     A record is a line that starts with ">" and the lines up to the next such line.  The header ends at the first
     space or line feed.  Symbols are a, c, g, t and u in either case; line feeds inside a sequence are skipped and
-    anything else, a carriage return included, raises :class:`InvalidInput` with its line in the sequence, as does
+    anything else, a carriage return included, raises :class:`InvalidInput` with the character and its line, as does
     a file whose first line has no ">".  Sequences may be empty, and so may the file.
     """
     records = _numbered_records(spark, path)
     if not records.filter("first and not startswith(value, '>')").isEmpty():
-        raise InvalidInput("Illegal header line in fasta file.")
+        raise InvalidInput("the file does not begin with a record: its first line has no '>'")
     return parse_records(records.select("seq_no", F.when(F.col("first"), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("record")))
 
 
@@ -93,9 +93,10 @@ def parse_records(records: DataFrame) -> DataFrame:
     out = records.select("seq_no", F.regexp_extract(header_line, r"\A([^ ]*)", 1).alias("header"), seq.alias("raw"), body.alias("body"))
     bad = out.filter(F.col("raw").rlike("[^acgtuACGTU]")).select("seq_no", "header", "body").orderBy("seq_no").limit(1).collect()
     if bad:
-        lines = bad[0]["body"].split("\n")
-        n = next(i for i, x in enumerate(lines) if any(c not in "acgtuACGTU" for c in x))
-        raise InvalidInput(f"Illegal character in sequence '{bad[0]['header']}', line {n} of the sequence.")
+        # only now: the lines of the records before it, of all files by path
+        before = records.filter(F.col("seq_no") < bad[0]["seq_no"]).agg(F.sum(F.length("record") - F.length(F.replace("record", F.lit("\n"))) + 1)).first()[0] or 0
+        row, found = next((i, c) for i, x in enumerate(bad[0]["body"].split("\n")) for c in x if c not in "acgtuACGTU")
+        raise InvalidInput(f"line {before + row + 1}: {found!r} in the sequence of '{bad[0]['header']}' is not one of acgtu")
     return out.select("seq_no", "header", abundance(F.col("header")).alias("abundance"), normalise(F.col("raw")).alias("seq"), F.length("raw").alias("seq_len"))
 
 
@@ -134,13 +135,13 @@ def validate(sequences: DataFrame, config: ClusterConfig | None = None) -> DataF
     """Check abundance, order and headers, in this order; returns the frame or raises :class:`InvalidInput`."""
     n = missing_abundance(sequences).first()["missing"]
     if n:
-        raise InvalidInput(f"Abundance annotation not found for {n} sequences.")
+        raise InvalidInput(f"{n} sequences have no abundance of 1 or more at the end of their header")
     if not out_of_order(sequences).isEmpty():
-        raise InvalidInput("Sequences are not sorted by decreasing abundance.")
+        raise InvalidInput("a sequence is more abundant than the one before it")
     if (config or ClusterConfig()).on_duplicate == "error":
         twice = duplicate_headers(sequences).first()
         if twice is not None:
-            raise InvalidInput(f"Duplicated sequence header '{twice['header']}'.")
+            raise InvalidInput(f"the header '{twice['header']}' names {twice['n']} sequences")
     return sequences
 
 

@@ -130,16 +130,21 @@ def test_fasta_errors(spark, tmp_path, text):
         fasta.read_fasta(spark, write(tmp_path, text)).count()
 
 
+def test_fasta_error_names_line_and_character(spark, tmp_path):
+    with pytest.raises(fasta.InvalidInput, match=r"line 6: 'N' in the sequence of 'b_1'"):
+        fasta.read_fasta(spark, write(tmp_path, ">a_1\nacgt\nac\n>b_1 text\nacg\ncNa\n>c_1\nxx\n")).count()
+
+
 def test_validation_order(spark):
     def seqs(*heads):
         df = spark.createDataFrame([(i, h, "acgt") for i, h in enumerate(heads)], "id long, h string, s string")
         return fasta.from_table(df, "id", "s", "h")
 
-    with pytest.raises(fasta.InvalidInput, match="Abundance annotation not found for 2"):
+    with pytest.raises(fasta.InvalidInput, match="2 sequences have no abundance"):
         fasta.validate(seqs("a_1", "b", "c_0"))
-    with pytest.raises(fasta.InvalidInput, match="sorted"):
+    with pytest.raises(fasta.InvalidInput, match="more abundant"):
         fasta.validate(seqs("a_1", "b_2"))
-    with pytest.raises(fasta.InvalidInput, match="Duplicated"):
+    with pytest.raises(fasta.InvalidInput, match="names 2 sequences"):
         fasta.validate(seqs("a_2", "a_2"))
     fasta.validate(seqs("a_2", "a_2"), ClusterConfig(on_duplicate="allow"))
     fasta.validate(seqs())
@@ -199,6 +204,33 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert e.value.code == 1
 
 
+def test_unordered_report_and_statistics(spark, tmp_path):
+    seqs = frame(spark, ["acgtacgt", "tttttttttt", "acgtacga", "ggggggg"])
+    c = cluster.clusters(seqs)
+    lines = [r["value"] for r in report.report_lines(c, seqs, ordered=False).collect()]
+    assert lines[-3:] == ["", "", "Total: 3 clusters of 4 sequences"]
+    blocks = {tuple(x.split()) for x in "\n".join(lines[:-3]).strip().split("\n\n")}
+    assert blocks == {("s0_1", "s2_1"), ("s1_1",), ("s3_1",)}
+    report.write_statistics(cluster.search_stats(seqs), f"file://{tmp_path}/stats")
+    assert spark.read.json(f"file://{tmp_path}/stats").first()["total_match"] == 1
+    assert any("resolution 1" in x for x in ClusterConfig().describe())
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_nested_loop_and_column_function_define_the_edges(spark, d):
+    """All pairs, aligned by the column function: what the blocked join and the kernel must give."""
+    from strandlink.operators.align import align_diff_udf
+
+    seqs = mutated(40, seed=40 + d, length=20)
+    seqs += seqs[5:12]  # copies on both sides of others, so that both directions count
+    config = ClusterConfig(resolution=d)
+    df = frame(spark, seqs)
+    pairs = candidates.nested_loop(df).withColumn("diff", align_diff_udf(config)("query", "target"))
+    want = {(r["src"], r["dst"]): r["diff"] for r in pairs.filter(F.col("diff") <= d).collect()}
+    assert {(r["src"], r["dst"]): r["diff"] for r in cluster.edges(df, config).collect()} == want
+    assert {r["seq_no"]: r["cluster_id"] for r in cluster.clusters(df, config).collect()} == components(len(seqs), want)
+
+
 def test_bucket_levels(spark):
     row = spark.range(1).select(*[qgram.bucket(F.lit(i), 2).alias(f"b{i}") for i in range(6)]).first()
     assert list(row) == [0, 1, 1, 2, 2, 3]

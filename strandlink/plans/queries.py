@@ -182,11 +182,55 @@ _EDGES = """near AS MATERIALIZED (
 measured AS MATERIALIZED (SELECT src, dst, CAST(levenshtein(x, y) AS INT) AS diff FROM near),
 edges AS MATERIALIZED (SELECT src, dst, diff FROM measured WHERE diff <= 1)"""
 
-_CLUSTERS = f"""{_EDGES},
-sym AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+
+def _affine(d: int) -> str:
+    """Edges at resolution ``d``: the whole alignment table of each pair within ``d`` edits, one anti-diagonal a step.
+
+    ``cur`` and ``prev`` hold the last two anti-diagonals, a cell for each symbol of the query: least cost, that of
+    paths that end in a gap of either kind, and the differences on each.  Nothing is banded.
+    """
+    mis, o, r = ClusterConfig(resolution=d).costs
+    q = o + r
+    own, up, old = "cur[i + 1]", "cur[i]", "prev[i]"
+    return f"""near AS MATERIALIZED (
+  SELECT a.seq_no AS src, b.seq_no AS dst, a.seq AS x, b.seq AS y
+  FROM (SELECT *, unnest(range(seq_len - {d}, seq_len + {d + 1})) AS other FROM s) a JOIN s b ON a.other = b.seq_len
+  WHERE a.seq_no < b.seq_no AND (a.seq = b.seq OR levenshtein(a.seq, b.seq) <= {d})),
+dp AS (
+  SELECT x, y, length(x) AS m, length(y) AS n, CAST(-1 AS BIGINT) AS k,
+         CAST([] AS STRUCT(h BIGINT, e BIGINT, f BIGINT, d BIGINT, di BIGINT, dd BIGINT)[]) AS cur,
+         CAST([] AS STRUCT(h BIGINT, e BIGINT, f BIGINT, d BIGINT, di BIGINT, dd BIGINT)[]) AS prev
+  FROM (SELECT DISTINCT x, y FROM near WHERE x <> y AND x <> '' AND y <> '')
+  UNION ALL
+  SELECT x, y, m, n, k, CAST([{{
+           'h': least(g['diag'], g['e'], g['f']), 'e': g['e'], 'f': g['f'],
+           'd': CASE WHEN g['e'] <= least(g['diag'], g['f']) THEN g['di'] WHEN g['f'] < g['diag'] THEN g['dd'] ELSE g['dg'] END,
+           'di': g['di'], 'dd': g['dd']}} FOR g IN gaps] AS STRUCT(h BIGINT, e BIGINT, f BIGINT, d BIGINT, di BIGINT, dd BIGINT)[]), cur
+  FROM (
+    SELECT x, y, m, n, k + 1 AS k, cur, [{{
+             'e': CASE WHEN i = k + 1 THEN {q} + {r} * i ELSE least({own}['h'] + {q}, {own}['e'] + {r}) END,
+             'di': CASE WHEN i = k + 1 THEN i + 2 WHEN {own}['h'] + {q} > {own}['e'] + {r} THEN {own}['di'] + 1 ELSE {own}['d'] + 1 END,
+             'f': CASE WHEN i = 0 THEN {q} + {r} * (k + 1) ELSE least({up}['h'] + {q}, {up}['f'] + {r}) END,
+             'dd': CASE WHEN i = 0 THEN k + 3 WHEN {up}['h'] + {q} > {up}['f'] + {r} THEN {up}['dd'] + 1 ELSE {up}['d'] + 1 END,
+             'diag': CASE WHEN k = -1 THEN 0 WHEN i = 0 OR i = k + 1 THEN {q} + {r} * k ELSE {old}['h'] END
+                     + CASE WHEN x[i + 1] = y[k + 2 - i] THEN 0 ELSE {mis} END,
+             'dg': CASE WHEN i = 0 OR i = k + 1 THEN k + 1 ELSE {old}['d'] END + CASE WHEN x[i + 1] = y[k + 2 - i] THEN 0 ELSE 1 END
+           }} FOR i IN range(m)] AS gaps
+    FROM dp WHERE k < m + n - 2)),
+aligned AS MATERIALIZED (SELECT x, y, cur[m]['d'] AS diff FROM dp WHERE k = m + n - 2),
+edges AS MATERIALIZED (
+  SELECT src, dst, CAST(diff AS INT) AS diff
+  FROM (SELECT src, dst, CASE WHEN near.x = near.y THEN 0 WHEN near.x = '' OR near.y = '' THEN greatest(length(near.x), length(near.y)) ELSE aligned.diff END AS diff
+        FROM near LEFT JOIN aligned ON near.x = aligned.x AND near.y = aligned.y)
+  WHERE diff <= {d})"""
+
+
+_REACH = """sym AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 reach(v, r) AS (SELECT seq_no, seq_no FROM s UNION SELECT sym.dst, reach.r FROM reach JOIN sym ON sym.src = reach.v),
 clusters AS (SELECT min(r) AS cluster_id, v AS seq_no FROM reach GROUP BY v)"""
 
+_CLUSTERS = f"{_EDGES}, {_REACH}"
+
 
 def oracle_sql() -> dict[str, str]:
     c = f"WITH RECURSIVE {_SEQ}, {_CLUSTERS}"
@@ -212,5 +256,8 @@ def oracle_sql() -> dict[str, str]:
         "search_stats_d1": f"WITH {_SEQ}, {_PAIRS}, {_EDGES} SELECT (SELECT CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) FROM s) AS total_estimate, (SELECT count(*) FROM diffs WHERE qgram_diff <= 1) AS total_search, (SELECT count(*) FROM edges) AS total_match",
         "level_stats_d1": f"WITH {_SEQ}, {_PAIRS} SELECT CAST(ceil(qgram_diff / 1) AS INT) AS level, count(*) AS pairs FROM diffs WHERE qgram_diff <= 2 GROUP BY ALL",
         "profile_words": f"WITH {_SEQ}, {_CODES} SELECT seq_no, CAST(code // 64 AS INT) AS word, bit_xor(CASE WHEN code % 64 = 63 THEN (-9223372036854775807 - 1)::BIGINT ELSE (1::BIGINT << (code % 64)) END) AS bits FROM odd GROUP BY ALL",
+        "edges_d2_affine": f"WITH RECURSIVE {_SEQ}, {_affine(2)} SELECT src, dst, diff FROM edges",
+        "clusters_d2_affine": f"WITH RECURSIVE {_SEQ}, {_affine(2)}, {_REACH} SELECT cluster_id, seq_no FROM clusters",
+        "clusters_d8_affine": f"WITH RECURSIVE {_SEQ}, {_affine(8)}, {_REACH} SELECT cluster_id, seq_no FROM clusters",
         "cluster_report_d1": f"{c}, t AS (SELECT count(DISTINCT cluster_id) AS n, count(*) AS m FROM clusters) SELECT header AS value FROM clusters JOIN s USING (seq_no) UNION ALL SELECT '' FROM (SELECT DISTINCT cluster_id FROM clusters) UNION ALL SELECT '' UNION ALL SELECT '' UNION ALL SELECT 'Total: ' || n || ' clusters of ' || m || ' sequences' FROM t",
     }

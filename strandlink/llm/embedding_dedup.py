@@ -152,11 +152,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                     salt = mix64(label[:, None] + np.arange(tables, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(size))
                     c = mix64(c + salt[:, :, None])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b.column(0)[i].as_py() for i in at]), pa.array([b.column(3)[i].as_py() for i in at]), pa.array([own[i].tobytes() for i in at]), pa.array([r.tobytes() for r in c])],
-                        names=["rep", "copies", "body", "codes"],
+                        [pa.array([b.column(0)[i].as_py() for i in at]), pa.array([b.column(3)[i].as_py() for i in at]), pa.array([own[i].tobytes() for i in at]), pa.array([r.tobytes() for r in c]), b.column(2).take(pa.array(at))],
+                        names=["rep", "copies", "body", "codes", "label"],
                     )
 
-    hashed = materialize(classes.select("rep", "v", "label", "copies").mapInArrow(hash_rows, "rep long, copies long, body binary, codes binary"), "hashed")
+    hashed = materialize(classes.select("rep", "v", "label", "copies").mapInArrow(hash_rows, "rep long, copies long, body binary, codes binary, label string"), "hashed")
 
     def spread(batches):
         for b in batches:
@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select("key", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"), "c", "rep", "own")
     )
-    payload = blocks.join(hashed, "rep").select("key", "ci", "cj", "c", "own", "rep", "copies", "body", "codes")
+    payload = blocks.join(hashed, "rep").select("key", "ci", "cj", "c", "own", "rep", "copies", "body", "codes", "label")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = payload.repartition(parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
 
@@ -217,15 +217,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         key, rows, out = None, [], []
 
         def flush():
-            if len(rows) > 1 and any(r[4] for r in rows):
-                got = block_links(key, rows)
-                if got:
-                    ids, links, forest = got
-                    out.extend((int(i), None, int(m)) for i, m in zip(ids, links) if m)
-                    out.extend((int(i), int(j), 0) for i, j in forest)
+            # a key is a hash: labels and lengths themselves decide who may link
+            alike: dict[tuple, list] = {}
+            for r in rows:
+                alike.setdefault((r[9], len(r[7])), []).append(r)
+            for held in alike.values():
+                if len(held) > 1 and any(r[4] for r in held):
+                    got = block_links(key, held)
+                    if got:
+                        ids, links, forest = got
+                        out.extend((int(i), None, int(m)) for i, m in zip(ids, links) if m)
+                        out.extend((int(i), int(j), 0) for i, j in forest)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
+            cols = [batch.column(i).to_pylist() for i in range(10)]
             for r in zip(*cols):
                 if r[:3] != key:
                     flush()

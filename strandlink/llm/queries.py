@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlink.llm import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_join, quality, quote_threads, suffix_dedup, token_store
+from strandlink.llm import bpe, collocations, decontaminate, embedding_dedup, exact_topk, html_extract, langid, merkle, ngram_join, quality, quote_threads, sql, suffix_dedup, token_store
 from strandlink.llm.common import read_table
 from strandlink.plans.shipping import ship
 
@@ -63,9 +63,24 @@ def op9_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_threads.link_quotes(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return merkle.verify(read_table(spark, sf_dir, "documents"), every=7)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return exact_topk.search(read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, covered=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op9_quote_threads": op9_quote_threads, "op10_html_extract": op10_html_extract, "op6_bpe": op6_bpe}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_token_store": op4_token_store, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_ngram_join": op8_ngram_join, "op9_quote_threads": op9_quote_threads, "op10_html_extract": op10_html_extract, "op6_bpe": op6_bpe, "op11_merkle_manifest": op11_merkle_manifest, "op12_exact_topk": op12_exact_topk, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": sql.OP11_MERKLE, "op12_exact_topk": sql.OP12_TOPK, "op13_collocations": sql.OP13_PHRASES}

@@ -42,10 +42,15 @@ TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figc
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = set("nav header footer aside form script style noscript template iframe button select textarea input svg canvas dialog menu head title object embed audio video map search xmp noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-#: Words in the class or id of menus, headers, footers, sidebars, notices, adverts and reader comments.  Any other kind
-#: of boilerplate goes only where it recurs on its host.
-ADVERTS = set("ad ads advert advertisement advertisements adverts sponsor sponsored".split())
-MARKS = ADVERTS | set("breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation notice notices replies reply sidebar".split())
+#: Whole class names and ids of adverts, reader comments, and menus, headers, footers, sidebars and notices.  Any other
+#: boilerplate goes where it recurs on its host.
+ADVERTS = set("ad ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper ads advert advertisement advertisements adverts sponsor sponsored".split())
+COMMENTS = set("comment comment-list comment-section comments comments-area comments-list comments-section disqus disqus_thread post-comments reader-comments replies reply respond user-comments".split())
+MARKS = ADVERTS | COMMENTS | set(
+    "breadcrumb breadcrumbs consent cookie cookie-banner cookie-bar cookie-consent cookie-notice cookies footer gdpr header left-sidebar main-menu main-nav main-navigation masthead menu nav nav-bar nav-menu navbar navigation notice notices page-footer page-header primary-menu right-sidebar secondary-menu side-bar sidebar sidebar-left sidebar-right site-footer site-header site-nav site-navigation site-notice top-bar topbar".split()
+)
+#: Kinds that may enclose a whole page.
+ENCLOSING = set("form dialog map".split())
 #: Start tags that end an open element of these kinds, up to the nearest of the bounds.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -62,33 +67,40 @@ CLOSES = {
 }
 P_ENDS = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "title", "legend", "figcaption"}
 
-# Nothing in a tag is matched in two ways and no part of a match is given back, so a tag that never ends costs one pass.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
+# Nothing in a tag is matched in two ways and no part of a match is given back, and a name or attribute ends at
+# the next "<", so tags that never end cost one pass, however many there are.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent", "level", "digest", "counts")
+    __slots__ = ("tag", "attrs", "start", "end", "kids", "parent", "level", "digest", "counts", "size", "spared")
 
     def __init__(self, tag, attrs, start, parent):
         self.tag, self.attrs, self.start, self.end, self.parent = tag, attrs, start, start, parent
         self.level = parent.level + 1 if parent else 0
         self.kids: list = []
-        self.digest, self.counts = 0, False
+        self.digest, self.counts, self.size, self.spared = 0, False, 0, False
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and text spans; unclosed and crossed tags end where HTML's rules or their parents say."""
+    """A tree of elements and text spans; unclosed and crossed tags end where HTML's rules or their parents say.
+
+    ``spared`` marks elements whose class does not make them boilerplate: those around the page's longest article, or,
+    on a page without one, those that hold more than half of its text.
+    """
     root = node = Node("", "", 0, None)
     at, size = 0, len(page)
     opened: dict[str, list[Node]] = {}  # of each kind the open elements, outer ones first
+    blocks, articles = [], []
 
     def close(until: Node, where: int) -> Node:
         n = node
         while n is not until:
             n.end = where
             opened[n.tag].pop()
+            n.parent.size += n.size
             n = n.parent
         return n
 
@@ -109,6 +121,7 @@ def parse(page: str) -> Node:
         begin = m.start() if m else size
         if begin > at:
             node.kids.append((at, begin))
+            node.size += begin - at
         if m is None:
             break
         at = m.end()
@@ -143,25 +156,42 @@ def parse(page: str) -> Node:
             continue
         opened.setdefault(tag, []).append(made)
         node = made
+        if tag in BLOCK:
+            blocks.append(made)
+        if tag in ("article", "main"):
+            articles.append(made)
     close(root, size)
+    if articles:
+        node = max(articles, key=lambda n: n.size)
+        while node is not None:
+            node.spared = True
+            node = node.parent
+    else:
+        for node in blocks:
+            node.spared = 2 * node.size > root.size
     return root
 
 
-def _is_chrome(node: Node) -> bool:
-    """Whether the element's kind, role, class or id says that it is no article text."""
-    if node.tag in DROPPED:
+def _is_chrome(node: Node, within: bool = False) -> bool:
+    """Whether the element's kind, role, class or id says that it is no article text; ``within`` an article, a class
+    says nothing about headings, paragraphs and the like."""
+    if node.tag in DROPPED and not (node.spared and node.tag in ENCLOSING):
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main") and "comment" not in node.attrs.lower():
         return False
     marks = MARKS if node.tag in BLOCK else ADVERTS  # an inline element is part of a text, whatever its class
+    if within and node.tag in TEXT_BLOCK:
+        marks = frozenset()
+    if node.spared:
+        marks = marks & COMMENTS
     for name, value in _ATTR.findall(node.attrs):
         name = name.lower()
         if name == "hidden":
             return True
         value = value.strip("\"'").lower()
-        if name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        if name == "aria-hidden" and value == "true" or name == "role" and value in ROLES and not node.spared:
             return True
-        if name in ("class", "id") and not marks.isdisjoint(x for w in value.split() for x in (w, *re.split(r"[-_]", w))):
+        if name in ("class", "id") and not marks.isdisjoint(value.split()):
             return True
     return False
 
@@ -249,8 +279,8 @@ def main_text(page: str, template: set[int] | frozenset = frozenset()) -> str:
 
 
 def _text(page: str, root: Node, gone: set[int] | frozenset) -> str:
-    def dropped(node: Node) -> bool:
-        return id(node) in gone or _is_chrome(node)
+    def dropped(node: Node, within: bool = False) -> bool:
+        return id(node) in gone or _is_chrome(node, within)
 
     articles, stack = [], [root]
     while stack:  # outermost articles in page order
@@ -267,7 +297,7 @@ def _text(page: str, root: Node, gone: set[int] | frozenset) -> str:
         inner, stack = [], [k for k in reversed(a.kids) if type(k) is Node] if a.tag == "main" else []
         while stack:
             n = stack.pop()
-            if dropped(n):
+            if dropped(n, True):
                 continue
             if n.tag == "article":
                 inner.append(n)
@@ -295,7 +325,7 @@ def _text(page: str, root: Node, gone: set[int] | frozenset) -> str:
                 piece.append(" ")
             elif type(item) is tuple:
                 piece.append(page[item[0] : item[1]])
-            elif item is not top and dropped(item):
+            elif item is not top and dropped(item, top is not root):
                 if item.tag in BLOCK:
                     flush()
             elif item.tag == "br":

@@ -113,7 +113,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     Rows link only within equal labels.  A row links with nothing if its label is null, or its vector is null,
     empty, zero, or holds a null, NaN or infinite component.  Vectors of different lengths never link.  Rows that
-    repeat an id with the same vector and label count as copies that link with each other.
+    repeat an id with the same vector and label count as copies that link with each other; with other vectors they are
+    rows like any others, under one name.  A row with a null id has no name to link by: it links with nothing, its
+    ``component_id`` is null, and it is kept.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vector_col].dataType
@@ -124,13 +126,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     )
     # -0.0 equals 0.0 as a grouping key; NaN and infinity are dropped here
     fine = (
-        F.col("label").isNotNull()
+        F.col("id").isNotNull()
+        & F.col("label").isNotNull()
         & F.col("v").isNotNull()
         & F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False))
         & F.exists("v", lambda e: e != 0)
     )
     rows = materialize(src.withColumn("fine", F.coalesce(fine, F.lit(False))), "vectors")
-    classes = materialize(rows.filter("fine").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # classes have numbers of their own: two classes can hold the same least id
+    classes = rows.filter("fine").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     n, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -245,13 +250,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     found = materialize(ordered.mapInArrow(verify, "a long, b long, n long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    labels = connected_components(found.filter("b is not null"), "a", "b")
-    reps = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    labels = materialize(connected_components(found.filter("b is not null"), "a", "b").withColumnRenamed("id", "rep"), "labels")
+    names = labels.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+    named = labels.join(names, "component").select("rep", "name")
+    reps = classes.join(counts, "rep", "left").join(named, "rep", "left").select(
+        "label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("component_id")
     )
     linked = rows.filter("fine").join(reps, ["label", "v"])
     out = linked.select("id", "n_links", "component_id").union(rows.filter("not fine").select("id", F.lit(0).cast("long"), "id"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _table(out, schema):

@@ -244,6 +244,15 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1), (None, v, 1), (5, v, 1), (3, v, 1), (3, w, 1), (4, w, 1), (9, [1.0, 0.01, 0.1], 1), (9, [0.0, 1.0, 0.01], 1), (None, None, None), (8, w, 2)]
+    df = spark.createDataFrame([(i, x, k, 1, "c") for i, x, k in rows], "vec_id long, embedding array<float>, label int, rep int, first string").repartition(3)
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    # classes: v of 3 and 5, w of 3 and 4, both of 9; null ids link with nothing
+    assert got == sorted([(None, 0, None, True)] * 3 + [(5, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (9, 2, 3, False), (9, 2, 3, False), (8, 0, 8, True)], key=str)
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 7)
     rng = np.random.default_rng(6)
@@ -501,15 +510,40 @@ def test_html_template_counts_decide(spark):
         "<b>" * 20000 + "<body>" * 20000 + "<li>" * 20000,
         "<div " * 50000 + "<p>end</p>",
         "<table>" * 5000 + "<td>" * 20000 + "x",
+        "<a" * 200_000 + " <",
+        "<a " * 200_000 + "\"",
+        "<a x='" * 100_000 + "<",
+        "</a " * 200_000,
     ],
 )
 def test_html_hostile_pages_end(page):
     begin = time.monotonic()
+    html_extract.main_text(page)
+    assert time.monotonic() - begin < 4
     html_extract.main_text(page, {1})
     html_extract.regions(page)
     assert time.monotonic() - begin < 10
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page with-sidebar"><article>{}</article></div>',
+        '<div class="content no-sidebar"><p>Kept</p><p>too</p></div>',
+        '<div class="header"><article>{}</article></div>',
+        '<div id="sidebar" class="menu"><main>{}</main></div><div class="sidebar">gone</div>',
+        '<form class="notice"><article>{}</article></form><form>gone</form>',
+        '<article><h2 class="section-header">Kept</h2><p class="notice">too</p><div class="cookie-notice">gone</div></article>',
+        '<div class="comments"><article class="comment-body">A far longer remark of a reader, which goes</article></div><article>{}</article>',
+        '<div class="navigation notice"><p>Kept</p><p>too</p></div><div class="notice">gone</div>',
+        '<p>Kept</p><p>too</p><div class="comments">Remarks that are longer than the article itself, all of them gone</div>',
+    ],
+)
+def test_html_containers_of_the_text_stay(page):
+    page = f"<html><body>{page.format('<p>Kept</p><p>too</p>')}</body></html>"
+    assert html_extract.main_text(page) == "Kept\ntoo"
+
+
 def test_html_inline_marks_are_text():
     page = "<article><p>Code: <span class='comment'># note</span> and <em class='header'>more</em> <span class='ad'>buy</span></p><div class='related'>Kept</div><div class='comments'>gone</div></article>"
     assert html_extract.main_text(page) == "Code: # note and more\nKept"

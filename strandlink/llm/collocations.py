@@ -2,7 +2,7 @@
 
 The corpus is cut into blocks of one language each, which keep their words as numbers by position.  Level k names
 phrases of k words: where the phrases of k - 1 words at a position and at the next one are both frequent, the pair of
-their ids is counted.  A block sends each distinct pair once with its count; a window over all blocks sums the counts,
+their ids is counted.  A block sends each distinct pair once with its count and place; a window over all blocks sums the counts,
 keeps the frequent pairs and names each by the first place that holds it; the names go back to the blocks that hold
 the pair and replace it there.  Every part of a frequent phrase is frequent, so nothing is lost.
 
@@ -29,6 +29,7 @@ from strandlink.plans.stages import drop, materialize
 BLOCK_BYTES = 12 << 20
 #: A phrase's id: partition, block in it, and place in the block's list.
 _PLACE, _BLOCK = 27, 15
+_ROWS = 1 << 16
 
 # Bytes that end a piece, and those that end a word.
 _BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -109,42 +110,69 @@ def _blocks(size: int):
     return run
 
 
-def pairs_of(pos: np.ndarray, code: np.ndarray, place: np.ndarray, names: np.ndarray):
-    """The next level of a block: positions and numbers of its pairs, and of each distinct pair the ids and the count.
+def pairs_of(pos: np.ndarray, code: np.ndarray, names: np.ndarray):
+    """The next level of a block whose phrases at ``pos`` have the ids ``names[code]``: positions and numbers of the pairs
+    of neighbours, and of each distinct pair the ids and the count."""
+    at = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    width = max(len(names), 1)
+    pair, number, n = np.unique(code[at].astype(np.int64) * width + code[at + 1], return_inverse=True, return_counts=True)
+    return pos[at], number, names[pair // width], names[pair % width], n
 
-    ``place`` are the numbers in ``code`` that are frequent, ``names`` their ids.
-    """
-    known = np.full(int(code.max(initial=-1)) + 1, -1, np.int64)
-    known[place] = np.arange(len(place))
+
+def renamed(pos: np.ndarray, code: np.ndarray, place: np.ndarray, names: np.ndarray) -> bytes:
+    """The occurrences of frequent phrases: ``place`` are the numbers in ``code`` that are frequent, ``names`` their ids."""
+    known = np.full(int(code.max(initial=-1)) + 1, -1, np.int32)
+    known[place] = np.arange(len(place), dtype=np.int32)
     c = known[code]
     keep = c >= 0
-    pos, c = pos[keep], c[keep]
-    at = np.flatnonzero(pos[1:] == pos[:-1] + 1)
-    pair, number, n = np.unique(c[at] * len(place) + c[at + 1], return_inverse=True, return_counts=True)
-    width = max(len(place), 1)
-    return pos[at], number.astype(np.int32), names[pair // width], names[pair % width], n
+    return zip_arrays(np.diff(pos[keep], prepend=np.int32(0)), c[keep], names)
+
+
+def _opened(blob: bytes):
+    step, code, names = unzip_arrays(blob, "<i4", "<i4", "<i8")
+    return np.cumsum(step, dtype=np.int32), code, names
+
+
+_STATE = pa.schema([("block", pa.int64()), ("state", pa.binary())])
+
+
+def _named_level(level: int):
+    """Blocks and the names for level ``level`` to the block's occurrences of frequent phrases of that length."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _STATE.empty_table()
+        blob = left.column("state")[0].as_py()
+        if level == 1:
+            step, code = unzip_arrays(blob, "<i4", "<i4")
+            pos = np.cumsum(step, dtype=np.int32)
+        else:
+            pos, code, *_ = pairs_of(*_opened(blob))
+        return pa.table([left.column("block"), pa.array([renamed(pos, code, right.column("place").to_numpy(), right.column("id").to_numpy())])], schema=_STATE)
+
+    return run
 
 
-def _next_level(left: pa.Table, right: pa.Table) -> pa.Table:
-    schema = pa.schema([("block", pa.int64()), ("state", pa.binary()), ("l", pa.list_(pa.int64())), ("r", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-    if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
-    step, code = unzip_arrays(left.column("state")[0].as_py(), "<i4", "<i4")
-    pos, number, l, r, n = pairs_of(np.cumsum(step, dtype=np.int32), code, right.column("place").to_numpy(), right.column("id").to_numpy())
-    if not len(pos):
-        return schema.empty_table()
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64)))
-    return pa.table([left.column("block"), pa.array([zip_arrays(np.diff(pos, prepend=np.int32(0)), number)]), one(l), one(r), one(n)], schema=schema)
+def _count_pairs(batches):
+    """Blocks to rows ``(l, r, here, n)``, one for each distinct pair; ``here`` is its place in the corpus."""
+    for b in batches:
+        for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            *_, l, r, n = pairs_of(*_opened(blob.as_py()))
+            if len(n) >> _PLACE:
+                raise OverflowError("a block holds too many phrases")
+            here = (block << _PLACE) + np.arange(len(n))
+            for s in range(0, len(n), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + _ROWS]) for x in (l, r, here, n)], names=["l", "r", "here", "n"])
 
 
 def _named(items: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """Frequent ``keys`` of ``items(*keys, block, place, n)``: a row for each block that holds one, with ``id`` and ``a``, its
-    count over all blocks."""
+    """Frequent ``keys`` of ``items(*keys, here, n)``: a row for each block that holds one, with ``id``, the first place
+    of all, and ``a``, the count over all blocks."""
     over = Window.partitionBy(*keys)
-    here = F.shiftleft("block", _PLACE) + F.col("place")
-    rows = items.withColumn("here", here).select(*keys, "block", "place", "here", F.sum("n").over(over).alias("a"), F.min("here").over(over).alias("id"))
+    rows = items.select(*keys, "here", F.sum("n").over(over).alias("a"), F.min("here").over(over).alias("id"))
     first = F.col("here") == F.col("id")  # one row of each carries what it stands for
-    return materialize(rows.filter(F.col("a") >= least).select("block", "place", "id", "a", *(F.when(first, F.col(c)).alias(c) for c in keys), first.alias("first")), label)
+    place = F.col("here").bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int").alias("place")
+    return materialize(rows.filter(F.col("a") >= least).select(F.shiftright("here", _PLACE).alias("block"), place, "id", "a", *(F.when(first, F.col(c)).alias(c) for c in keys), first.alias("first")), label, release=True)
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -156,19 +184,19 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     src = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("string").alias("text")).filter("text is not null")
     state = materialize(arrow_map(src, _blocks(block_bytes), "block long, lang string, words long, state binary, word array<string>, n array<long>"), "level-1")
     sizes = materialize(state.groupBy("lang").agg(F.sum("words").alias("n")), "words")
-    items = state.select("lang", "block", F.posexplode(F.arrays_zip("word", "n")).alias("place", "x")).select("lang", F.col("x.word").alias("word"), "block", "place", F.col("x.n").alias("n"))
-    named = _named(items, ["lang", "word"], least, "names-1")
+    each = state.select("lang", "block", F.posexplode(F.arrays_zip("word", "n")).alias("place", "x"))
+    named = _named(each.select("lang", F.col("x.word").alias("word"), (F.shiftleft("block", _PLACE) + F.col("place")).alias("here"), F.col("x.n").alias("n")), ["lang", "word"], least, "names-1")
     one = named.filter("first").select("id", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
     levels = [materialize(one, "phrases-1")]
     for k in range(2, longest + 1):
-        back = named.select("block", "place", "id")
-        following = state.select("block", "state").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_next_level, "block long, state binary, l array<long>, r array<long>, n array<long>")
-        following = materialize(following, f"level-{k}", release=True)
+        # what a level leaves behind goes before the next one shuffles
+        following = materialize(
+            state.select("block", "state").groupBy("block").cogroup(named.select("block", "place", "id").groupBy("block")).applyInArrow(_named_level(k - 1), "block long, state binary"), f"level-{k}", release=True
+        )
         drop(state)
         drop(named)
         state = following
-        items = state.select("block", F.posexplode(F.arrays_zip("l", "r", "n")).alias("place", "x")).select("block", "place", F.col("x.l").alias("l"), F.col("x.r").alias("r"), F.col("x.n").alias("n"))
-        named = _named(items, ["l", "r"], least, f"names-{k}")
+        named = _named(arrow_map(state, _count_pairs, "l long, r long, here long, n long"), ["l", "r"], least, f"names-{k}")
         before = levels[-1]
         left = before.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("head"), F.col("firsts").alias("before"))
         right = before.select(F.col("id").alias("r"), "last", F.col("lasts").alias("after"))

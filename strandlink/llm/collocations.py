@@ -69,6 +69,27 @@ def cut(text: bytes, size: int = BLOCK_BYTES):
         at = end
 
 
+def _packed(pos: np.ndarray, code: np.ndarray, *more: np.ndarray) -> bytes:
+    """Positions as steps and codes by bytes of equal weight, which compresses better than whole numbers do."""
+    planes = np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zip_arrays(np.diff(pos, prepend=np.int32(0)), planes, *more)
+
+
+def _unpacked(blob: bytes, *more: str) -> list[np.ndarray]:
+    step, planes, *rest = unzip_arrays(blob, "<i4", "u1", *more)
+    code = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
+    return [np.cumsum(step, dtype=np.int32), code, *rest]
+
+
+def _by_count(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes numbered anew, frequent ones first; the old numbers in the new order, and their counts."""
+    n = np.bincount(code, minlength=size)
+    order = np.argsort(-n, kind="stable")
+    new = np.empty(size, np.int32)
+    new[order] = np.arange(size, dtype=np.int32)
+    return new[code], order, n[order]
+
+
 def _blocks(size: int):
     """Texts ``(lang, text)`` to block rows ``(block, lang, words, state, word, n)``."""
 
@@ -84,12 +105,12 @@ def _blocks(size: int):
                 if not len(pos):
                     continue
                 coded = words.dictionary_encode()
-                code = coded.indices.to_numpy()
-                n = np.bincount(code, minlength=len(coded.dictionary))
+                code, order, n = _by_count(coded.indices.to_numpy(), len(coded.dictionary))
+                known = coded.dictionary.take(pa.array(order)).cast(pa.string())
                 if count >> _BLOCK or len(n) >> _PLACE:
                     raise OverflowError("a partition holds too many blocks or a block too many phrases")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + count]), pa.array([lang]), pa.array([len(pos)]), pa.array([zip_arrays(np.diff(pos, prepend=np.int32(0)), code.astype(np.int32))]), pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([n.tolist()], pa.list_(pa.int64()))],
+                    [pa.array([first + count]), pa.array([lang]), pa.array([len(pos)]), pa.array([_packed(pos, code)]), pa.array([known.to_pylist()], pa.list_(pa.string())), pa.array([n.tolist()], pa.list_(pa.int64()))],
                     names=["block", "lang", "words", "state", "word", "n"],
                 )
                 count += 1
@@ -125,12 +146,8 @@ def renamed(pos: np.ndarray, code: np.ndarray, place: np.ndarray, names: np.ndar
     known[place] = np.arange(len(place), dtype=np.int32)
     c = known[code]
     keep = c >= 0
-    return zip_arrays(np.diff(pos[keep], prepend=np.int32(0)), c[keep], names)
-
-
-def _opened(blob: bytes):
-    step, code, names = unzip_arrays(blob, "<i4", "<i4", "<i8")
-    return np.cumsum(step, dtype=np.int32), code, names
+    c, order, _ = _by_count(c[keep], len(place))
+    return _packed(pos[keep], c, names[order])
 
 
 _STATE = pa.schema([("block", pa.int64()), ("state", pa.binary())])
@@ -144,10 +161,9 @@ def _named_level(level: int):
             return _STATE.empty_table()
         blob = left.column("state")[0].as_py()
         if level == 1:
-            step, code = unzip_arrays(blob, "<i4", "<i4")
-            pos = np.cumsum(step, dtype=np.int32)
+            pos, code = _unpacked(blob)
         else:
-            pos, code, *_ = pairs_of(*_opened(blob))
+            pos, code, *_ = pairs_of(*_unpacked(blob, "<i8"))
         return pa.table([left.column("block"), pa.array([renamed(pos, code, right.column("place").to_numpy(), right.column("id").to_numpy())])], schema=_STATE)
 
     return run
@@ -157,7 +173,7 @@ def _count_pairs(batches):
     """Blocks to rows ``(l, r, here, n)``, one for each distinct pair; ``here`` is its place in the corpus."""
     for b in batches:
         for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
-            *_, l, r, n = pairs_of(*_opened(blob.as_py()))
+            *_, l, r, n = pairs_of(*_unpacked(blob.as_py(), "<i8"))
             if len(n) >> _PLACE:
                 raise OverflowError("a block holds too many phrases")
             here = (block << _PLACE) + np.arange(len(n))

@@ -14,14 +14,13 @@ k-th score within the sample that pivots come from.  Pivots, sample and threshol
 from __future__ import annotations
 
 import functools
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import arrow_map
+from strandlink.llm.common import arrow_map, ranked
 from strandlink.plans.stages import drop, materialize
 
 #: Pivots for each vector length, and the rows at most from which they are chosen (least hashed ids).
@@ -178,13 +177,14 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             yield b.append_column("seed", pa.array(seed))
 
     asked = table.filter(F.col("id") % every == 0)
-    size = asked.agg(F.sum(F.octet_length("body") + F.octet_length("table"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    # neighbours share a block; the numbers are read from the written table
-    queries = arrow_map(asked.repartitionByRange(n_blocks, *keys), seeded, "id long, len int, body binary, near int, least double, table binary, seed long")
-    queries = materialize(queries.select("id", "len", "body", "table", "seed", F.monotonically_increasing_id().alias("number"), F.spark_partition_id().alias("block")), "queries")
+    largest = asked.agg(F.max(F.octet_length("body") + F.octet_length("table"))).first()[0] or 1
+    # neighbours are numbered one after the other, and so many share a block that it has ``block_bytes`` at most
+    seeds = arrow_map(asked, seeded, "id long, len int, body binary, near int, least double, table binary, seed long")
+    numbered = ranked(seeds.withColumn("all", F.lit("")), "all", keys, "queries")
+    queries = materialize(numbered.select("id", "len", "body", "table", "seed", F.col("idx").alias("number"), F.floor(F.col("idx") / F.lit(max(1, block_bytes // largest))).alias("block")), "queries")
     found = []
-    for block in sorted(r[0] for r in queries.select("block").distinct().collect()):
+    n_blocks = (queries.agg(F.max("block")).first()[0] or 0) + 1
+    for block in range(n_blocks):
         held = queries.filter(F.col("block") == block).collect()
         lengths: dict[int, list] = {}
         for r in held:

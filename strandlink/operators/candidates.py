@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlink.functions import qgram
 from strandlink.plans.stages import materialize
 
+#: Rows of one key and side that meet in one task; a key with more is cut into chunks, and pairs of chunks are dealt.
+CHUNK = 2000
+#: Profiles with more odd codes than this are joined on ranges of codes, the others on their rarest codes.
+DENSE = 128
+#: Pivot profiles of :func:`pivot_join`, those whose rings are part of the key, and the sample they come from.
+PIVOTS, RINGS, SAMPLE = 8, 3, 2000
+
 
 def nested_loop(sequences: DataFrame) -> DataFrame:
     """All pairs ``a.seq_no < b.seq_no``: the definition that the other joins are tested against, for small inputs."""
@@ -65,37 +74,177 @@ def _substr(size: str, n: int) -> str:
     return f"substring(seq, cast({p} + 1 as int), cast({w} as int))"
 
 
-def segment_join(reps: DataFrame, d: int) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of rows ``(rep, seq)`` that share a segment key: every pair within ``d`` edits
-    is among them."""
+def segment_index(reps: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the segment join with one key: ``filed(rep, key)`` and ``probes(rep, key)``.
+
+    Any two sequences within ``d`` edits meet under a key, one as filed and one as probe.  Sequences of at most ``d``
+    symbols probe the lengths that they can reach, under which those of at most ``2 d`` symbols are filed.
+    """
     filed, probes = segment_keys(reps, d)
-    met = filed.select(F.col("rep").alias("x"), "len", "k", F.xxhash64("piece").alias("piece")).join(
-        probes.select(F.col("rep").alias("y"), "len", "k", F.xxhash64("piece").alias("piece")), ["len", "k", "piece"]
-    )
+    key = F.xxhash64("len", "k", "piece").alias("key")
     size = F.length("seq")
-    short = reps.filter(size <= d).select(F.col("rep").alias("x"), F.explode(F.sequence(size, size + d)).alias("len"))
-    near = reps.filter(size <= 2 * d).select(F.col("rep").alias("y"), size.alias("len"))
-    pairs = met.select("x", "y").union(short.join(near, "len").select("x", "y"))
-    return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    by_length = F.xxhash64(F.col("len").cast("int"), F.lit(-1)).alias("key")
+    near = reps.filter(size <= 2 * d).select("rep", size.alias("len"))
+    short = reps.filter(size <= d).select("rep", F.explode(F.sequence(size, size + d)).alias("len"))
+    wide = lambda df: df.withColumn("len", F.col("len").cast("long"))  # noqa: E731  equal values hash alike only in one type
+    return (
+        wide(filed).withColumn("k", F.col("k").cast("int")).select("rep", key).union(near.select("rep", by_length)),
+        wide(probes).withColumn("k", F.col("k").cast("int")).select("rep", key).union(short.select("rep", by_length)),
+    )
 
 
-def profile_join(sequences: DataFrame, limit: int) -> DataFrame:
-    """Pairs ``(src, dst, qgram_diff)`` of rows with a q-gram lower bound of at most ``limit``: all of them.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Inner equi-join of ``left(*keys, a, ...)`` and ``right(*keys, b, ...)`` for keys of any size.
 
-    Profiles differ in at most ``10 * limit`` of 1024 bits, so of ``10 * limit + 1`` bit ranges one is equal: an
-    equi-join on the range's odd codes.  Equal profiles are collapsed before the join and expanded after it.
+    Keys are counted first.  A key with more than ``chunk`` rows on a side is cut there by a hash of the row's ``a`` or
+    ``b``, and every chunk of one side meets every chunk of the other in a task of its own; other keys are as they are.
     """
-    n = qgram.PER_EDIT * limit + 1
+
+    def many(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias(name)).filter(F.col(name) > 1)
+
+    hot = many(left, "_x").join(many(right, "_y"), keys, "full").select(*keys, F.coalesce("_x", F.lit(1)).alias("_x"), F.coalesce("_y", F.lit(1)).alias("_y"))
+    hot = materialize(hot, "hot-keys")  # one row for each ``chunk`` rows of the input at most
+    if hot.isEmpty():
+        return left.join(right, keys)
+
+    def dealt(side: DataFrame, row: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        out = side.join(hot, keys, "left")
+        part = F.pmod(F.xxhash64(row), F.coalesce(own, F.lit(1))).cast("int")
+        return out.withColumn(mine, part).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_x", "_y")
+
+    return dealt(left, "a", "_x", "_y", "_i", "_j").join(dealt(right, "b", "_y", "_x", "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def segment_join(reps: DataFrame, d: int, chunk: int = CHUNK) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, of rows ``(rep, seq)`` that share a segment key: every pair within ``d`` edits
+    is among them."""
+    filed, probes = segment_index(reps, d)
+    met = spread_join(filed.select("key", F.col("rep").alias("a")), probes.select("key", F.col("rep").alias("b")), ["key"], chunk)
+    return met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def profile_classes(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(seq_no, codes)`` of every row, and ``(rep, codes, size)`` with equal profiles once; both written."""
     rows = materialize(qgram.profiles(sequences), "profiles")
-    classes = materialize(rows.groupBy("codes").agg(F.min("seq_no").alias("rep")), "classes")
-    ranges = classes.select("rep", "codes", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("range"))
-    keyed = ranges.select("rep", "codes", "range", F.xxhash64(F.filter("codes", lambda c: F.floor(c * n / F.lit(1024)) == F.col("range"))).alias("key"))
-    pairs = keyed.select("range", "key", F.col("rep").alias("a")).join(keyed.select("range", "key", F.col("rep").alias("b")), ["range", "key"]).filter("a < b").select("a", "b").distinct()
-    profiles = classes.select(F.col("rep").alias("a"), F.col("codes").alias("ca"))
-    both = pairs.join(profiles, "a").join(profiles.toDF("b", "cb"), "b")
+    return rows, materialize(rows.groupBy("codes").agg(F.min("seq_no").alias("rep")).withColumn("size", F.size("codes")), "classes")
+
+
+def _code_ranks(classes: DataFrame) -> Column:
+    """The place of each 5-mer code among all 1024 by how many profiles hold it, rare ones first."""
+    held = {r["code"]: r["n"] for r in classes.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}
+    order = sorted(range(4**qgram.Q), key=lambda c: (held.get(c, 0), c))
+    place = [0] * len(order)
+    for i, c in enumerate(order):
+        place[c] = i
+    return F.lit(place)
+
+
+def rare_code_pairs(classes: DataFrame, most: int, dense: int = DENSE) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of classes whose profiles may differ in ``most`` codes or fewer, where the smaller one
+    has at most ``dense``: all of them.
+
+    Codes are ordered rare first.  If sets A and B, A not the larger, differ in ``most`` codes, then at most half
+    of these are A's, so the first ``most / 2 + 1`` of A and the first ``most + 1`` of B have a code in common, unless
+    the sets have no more than ``most`` codes in all: then any pair differs in few enough, and they meet by size.
+    At the first common code, what stands before it on either side differs, and so does any surplus behind it.
+    """
+    rank = _code_ranks(classes)
+    ordered = classes.select("rep", "size", F.array_sort(F.transform("codes", lambda c: F.get(rank, c))).alias("ranks"))
+
+    def prefix(side: DataFrame, n: int, names: list[str]) -> DataFrame:
+        return side.select("rep", "size", F.posexplode(F.slice("ranks", 1, n)).alias("at", "key")).toDF(*names)
+
+    smaller = prefix(ordered.filter(F.col("size") <= dense), most // 2 + 1, ["a", "na", "i", "key"])
+    larger = prefix(ordered.filter(F.col("size") <= dense + most), most + 1, ["b", "nb", "j", "key"])
+    met = spread_join(smaller, larger, ["key"]).filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    met = met.filter(F.col("i") + F.col("j") + F.abs((F.col("na") - F.col("i")) - (F.col("nb") - F.col("j"))) <= most)
+    few = classes.filter(F.col("size") <= most)
+    by_size = spread_join(
+        few.filter(F.col("size") <= most // 2).select(F.col("rep").alias("a"), F.col("size").alias("na"), F.explode(F.sequence("size", most - F.col("size"))).alias("key")),
+        few.select(F.col("rep").alias("b"), F.col("size").alias("key")),
+        ["key"],
+    ).filter((F.col("na") < F.col("key")) | ((F.col("na") == F.col("key")) & (F.col("a") < F.col("b"))))
+    return met.select("a", "b").union(by_size.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def range_pairs(classes: DataFrame, most: int, dense: int = DENSE) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of classes with more than ``dense`` codes each whose profiles may differ in ``most``
+    codes or fewer: of ``most + 1`` ranges of codes they agree in one."""
+    n = most + 1
+    ranges = classes.filter(F.col("size") > dense).select("rep", "size", "codes", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("range"))
+    keyed = ranges.select("rep", "size", F.xxhash64("range", F.filter("codes", lambda c: F.floor(c * n / F.lit(1024)) == F.col("range"))).alias("key"))
+    met = spread_join(keyed.select("key", F.col("rep").alias("a"), F.col("size").alias("na")), keyed.select("key", F.col("rep").alias("b"), F.col("size").alias("nb")), ["key"])
+    return met.filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most)).select("a", "b").distinct()
+
+
+def _near_profiles(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """``(a, b, qgram_diff)`` of the pairs of classes within the bound ``limit``."""
+    a, b = (classes.select(F.col("rep").alias(x), F.col("codes").alias(f"c{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
     distance = F.size("ca") + F.size("cb") - 2 * F.size(F.array_intersect("ca", "cb"))
-    near = both.select("a", "b", qgram.qgram_diff(distance).alias("qgram_diff")).filter(F.col("qgram_diff") <= limit)
+    return both.select("a", "b", qgram.qgram_diff(distance).alias("qgram_diff")).filter(F.col("qgram_diff") <= limit)
+
+
+def _expanded(near: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of rows ``(src, dst, qgram_diff)`` from pairs of classes; copies of a profile are at 0."""
     near = near.union(near.select("b", "a", "qgram_diff")).union(classes.select("rep", "rep", F.lit(0)))
-    members = rows.join(classes, "codes").select("seq_no", "rep")
+    members = rows.join(classes.select("codes", "rep"), "codes").select("seq_no", "rep")
     left = near.join(members.select(F.col("rep").alias("a"), F.col("seq_no").alias("src")), "a")
     return left.join(members.select(F.col("rep").alias("b"), F.col("seq_no").alias("dst")), "b").filter("src < dst").select("src", "dst", "qgram_diff")
+
+
+def profile_join(sequences: DataFrame, limit: int) -> DataFrame:
+    """Pairs ``(src, dst, qgram_diff)`` of rows with a q-gram lower bound of at most ``limit``: all of them.
+
+    Profiles within the bound differ in at most ``10 * limit`` of 1024 codes.  Sparse ones meet at their rarest codes
+    (:func:`rare_code_pairs`), dense ones in equal ranges (:func:`range_pairs`).  Equal profiles are collapsed before the
+    join and expanded after it.
+    """
+    most = qgram.PER_EDIT * limit
+    rows, classes = profile_classes(sequences)
+    pairs = rare_code_pairs(classes, most).union(range_pairs(classes, most))
+    return _expanded(_near_profiles(pairs, classes, limit), rows, classes)
+
+
+def _pivots(classes: DataFrame, n: int, sample: int) -> list[list[int]]:
+    """Profiles far from each other, from a sample of the least hashed ids (``sample`` rows at any size)."""
+    held = [set(r["codes"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("codes").collect()]
+    if not held:
+        return []
+    picked = [held[0]]
+    near = [len(x ^ picked[0]) for x in held]
+    while len(picked) < n and max(near) > 0:
+        picked.append(held[near.index(max(near))])
+        near = [min(d, len(x ^ picked[-1])) for d, x in zip(near, held)]
+    return [sorted(x) for x in picked]
+
+
+def pivot_pairs(classes: DataFrame, most: int, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, of classes that no pivot tells apart: all whose profiles differ in ``most``
+    codes or fewer.
+
+    The number of differing codes is a metric, so the distances of such a pair to any pivot differ by ``most`` at most.
+    Around each pivot lie rings of that width: the pair's rings are equal or neighbours.  The rings around the first few
+    pivots are the key of an equi-join in which one side looks up the neighbours as well; the distances to all pivots
+    decide before profiles are compared.
+    """
+    chosen = _pivots(classes, pivots, sample)
+    if not chosen:
+        return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    distance = [F.col("size") + len(p) - 2 * F.size(F.array_intersect("codes", F.lit(p))) if p else F.col("size") for p in chosen]
+    table = materialize(classes.select("rep", F.array(*distance).cast("array<int>").alias("to")), "pivots")
+    width = most + 1
+    rings = min(rings, len(chosen))
+    ring = [F.floor(F.get("to", F.lit(i)) / F.lit(width)) for i in range(rings)]
+    filed = table.select(F.col("rep").alias("a"), F.col("to").alias("ta"), F.xxhash64(*ring).alias("key"))
+    around = F.array(*(F.xxhash64(*(r + s for r, s in zip(ring, shift))) for shift in itertools.product((-1, 0, 1), repeat=rings)))
+    probes = table.select(F.col("rep").alias("b"), F.col("to").alias("tb"), F.explode(around).alias("key"))
+    apart = F.exists(F.zip_with("ta", "tb", lambda x, y: F.abs(x - y)), lambda x: x > most)
+    return spread_join(filed, probes, ["key"]).filter((F.col("a") < F.col("b")) & ~apart).select("a", "b").distinct()
+
+
+def pivot_join(sequences: DataFrame, limit: int, pivots: int = PIVOTS) -> DataFrame:
+    """The rows of :func:`profile_join`, by :func:`pivot_pairs`: for profiles of any density."""
+    rows, classes = profile_classes(sequences)
+    return _expanded(_near_profiles(pivot_pairs(classes, qgram.PER_EDIT * limit, pivots), classes, limit), rows, classes)

@@ -234,3 +234,91 @@ def test_nested_loop_and_column_function_define_the_edges(spark, d):
 def test_bucket_levels(spark):
     row = spark.range(1).select(*[qgram.bucket(F.lit(i), 2).alias(f"b{i}") for i in range(6)]).first()
     assert list(row) == [0, 1, 1, 2, 2, 3]
+
+
+def near_copies(n, seed, length=80):
+    """One edit away from one sequence each; two of them are up to two edits apart."""
+    rng = random.Random(seed)
+    base = "".join(rng.choice("acgt") for _ in range(length))
+    out = {base}
+    while len(out) < n:
+        s, k = list(base), rng.randrange(length)
+        s[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "c", "g", "t"])
+        out.add("".join(s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_star_rounds_keep_single_linkage(spark, d, rounds):
+    from strandlink.operators.align import align_diff
+
+    seqs = mutated(70, seed=60 + d) + near_copies(15, d, 30)
+    seqs += seqs[20:30]
+    config = ClusterConfig(resolution=d)
+    want = components(len(seqs), [(i, j) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if align_diff(seqs[i], seqs[j], config) <= d])
+    classes = cluster.distinct_sequences(frame(spark, seqs)).persist()
+    labels = {r["rep"]: r["component"] for r in cluster.class_clusters(classes, config, star_rounds=rounds, few_pairs=0).collect()}
+    for r in classes.collect():
+        assert labels.get(r["rep"], r["rep"]) == want[r["rep"]]
+    classes.unpersist()
+
+
+def test_clusters_of_near_copies_take_linear_work(spark, monkeypatch):
+    looked, plain = [], cluster.links
+
+    def counted(pairs, classes, config):
+        pairs = pairs.persist()
+        looked[-1] += pairs.count()
+        return plain(pairs, classes, config)
+
+    monkeypatch.setattr(cluster, "links", counted)
+    for n in (300, 600):
+        looked.append(0)
+        seqs = near_copies(n, n, 120)
+        got = {r["cluster_id"] for r in cluster.clusters(frame(spark, seqs)).collect()}
+        assert got == {0}
+        assert looked[-1] <= 12 * n
+    assert looked[1] < 2.5 * looked[0]
+
+
+def test_hot_keys_are_dealt_in_chunks(spark):
+    left = spark.range(600).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 7).alias("key"), F.col("id").alias("a"))
+    right = spark.range(1000, 1400).select(F.when(F.col("id") < 1300, 0).otherwise(F.col("id") % 7).alias("key"), F.col("id").alias("b"))
+    want = sorted(map(tuple, left.join(right, "key").collect()))
+    for chunk in (10, 450, 10_000):
+        assert sorted(map(tuple, candidates.spread_join(left, right, ["key"], chunk).collect())) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = candidates.spread_join(left, right, ["key"], 10).filter("key = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = sorted(r["count"] for r in made)
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]  # one key, all tasks
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_profile_joins_are_lossless(spark, limit):
+    """Sparse, dense, small and empty profiles: prefix, ranges and pivots give what all pairs give."""
+    rng = random.Random(limit)
+    long = ["".join(rng.choice("acgt") for _ in range(n)) for n in (180, 400, 900)]
+    seqs = mutated(70, seed=80 + limit, length=40) + [long[k % 3][: rng.randint(150, 900)] for k in range(12)] + [s[:50] + "a" + s[51:] for s in long] + ["acgt" * 200, "a" * 300]
+    df = frame(spark, seqs)
+    odd = [parities(s) for s in seqs]
+    want = {(i, j): -(-len(odd[i] ^ odd[j]) // 10) for i in range(len(seqs)) for j in range(i + 1, len(seqs))}
+    want = {k: v for k, v in want.items() if v <= limit}
+    assert {(r["src"], r["dst"]): r["qgram_diff"] for r in candidates.profile_join(df, limit).collect()} == want
+    for pivots in (1, 8):
+        assert {(r["src"], r["dst"]): r["qgram_diff"] for r in candidates.pivot_join(df, limit, pivots).collect()} == want
+    assert candidates.pivot_join(df.limit(0), limit).count() == 0
+
+
+def test_pivots_leave_few_candidates(spark):
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("acgt") for _ in range(rng.choice([60, 120, 250, 500]))) for _ in range(240)]
+    _, classes = candidates.profile_classes(frame(spark, seqs))
+    n = classes.count()
+    assert candidates.pivot_pairs(classes, 10).count() < n * (n - 1) / 2 / 8
+    assert candidates.rare_code_pairs(classes, 10).count() + candidates.range_pairs(classes, 10).count() < n * (n - 1) / 2 / 8

@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": sql.OP11_MERKLE, "op12_exact_topk": sql.OP12_TOPK, "op13_collocations": sql.OP13_PHRASES}
+    return {"op1_embedding_dedup": sql.OP1_NEAR, "op2_suffix_dedup": sql.OP2_REPEATS, "op8_ngram_join": sql.OP8_NEAR, "op11_merkle_manifest": sql.OP11_MERKLE, "op12_exact_topk": sql.OP12_TOPK, "op13_collocations": sql.OP13_PHRASES}

@@ -2,6 +2,54 @@
 
 from __future__ import annotations
 
+#: Links to components, by reachability.
+_REACH = """sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(v, r) AS (SELECT DISTINCT a, a FROM sym UNION SELECT sym.b, reach.r FROM reach JOIN sym ON sym.a = reach.v),
+parts AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)"""
+OP1_NEAR = f"""
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), {_REACH},
+degrees AS (SELECT a AS v, count(*) AS n FROM sym GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN degrees ON degrees.v = vec_id LEFT JOIN parts ON parts.v = vec_id
+"""
+OP8_NEAR = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\x0C\\r]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN parts ON parts.v = doc_id
+"""
+OP2_REPEATS = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM texts)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM windows GROUP BY s
+), hits AS (
+  SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first < doc_id
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS begins FROM hits
+), runs AS (
+  SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS since FROM runs
+), cut AS (
+  SELECT g.doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * since + 1, 2 * (b - since)), '' ORDER BY b) AS head FROM gaps g JOIN texts USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
 #: crc32 of the id as text, bit by bit: there is no such function.
 OP11_MERKLE = """
 WITH RECURSIVE rows AS (

@@ -26,7 +26,7 @@ from strandlink.llm.common import arrow_map, ranked, unzip_arrays, zip_arrays
 from strandlink.plans.stages import drop, materialize
 
 #: Bytes of text a block, about; a piece without a break that is longer makes a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 #: A phrase's id: partition, block in it, and place in the block's list.
 _PLACE, _BLOCK = 27, 15
 _ROWS = 1 << 16
@@ -123,7 +123,7 @@ def _blocks(size: int):
                 sizes[lang] = sizes.get(lang, 0) + len(raw) + 1
                 if sizes[lang] >= size:
                     yield from flush(lang)
-                elif sum(sizes.values()) >= 4 * size:
+                elif sum(sizes.values()) >= 2 * size:
                     yield from flush(max(sizes, key=sizes.get))
         for lang in sorted(sizes):
             yield from flush(lang)

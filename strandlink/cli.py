@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from strandlink.config import ClusterConfig
-from strandlink.operators.cluster import clusters, search_stats, totals
+from strandlink.operators.cluster import Counters, clusters, totals
 from strandlink.plans.shipping import ship
 from strandlink.plans.stages import materialize
 from strandlink.sources.fasta import InvalidInput, db_info, read_fasta, validate
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--mismatch-penalty", type=int, default=4)
     p.add_argument("-g", "--gap-opening-penalty", type=int, default=12)
     p.add_argument("-e", "--gap-extension-penalty", type=int, default=4)
-    p.add_argument("--statistics", default=None, help="folder for the work counters")
+    p.add_argument("--statistics", default=None, help="folder for the run's work counters")
     p.add_argument("--unordered", action="store_true", help="clusters in any order, without a sort of all rows")
     p.add_argument("-y", "--depth", type=int, default=None, help="accepted; has no effect on the answer")
     return p
@@ -52,13 +52,15 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("strandlink").getOrCreate()
         ship(spark)
         print("\n".join(config.describe()))
-        sequences = materialize(validate(read_fasta(spark, a.path), config), "sequences")
+        sequences = validate(materialize(read_fasta(spark, a.path), "sequences"), config)
         info = db_info(sequences).first()
         print(f"{info['nucleotides']} nt in {info['sequences']} sequences, longest {info['longest']} nt")
-        clustered = materialize(clusters(sequences, config), "clusters")
+        counters = Counters()
+        clustered = materialize(clusters(sequences, config, counters), "clusters")
         write_report(clustered, sequences, config.output, ordered=not a.unordered)
         if a.statistics:
-            write_statistics(search_stats(sequences, config), a.statistics)
+            done = counters.totals()
+            write_statistics(spark.createDataFrame([done], ", ".join(f"{x} long" for x in done)), a.statistics)
         t = totals(clustered).first()
         print(f"{t['clusters']} clusters of {t['sequences']} sequences")
     except (ValueError, InvalidInput) as e:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from strandlink.config import ClusterConfig
 from strandlink.functions import qgram
+from strandlink.functions import sql as functions
 from strandlink.operators import candidates, cluster
 from strandlink.plans.shipping import ship
 from strandlink.plans.stages import materialize, new_path
-from strandlink.sources import fasta, report
+from strandlink.sources import datasource, fasta, report
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,51 @@ def cluster_report_d1(spark, sf_dir):
     return report.report_lines(cluster.clusters(s, ClusterConfig()), s).select("value")
 
 
+def fasta_source(spark, sf_dir):
+    """Written and read by the data source; tasks read a few records each, cut anywhere."""
+    ship(spark)
+    datasource.register(spark)
+    path = new_path(spark, "fasta-source")
+    sequences(spark, sf_dir).repartitionByRange(8, "seq_no").sortWithinPartitions("seq_no").write.format("fasta").mode("append").save(path)
+    return datasource.numbered(spark.read.format("fasta").option("splitBytes", 1 << 20).load(path))
+
+
+def validation_counts(spark, sf_dir):
+    return fasta.validation_counts(sequences(spark, sf_dir))
+
+
+def pivot_pairs_d2(spark, sf_dir):
+    return candidates.pivot_join(_written(spark, sf_dir), 2)
+
+
+def clusters_d1_extended(spark, sf_dir):
+    """Clusters of two thirds of the rows, then those of all by looking at the other third."""
+    ship(spark)
+    s = _written(spark, sf_dir)
+    old, new = s.filter("seq_no % 3 <> 1"), s.filter("seq_no % 3 = 1")
+    return cluster.extend_clusters(materialize(cluster.clusters(old), "stored"), old, new)
+
+
+def rows_by_level_d1(spark, sf_dir):
+    s = _written(spark, sf_dir)
+    return cluster.rows_by_level(s, cluster.edges(s))
+
+
+def edges_d1_by_sql(spark, sf_dir):
+    """The blocked join in SQL alone, with the registered functions."""
+    ship(spark)
+    functions.register(spark)
+    _written(spark, sf_dir).createOrReplaceTempView("sequences_to_join")
+    return spark.sql("""
+      WITH k AS (SELECT seq_no, seq, n.key, n.filed FROM sequences_to_join s, LATERAL neighbours(s.seq, 1) n),
+      met AS (
+        SELECT DISTINCT least(a.seq_no, b.seq_no) AS src, greatest(a.seq_no, b.seq_no) AS dst FROM k a JOIN k b ON a.key = b.key
+        WHERE a.filed AND NOT b.filed AND a.seq_no <> b.seq_no AND levenshtein(a.seq, b.seq, 1) >= 0),
+      measured AS (
+        SELECT src, dst, align_diff(x.seq, y.seq) AS diff FROM met JOIN sequences_to_join x ON x.seq_no = src JOIN sequences_to_join y ON y.seq_no = dst)
+      SELECT src, dst, diff FROM measured WHERE diff <= 1""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "seq_encode": seq_encode,
@@ -149,6 +195,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_d2_affine": _edges(2),
         "clusters_d2_affine": _clusters(2),
         "clusters_d8_affine": _clusters(8),
+        "fasta_source": fasta_source,
+        "validation_counts": validation_counts,
+        "pivot_pairs_d2": pivot_pairs_d2,
+        "clusters_d1_extended": clusters_d1_extended,
+        "rows_by_level_d1": rows_by_level_d1,
+        "edges_d1_by_sql": edges_d1_by_sql,
     }
 
 
@@ -259,5 +311,11 @@ def oracle_sql() -> dict[str, str]:
         "edges_d2_affine": f"WITH RECURSIVE {_SEQ}, {_affine(2)} SELECT src, dst, diff FROM edges",
         "clusters_d2_affine": f"WITH RECURSIVE {_SEQ}, {_affine(2)}, {_REACH} SELECT cluster_id, seq_no FROM clusters",
         "clusters_d8_affine": f"WITH RECURSIVE {_SEQ}, {_affine(8)}, {_REACH} SELECT cluster_id, seq_no FROM clusters",
+        "fasta_source": f"WITH {_SEQ} SELECT row_number() OVER (ORDER BY seq_no) - 1 AS seq_no, header, abundance, seq, seq_len FROM s",
+        "validation_counts": f"WITH {_SEQ}, w AS (SELECT abundance, lag(abundance) OVER (ORDER BY seq_no) AS previous FROM s), h AS (SELECT header, count(*) AS n FROM s WHERE header IS NOT NULL GROUP BY header HAVING count(*) > 1) SELECT (SELECT count(*) FROM s) AS sequences, (SELECT count(*) FROM s WHERE abundance < 1) AS missing, (SELECT count(*) FROM w WHERE previous >= 1 AND abundance > previous) AS disordered, (SELECT count(*) FROM h) AS repeated, (SELECT min(header) FROM h) AS header, (SELECT n FROM h ORDER BY header LIMIT 1) AS times",
+        "pivot_pairs_d2": f"WITH {_SEQ}, {_PAIRS} SELECT src, dst, qgram_diff FROM diffs WHERE qgram_diff <= 2",
+        "clusters_d1_extended": f"{c} SELECT cluster_id, seq_no FROM clusters",
+        "rows_by_level_d1": f"WITH RECURSIVE {_SEQ}, {_EDGES}, levels(v, l) AS (SELECT seq_no, 1 FROM s WHERE seq_no NOT IN (SELECT dst FROM edges) UNION SELECT dst, l + 1 FROM levels JOIN edges ON src = v), least_levels AS (SELECT v, min(l) AS level FROM levels GROUP BY v) SELECT level, count(*) AS rows FROM least_levels GROUP BY level",
+        "edges_d1_by_sql": f"WITH {_SEQ}, {_EDGES} SELECT src, dst, diff FROM edges",
         "cluster_report_d1": f"{c}, t AS (SELECT count(DISTINCT cluster_id) AS n, count(*) AS m FROM clusters) SELECT header AS value FROM clusters JOIN s USING (seq_no) UNION ALL SELECT '' FROM (SELECT DISTINCT cluster_id FROM clusters) UNION ALL SELECT '' UNION ALL SELECT '' UNION ALL SELECT 'Total: ' || n || ' clusters of ' || m || ' sequences' FROM t",
     }

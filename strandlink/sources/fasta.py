@@ -131,17 +131,37 @@ def db_info(sequences: DataFrame) -> DataFrame:
     return sequences.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("seq_len"), F.lit(0)).alias("nucleotides"), F.coalesce(F.max("seq_len"), F.lit(0)).alias("longest"))
 
 
+def validation_counts(sequences: DataFrame) -> DataFrame:
+    """One row with what :func:`validate` decides by: ``sequences``, ``missing`` (without an abundance), ``disordered``
+    (more abundant than the row before), ``repeated`` (headers of more than one row), and the least repeated header with its
+    rows.
+
+    One pass and one shuffle: each row sends its abundance under its own number and, as the one before, under the next, and
+    a count under its header; keys of both kinds are aggregated together, before the shuffle where they can be.
+    """
+    sent = sequences.selectExpr("stack(3, cast(null as string), seq_no, abundance, cast(null as bigint), null, seq_no + 1, null, abundance, header, null, null, null) as (header, row, own, previous)")
+    keys = sent.groupBy("header", "row").agg(F.max("own").alias("own"), F.max("previous").alias("previous"), F.count("*").alias("n"))
+    twice = F.col("header").isNotNull() & (F.col("n") > 1)
+    first = F.min(F.when(twice, F.struct("header", "n")))
+    return keys.agg(
+        F.count("own").alias("sequences"),
+        F.count_if(F.col("own") < 1).alias("missing"),
+        F.count_if((F.col("previous") >= 1) & (F.col("own") > F.col("previous"))).alias("disordered"),
+        F.count_if(twice).alias("repeated"),
+        first.alias("first"),
+    ).select("sequences", "missing", "disordered", "repeated", F.col("first.header").alias("header"), F.col("first.n").alias("times"))
+
+
 def validate(sequences: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
-    """Check abundance, order and headers, in this order; returns the frame or raises :class:`InvalidInput`."""
-    n = missing_abundance(sequences).first()["missing"]
-    if n:
-        raise InvalidInput(f"{n} sequences have no abundance of 1 or more at the end of their header")
-    if not out_of_order(sequences).isEmpty():
+    """Check abundance, order and headers, in this order, by one job; returns the frame or raises
+    :class:`InvalidInput`."""
+    found = validation_counts(sequences).first()
+    if found["missing"]:
+        raise InvalidInput(f"{found['missing']} sequences have no abundance of 1 or more at the end of their header")
+    if found["disordered"]:
         raise InvalidInput("a sequence is more abundant than the one before it")
-    if (config or ClusterConfig()).on_duplicate == "error":
-        twice = duplicate_headers(sequences).first()
-        if twice is not None:
-            raise InvalidInput(f"the header '{twice['header']}' names {twice['n']} sequences")
+    if found["repeated"] and (config or ClusterConfig()).on_duplicate == "error":
+        raise InvalidInput(f"the header '{found['header']}' names {found['times']} sequences")
     return sequences
 
 

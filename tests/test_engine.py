@@ -322,3 +322,94 @@ def test_pivots_leave_few_candidates(spark):
     n = classes.count()
     assert candidates.pivot_pairs(classes, 10).count() < n * (n - 1) / 2 / 8
     assert candidates.rare_code_pairs(classes, 10).count() + candidates.range_pairs(classes, 10).count() < n * (n - 1) / 2 / 8
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_added_rows_give_the_clusters_of_all(spark, d):
+    """Added rows before, between and after stored ones, copies of stored ones among them; also onto nothing."""
+    config = ClusterConfig(resolution=d)
+    seqs = mutated(60, seed=90 + d, length=25)
+    seqs += seqs[10:20]
+    df = frame(spark, seqs)
+    want = sorted(map(tuple, cluster.clusters(df, config).collect()))
+    for old in ("seq_no % 3 = 0", "seq_no < 40", "seq_no >= 30", "false", "true"):
+        stored, added = df.filter(old), df.filter(f"not ({old})")
+        got = cluster.extend_clusters(cluster.clusters(stored, config), stored, added, config)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_counters_of_a_run(spark):
+    seqs = mutated(60, seed=4) + near_copies(12, 1, 30)
+    counters = cluster.Counters()
+    cluster.clusters(frame(spark, seqs), ClusterConfig(resolution=2), counters).collect()
+    done = counters.totals()
+    assert done["rounds"] >= 1 and done["compared"] >= done["near"] >= done["aligned"] and done["near"] >= done["linked"] > 0
+
+
+def test_rows_by_level(spark):
+    df = frame(spark, ["a"] * 9)
+    edges = spark.createDataFrame([(0, 2), (2, 3), (0, 3), (3, 7), (1, 7), (5, 6), (6, 8)], "src long, dst long")
+    assert sorted(map(tuple, cluster.rows_by_level(df, edges).collect())) == [(1, 4), (2, 4), (3, 1)]
+    assert sorted(map(tuple, cluster.rows_by_level(df, edges, 2).collect())) == [(1, 4), (2, 5)]
+    assert sorted(map(tuple, cluster.rows_by_level(df, edges, 1).collect())) == [(1, 9)]
+
+
+def test_validation_takes_one_row(spark):
+    df = spark.createDataFrame([(0, "a_3", 3, "", 0), (1, "b_5", 5, "", 0), (2, "b_5", 5, "", 0), (3, "c", 0, "", 0), (4, "a_3", 3, "", 0), (5, None, 1, "", 0), (6, None, 1, "", 0)], fasta.SCHEMA)
+    assert tuple(fasta.validation_counts(df).first()) == (7, 1, 1, 2, "a_3", 2)
+    assert tuple(fasta.validation_counts(df.limit(0)).first()) == (0, 0, 0, 0, None, None)
+
+
+FASTA = ">a_3 text\nACgU\n\nttg\n>b_2\n\n>c>x_2\nacgta\n>d_1"
+
+
+@pytest.mark.parametrize("split", [1, 3, 7, 1000])
+def test_data_source_cuts_anywhere(spark, tmp_path, split):
+    from strandlink.sources import datasource
+
+    datasource.register(spark)
+    path = write(tmp_path, FASTA)
+    rows = datasource.numbered(spark.read.format("fasta").option("splitBytes", split).load(path)).orderBy("seq_no").collect()
+    assert [tuple(r) for r in rows] == [(0, "a_3", 3, "acgtttg", 7), (1, "b_2", 2, "", 0), (2, "c>x_2", 2, "acgta", 5), (3, "d_1", 1, "", 0)]
+    assert [tuple(r) for r in rows] == [tuple(r) for r in fasta.read_fasta(spark, path).orderBy("seq_no").collect()]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64])
+def test_records_of_every_range(size):
+    import io
+
+    from strandlink.sources import datasource
+
+    body = FASTA.encode()
+    whole = list(datasource.records(io.BytesIO(body), 0, len(body)))
+    for cut in range(1, len(body)):
+        assert list(datasource.records(io.BytesIO(body), 0, cut, size)) + list(datasource.records(io.BytesIO(body), cut, len(body), size)) == whole
+
+
+def test_data_source_writes_whole_files_and_names_errors(spark, tmp_path):
+    from strandlink.sources import datasource
+
+    datasource.register(spark)
+    seqs = frame(spark, mutated(30, seed=2))
+    for mode in ("append", "overwrite", "append"):
+        seqs.repartitionByRange(4, "seq_no").sortWithinPartitions("seq_no").write.format("fasta").mode(mode).save(f"file://{tmp_path}/out")
+    names = sorted(os.listdir(tmp_path / "out"))
+    assert len(names) == 8 and all(n.endswith(".fasta") for n in names)  # the second run replaced the first, the third added
+    back = spark.read.format("fasta").load(f"file://{tmp_path}/out").groupBy("header", "seq", "abundance").count().collect()
+    assert {(r["header"], r["seq"], r["abundance"], r["count"]) for r in back} == {(r["header"], r["seq"], 1, 2) for r in seqs.collect()}
+    with pytest.raises(Exception, match=r"line 6: 'N' in the sequence of 'b_1'"):
+        spark.read.format("fasta").option("splitBytes", 4).load(write(tmp_path, ">a_1\nacgt\nac\n>b_1 text\nacg\ncNa\n>c_1\nxx\n")).filter("header = 'b_1'").collect()
+    with pytest.raises(Exception, match="no '>'"):
+        spark.read.format("fasta").load(write(tmp_path, "acgt\n>a_1\n")).count()
+    with pytest.raises(Exception, match="missing"):
+        seqs.select("seq_no").write.format("fasta").mode("append").save(f"file://{tmp_path}/other")
+
+
+def test_lookup_keys_are_those_of_the_join(spark):
+    from strandlink.functions.sql import lookup_keys
+
+    for d in (1, 3):
+        seqs = sorted(set(mutated(60, seed=7 + d, length=14)))
+        keys = [lookup_keys(s, d) for s in seqs]
+        got = {(i, j) for i in range(len(seqs)) for j in range(len(seqs)) if i < j and (keys[i][0] & keys[j][1] or keys[j][0] & keys[i][1])}
+        assert got == {tuple(r) for r in candidates.segment_join(spark.createDataFrame(list(enumerate(seqs)), "rep long, seq string"), d).collect()}

@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import arrow_map, ranked, unzip_arrays, zip_arrays
+from strandlink.llm.common import arrow_map, unzip_arrays, zip_arrays
+from strandlink.plans.ranks import ranked
 from strandlink.plans.stages import drop, materialize
 
 #: Bytes of text a block, about; a piece without a break that is longer makes a block of its own.

@@ -413,3 +413,20 @@ def test_lookup_keys_are_those_of_the_join(spark):
         keys = [lookup_keys(s, d) for s in seqs]
         got = {(i, j) for i in range(len(seqs)) for j in range(len(seqs)) if i < j and (keys[i][0] & keys[j][1] or keys[j][0] & keys[i][1])}
         assert got == {tuple(r) for r in candidates.segment_join(spark.createDataFrame(list(enumerate(seqs)), "rep long, seq string"), d).collect()}
+
+
+@pytest.mark.parametrize("d", [1, 2, 8])
+def test_partitions_of_own_reads(spark, tmp_path, d):
+    """The command line on ``fixtures/reads.fas``, held against partitions by a programme of its own (``fixtures/make.py``)."""
+    from strandlink import cli
+
+    here = os.path.join(os.path.dirname(__file__), "fixtures")
+    assert cli.main(["-d", str(d), "-o", f"file://{tmp_path}/report", "--statistics", f"file://{tmp_path}/stats", f"file://{here}/reads.fas"]) == 0
+    lines = [r["value"] for r in spark.read.text(f"file://{tmp_path}/report").collect()]
+    want = [line.split() for line in open(f"{here}/reads_d{d}.txt")]
+    assert sorted(lines) == sorted([x for g in want for x in g] + [""] * (len(want) + 2) + [f"Total: {len(want)} clusters of 183 sequences"])
+    text = "\n".join(open(p).read().rstrip("\n") for p in sorted(str(x) for x in (tmp_path / "report").glob("part-*")) if os.path.getsize(p))
+    blocks = [b.split("\n") for b in text.split("\nTotal:")[0].strip("\n").split("\n\n")]
+    assert [tuple(b) for b in blocks] == [tuple(g) for g in want]  # by first member, members in order
+    done = spark.read.json(f"file://{tmp_path}/stats").first()
+    assert done["linked"] > 0 and done["rounds"] > 0

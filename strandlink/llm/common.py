@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -280,5 +281,19 @@ def passes(bitmap: bytes, slots: np.ndarray) -> np.ndarray:
     return ((m[s >> 6] >> (s & 63)) & 1).astype(bool)
 
 
+def may_be_among(ids: DataFrame, column: str) -> Column:
+    """Whether ``column`` may hold one of ``ids``: true for all that do and for some others, false for null.
+
+    Only the column goes to Python; a bitmap of bounded size is broadcast.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(id_bitmap(ids, column))
+
+    @F.pandas_udf("boolean")
+    def among(slots: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, slots.to_numpy(np.int64)))
+
+    return F.col(column).isNotNull() & among(F.coalesce(id_slot(column), F.lit(0)))
+
+
 def hash_bins(column: str, n: int = 4096) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(17)), F.lit(n))

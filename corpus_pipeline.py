@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlink.llm import bpe, decontaminate, ngram_join, quality, suffix_dedup
-from strandlink.llm.common import read_table
+from strandlink.llm.common import may_be_among, read_table
 from strandlink.plans.shipping import ship
 from strandlink.plans.stages import materialize
 
@@ -35,9 +35,11 @@ def keep_first_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     ship(spark)
     groups = ngram_join.near_duplicates(docs, percent=80, k=5)
-    # ids that go: a shuffle by id, of the id alone on this side
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    # texts whose id is in no way among those that go stay where they are; the others are shuffled for the exact join
+    may = may_be_among(gone, "doc_id")
+    stay, asked = docs.filter(~may), docs.filter(may)
+    return stay.union(asked.join(gone, "doc_id", "left_anti").select(docs.columns)).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

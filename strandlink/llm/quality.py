@@ -34,6 +34,8 @@ ECHO = 0
 #: Bounds of the training sample for each label.
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 10_000_000
+#: Bytes of text that are scored at once; the n-grams of each take some hundred times as much.
+STEP = 1 << 19
 THRESHOLD = 0.7
 
 
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
 def _scores(m: Embeddings, texts: pa.Array) -> np.ndarray:
     data, off = utf8(texts)
     out = [np.zeros(0)]
-    for i, j in steps(off, 1 << 20):
+    for i, j in steps(off, STEP):
         n = j - i
         u, row = buckets(data[off[i] : off[j]], off[i : j + 1] - off[i])
         count = np.maximum(np.bincount(row, minlength=n), 1)

@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -288,9 +287,9 @@ def may_be_among(ids: DataFrame, column: str) -> Column:
     """
     shared = ids.sparkSession.sparkContext.broadcast(id_bitmap(ids, column))
 
-    @F.pandas_udf("boolean")
-    def among(slots: pd.Series) -> pd.Series:
-        return pd.Series(passes(shared.value, slots.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def among(slots: pa.Array) -> pa.Array:
+        return pa.array(passes(shared.value, slots.to_numpy(zero_copy_only=False)))
 
     return F.col(column).isNotNull() & among(F.coalesce(id_slot(column), F.lit(0)))
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ ECHO = 0
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 10_000_000
 #: Bytes of text that are scored at once; the n-grams of each take some hundred times as much.
-STEP = 1 << 19
+STEP = 1 << 18
 THRESHOLD = 0.7
 
 
@@ -137,6 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
 
     Rows with a null id or label teach nothing; the larger of several labels for one id holds.
     """
+    import pandas as pd  # the driver's alone: workers that score do without it
+
     known = (
         labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("int").alias("y"))
         .filter("id is not null and y in (0, 1)")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from strandlink.llm.common import map_arrow, steps, utf8
 
 #: Words that a worker remembers before it starts a new generation; those in use move along.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 100_000
 
 # The word pattern of the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

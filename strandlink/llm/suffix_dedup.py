@@ -402,8 +402,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep, later = _collapse(text, left, size, part, ids)
                 at = np.cumsum(size) - size
                 sz = size[keep]
-                where = np.arange(int(sz.sum())) + np.repeat(at[keep] - (np.cumsum(sz) - sz), sz)
-                held.append((ids[keep], start[keep], left[keep], sz, part[keep], text[where], False))
+                held.append((ids[keep], start[keep], left[keep], sz, part[keep], _gathered(text, at[keep], sz), False))
                 if len(later):
                     repeated.append(zip_arrays(ids[later].astype("<i8"), start[later].astype("<i8"), (start + size)[later].astype("<i8")))
             names, out = flush()
@@ -433,9 +432,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         src_, s_, e_, place = _cut_places(at, s_, e_, width)
                         of, at = of[src_], at[src_]
                     size = e_ - s_
-                    where = np.arange(int(size.sum())) + np.repeat(s_ - (np.cumsum(size) - size), size)
                     part = (mix64(h[of] ^ _B + place.astype(np.uint64)) % U(r_parts)).astype(np.int64)
-                    held.append((ids[row[of]], s_ - off[row[of]], at - s_, size, part, data[where], hot_part))
+                    held.append((ids[row[of]], s_ - off[row[of]], at - s_, size, part, _gathered(data, s_, size), hot_part))
                     n += len(of)
                 if n >= FLUSH // 4:
                     yield both()
@@ -585,6 +583,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """``data[at : at + size]`` of each, one after the other, by parts of about ``step`` bytes."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    i = 0
+    while i < len(size):
+        lo = int(ends[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + step, side="right")))
+        where = np.arange(int(ends[j - 1]) - lo) + np.repeat(at[i:j] - (ends[i:j] - size[i:j] - lo), size[i:j])
+        out[lo : int(ends[j - 1])] = data[where]
+        i = j
+    return out
+
+
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with the removed bytes cut from their texts, and all other columns as they are.
 

@@ -429,3 +429,17 @@ def test_partitions_of_own_reads(spark, tmp_path, d):
     assert [tuple(b) for b in blocks] == [tuple(g) for g in want]  # by first member, members in order
     done = spark.read.json(f"file://{tmp_path}/stats").first()
     assert done["linked"] > 0 and done["rounds"] > 0
+
+
+def test_word_profiles_take_no_step_for_each_word(spark):
+    """Words, sizes and ``profile_words`` of long, short and empty sequences; 2 million symbols in seconds."""
+    import time
+
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("acgt") for _ in range(n)) for n in (0, 4, 5, 6, 70, 3, 900)] + ["acgt" * 500_000]
+    began = time.time()
+    got = {r["seq_no"]: r for r in qgram.word_profiles(frame(spark, seqs)).collect()}
+    assert time.time() - began < 30
+    for i, s in enumerate(seqs):
+        odd = {64 * k + j for k, w in enumerate(qgram.WORDS) for j in range(64) if got[i][w] >> j & 1}
+        assert len(odd) == got[i]["size"] and odd == parities(s)

@@ -442,4 +442,22 @@ def test_word_profiles_take_no_step_for_each_word(spark):
     assert time.time() - began < 30
     for i, s in enumerate(seqs):
         odd = {64 * k + j for k, w in enumerate(qgram.WORDS) for j in range(64) if got[i][w] >> j & 1}
-        assert len(odd) == got[i]["size"] and odd == parities(s)
+        assert len(odd) == got[i]["size"] and odd == {int(x.translate(str.maketrans("acgt", "0123")), 4) for x in parities(s)}
+
+
+def test_profiles_are_compared_in_chunks_and_counted_without_pairs(spark, monkeypatch):
+    """Keys of many rows in chunks and blocks, copies, tiny, sparse and dense profiles; counts are those of the pairs."""
+    monkeypatch.setattr(candidates, "WIDE_CHUNK", 7)
+    monkeypatch.setattr(candidates, "BLOCK", 16)
+    rng = random.Random(21)
+    long = "".join(rng.choice("acgt") for _ in range(400))
+    seqs = mutated(50, seed=5, length=40) + [long[:k] + "a" + long[k + 1 :] for k in range(0, 60, 3)]
+    seqs += [long[:n] for n in range(128, 140)] + ["acgta", "acgta", "", "", "ccc"] + ["".join(rng.choice("acgt") for _ in range(9)) for _ in range(12)]
+    odd = [parities(s) for s in seqs]
+    want = {(i, j): -(-len(odd[i] ^ odd[j]) // 10) for i in range(len(seqs)) for j in range(i + 1, len(seqs))}
+    want = sorted((*k, v) for k, v in want.items() if v <= 2)
+    df = frame(spark, seqs)
+    assert sorted(map(tuple, candidates.profile_join(df, 2).collect())) == want
+    assert sorted(map(tuple, candidates.pivot_join(df, 2).collect())) == want
+    counts = {r["qgram_diff"]: r["pairs"] for r in candidates.pairs_by_bound(df, 2).collect()}
+    assert counts == {d: sum(x[2] == d for x in want) for d in {x[2] for x in want}}

@@ -54,6 +54,8 @@ class Neighbours:
 
 
 def register(spark: SparkSession, config: ClusterConfig | None = None) -> None:
-    """Make ``align_diff(query, target)`` and the table function ``neighbours(seq, d)`` known to ``spark.sql``."""
+    """Make ``align_diff(query, target)`` and the table function ``neighbours(seq, d)`` known to ``spark.sql``, and
+    ``align_within(query, target)`` for pairs known to be within the resolution's number of edits, which takes a band."""
     spark.udf.register("align_diff", align_diff_udf(config))
+    spark.udf.register("align_within", align_diff_udf(config, within=True))
     spark.udtf.register("neighbours", Neighbours)

@@ -461,3 +461,15 @@ def test_profiles_are_compared_in_chunks_and_counted_without_pairs(spark, monkey
     assert sorted(map(tuple, candidates.pivot_join(df, 2).collect())) == want
     counts = {r["qgram_diff"]: r["pairs"] for r in candidates.pairs_by_bound(df, 2).collect()}
     assert counts == {d: sum(x[2] == d for x in want) for d in {x[2] for x in want}}
+
+
+def test_sql_join_and_alignment_of_equal_long_sequences(spark):
+    """Copies are not aligned: no step for each symbol, whatever their length."""
+    import time
+
+    from strandlink.operators.align import diffs
+
+    long = "acgt" * 50_000
+    began = time.time()
+    assert list(diffs([long, "acgt", ""], [long, "acct", ""], ClusterConfig())) == [0, 1, 0]
+    assert time.time() - began < 5

@@ -473,3 +473,10 @@ def test_sql_join_and_alignment_of_equal_long_sequences(spark):
     began = time.time()
     assert list(diffs([long, "acgt", ""], [long, "acct", ""], ClusterConfig())) == [0, 1, 0]
     assert time.time() - began < 5
+
+
+def test_segment_keys_take_no_shuffle(spark):
+    """Pieces stay in their task; probes may repeat but name the same keys."""
+    reps = frame(spark, mutated(20, seed=3, length=30)).select(F.col("seq_no").alias("rep"), "seq")
+    for side in candidates.segment_index(reps, 3):
+        assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,13 @@ def zip_arrays(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
+def zip_parts(sizes: list[int], parts: Iterable[np.ndarray]) -> bytes:
+    """What :func:`zip_arrays` gives for arrays of these bytes, which come in parts one after the other: no copy of all."""
+    head = np.array([len(sizes), *sizes], "<i8")
+    z = zstandard.ZstdCompressor(level=1).compressobj(size=head.nbytes + sum(sizes))
+    return b"".join([*(z.compress(np.ascontiguousarray(a).data) for a in chain([head], parts) if a.nbytes), z.flush()])
+
+
 def unzip_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes = np.frombuffer(raw, "<i8", 1 + len(kinds))[1:]

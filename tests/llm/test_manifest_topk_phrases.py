@@ -1,13 +1,16 @@
 """Merkle manifest, exact top-k and collocations against brute force, with odd rows, ties and small limits."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +217,85 @@ def test_text_is_cut_where_pieces_end():
     text = b"a b c, d e f. " * 50 + b"x" * 500 + b" y\nz"
     parts = list(collocations.cut(text, 40))
     assert b"".join(parts) == text and all(re.search(rb"[.,;:!?\n]$", p) for p in parts[:-1])
+
+
+class _Task:
+    """Stands for the task that blocks take their numbers from."""
+
+    def get(self):
+        return self
+
+    def partitionId(self):
+        return 3
+
+
+def texts_batch(lang, *texts):
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(texts)), pa.array(texts)], names=["lang", "text"])
+
+
+@pytest.mark.parametrize("size, step", [(10**6, 1), (10**6, 23), (400, 50), (90, 90)])
+def test_blocks_coded_in_steps_hold_all_words(monkeypatch, size, step):
+    monkeypatch.setattr(collocations, "TaskContext", _Task())
+    rng = random.Random(step)
+    texts = ["".join(rng.choice(["one", "Two", "é", "x-y", "n" * 60]) + rng.choice([" ", " ", "\t ", ", ", " .", "\n", ";; "]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += ["", " ", "...", ", a b", "a b", "b c ,"]
+    want = Counter()
+    for text in texts:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", text):
+            if w := re.findall("[^ \t]+", piece):
+                want[tuple(x.lower() for x in w)] += 1
+    got, blocks = Counter(), list(collocations._blocks(size, step)(texts_batch("en", t) for t in texts))
+    for b in blocks:
+        row = b.to_pylist()[0]
+        pos, code = collocations._unpacked(row["state"])
+        words = [row["word"][c] for c in code]
+        assert row["words"] == len(words) and row["n"] == np.bincount(code).tolist() == sorted(row["n"], reverse=True) and len(set(row["word"])) == len(row["word"])
+        for piece in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) != 1) + 1):
+            got[tuple(words[i] for i in piece)] += 1
+    assert got == want and (len(blocks) == 1) == (size == 10**6) and blocks[0].column("block")[0].as_py() == 3 << 15
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+def test_pairs_by_ranges_are_those_of_one_sort(size):
+    rng = np.random.default_rng(size)
+    left, right = (np.minimum(rng.geometric(0.15, 3000) - 1, 29).astype(np.int32) for _ in range(2))
+    pair, number, n = np.unique(left.astype(np.int64) * 50 + right, return_inverse=True, return_counts=True)
+    got, counts, first, own = [], [], 0, np.full(3000, -1)
+    for inside, at, l, r, c in collocations.pairs_of(left, right, 50, size):
+        own[inside] = at + first
+        first += len(c)
+        got += (l * 50 + r).tolist()
+        counts += c.tolist()
+    assert got == pair.tolist() and counts == n.tolist() and own.tolist() == number.tolist()
+    assert collocations.numbered(left, right, 50).tolist() == number.tolist()
+    assert list(collocations.pairs_of(left[:0], right[:0], 0)) == []
+
+
+def test_memory_of_blocks_of_phrases(monkeypatch):
+    """A block of 24 MB takes a small multiple of its words as numbers, not of its bytes as wide ones."""
+    monkeypatch.setattr(collocations, "TaskContext", _Task())
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i:x}" for i in range(60_000)])
+    texts = [" ".join(words[(rng.zipf(1.3, 110_000) % len(words))]) + "." for _ in range(44)]
+    texts = [texts_batch("en", t) for t in texts]
+
+    def most(make):
+        gc.collect()
+        tracemalloc.start()
+        try:
+            return make(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    (block, *_), coding = most(lambda: list(collocations._blocks(collocations.BLOCK_BYTES)(iter(texts))))
+    size = block.column("words")[0].as_py()
+    left = pa.table({"block": block.column("block"), "state": block.column("state")})
+    names = np.arange(len(block.column("word")[0]))
+    right = pa.table({"place": pa.array(names, pa.int32()), "id": names})
+    named, naming = most(lambda: collocations._named_level(1)(left, right))
+    rows, counting = most(lambda: sum(b.num_rows for b in collocations._count_pairs(iter(named.to_batches()))))
+    assert size > 4_000_000 and rows > 500_000
+    places = pa.table({"place": pa.array(range(rows), pa.int32()), "id": pa.array(range(rows), pa.int64())})
+    again, renaming = most(lambda: collocations._named_level(2)(named, places))
+    assert again.num_rows == 1
+    assert max(coding, naming, counting, renaming) < 180, (coding, naming, counting, renaming)

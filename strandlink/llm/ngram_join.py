@@ -10,10 +10,11 @@
 3. Group pairs are filtered: in a list, a group stays if another group of it has a size that fits.  Then groups are
    expanded to their classes, and a group of several classes is a list of its own besides.
 4. Instead of all pairs of a list, rounds verify star pairs: every member with one leader of its list, the class that
-   is in the most lists.  The leader then leaves the list, since its pairs are settled.  Verified links join classes
-   into components, and only members of different components meet again.
-5. What lists still hold after the rounds is compared in blocks: members outside of a list's largest component with
-   each other and with that component's.  No cap applies anywhere, so nothing is lost.
+   is in the most lists.  The leader then leaves the list, since its pairs are settled.  Verified links are contracted
+   by one step towards their components, and members that have met in one do not meet again.
+5. What lists still hold after the rounds, or after the first if it is little, is compared in blocks:
+   members outside of a list's largest component with each other and with that component's.  No cap applies anywhere,
+   so nothing is lost.  Components are settled once, at the end.
 6. Sizes and parity bitmaps bound the overlap of a pair; pairs that can reach the similarity are verified by joining
    their compressed texts and intersecting their full shingle sets.
 """
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandlink.llm.common import U, arrow_map, as_binary, by_key, by_part, distinct_sets, id_bitmap, id_slot, map_arrow, mix64, passes, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
-from strandlink.operators.components import connected_components
+from strandlink.llm.common import U, arrow_map, as_binary, by_key, by_part, distinct_sets, id_bitmap, id_slot, map_arrow, mix64, passes, release, shingles, steps, unzip_arrays, utf8, word_hashes, zip_arrays
+from strandlink.operators.components import connected_components, contract
 from strandlink.plans.stages import drop, materialize
 
 SKETCH_BITS = 21
@@ -41,6 +42,8 @@ CHUNK = 512
 #: Postings that one partition holds on average.
 PER_PART = 500_000
 STAR_ROUNDS = 3
+#: After the first, rounds end once what :func:`_across` would compare is no more than this for each document.
+FEW_MEETINGS = 64
 
 
 def _sets(data, offsets, n, k):
@@ -124,14 +127,23 @@ def slack(sa, sb, percent: int):
     return np.where(100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb), sa + sb - 2 * need, -1)
 
 
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts in excess of the usual counter; one copy of the counters at a time."""
+    # a counter holds many rare shingles besides a frequent one: what exceeds the usual counter tells
+    usual = float(np.median(counts))
+    excess = counts - usual
+    excess -= 3 * np.sqrt(usual)
+    np.maximum(excess, 1, out=excess)
+    np.log2(excess, out=excess)
+    np.floor(excess, out=excess)
+    return excess.astype(np.uint8)
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, cls, grp, num, prefix, ranks, bits)``: set size, set hash, hash of prefix and size, a
     number of the row, the rarest shingles (48 bits of each) and the ranks of their counts, and the parity bitmap."""
     spark = docs.sparkSession
-    # a counter holds many rare shingles besides a frequent one: what exceeds the usual counter tells
-    usual = float(np.median(counts))
-    ranks = np.floor(np.log2(np.maximum(counts - usual - 3 * np.sqrt(usual), 1))).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast(ranks_of(counts))
     names = ["doc_id", "n_shingles", "cls", "grp", "num", "prefix", "ranks", "bits"]
 
     def run(batches):
@@ -270,23 +282,17 @@ def _once(name, num, lg):
     return name[once], num[once], lg[once]
 
 
-def _grouped(named: DataFrame) -> DataFrame:
-    """``(grp, cls, size)``: the classes of each group, that is with one prefix and size."""
-    return named.groupBy("grp", "cls").agg(F.first("n_shingles").alias("size"))
-
-
-def _filtered(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Lists ``(token, part, grp, size)`` without the groups whose size fits no other group of the list.
+def _filtered(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct rows ``(token, part, grp, size)`` of lists without the groups whose size fits no other group of the list.
 
-    Of all sizes, the next ones on either side are those that fit if any does.  A list of one part is ordered as a
-    whole, which its usual length bounds; parts of a salted list stay as they are.
+    Of all sizes, the next ones on either side are those that fit if any does.  A list of one part, which is named as
+    the list, is ordered as a whole, which its usual length bounds; parts of a salted list stay as they are.  All of it
+    happens where one shuffle by part has put the rows.
     """
-    parts = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("token")
-    whole = lists.join(parts, "token", "left_anti")
-    rest = lists.join(parts, "token", "left_semi")
-    by_size = W.partitionBy("token").orderBy("size", "grp")
+    by_size = W.partitionBy("part").orderBy("size", "grp")
     fits = (F.lag("size").over(by_size) * 100 >= percent * F.col("size")) | (F.lead("size").over(by_size) * percent <= 100 * F.col("size"))
-    return whole.withColumn("fits", F.coalesce(fits, F.lit(False))).filter("fits").drop("fits").unionByName(rest)
+    once = lists.repartition("part").distinct()
+    return once.withColumn("fits", (F.col("token") != F.col("part")) | F.coalesce(fits, F.lit(False))).filter("fits").drop("fits")
 
 
 def _expanded(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -425,21 +431,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     a text of fewer words has one shingle of them all.  A null text, or one without words, has size 0 and links
     with nothing.  Ids must be unique but for repeated rows; a row with a null id is its own component, null.
     """
-    counts = sketch(docs, k, text_col)
-    sig = materialize(signatures(docs, counts, percent, k, id_col, text_col), "signatures")
+    sig = materialize(signatures(docs, sketch(docs, k, text_col), percent, k, id_col, text_col), "signatures")
+    release()  # of the driver: the sketch
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     slim = materialize(sig.select("doc_id", "n_shingles", "cls", "grp", "num"), "documents")
     known = slim.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("cid")), "classes")
-    total = named.agg(F.sum(F.length("ranks"))).first()[0] or 0
-    parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PART)))
+    classes = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("cid"), F.min("grp").alias("grp"), F.min("n_shingles").alias("size")), "classes")
+    total, n_docs = named.agg(F.sum(F.length("ranks")), F.count("*")).first()
+    parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // PER_PART)))
 
     members = _shared_lists(_postings(named, parts), parts)
-    lists = materialize(members.join(known.select("num", "grp", F.col("n_shingles").alias("size")), "num").select("token", "part", "grp", "size").distinct(), "lists", release=True)
-    groups = materialize(_grouped(known), "groups")
-    rest = materialize(_expanded(_filtered(lists, groups, percent), groups), "members")
+    members = members.join(known.select("num", "grp", F.col("n_shingles").alias("size")), "num").select("token", "part", "grp", "size")
+    lists = materialize(_filtered(members, percent), "lists", release=True)
+    rest = materialize(_expanded(lists, classes.select("grp", "cls", "size")), "members")
     drop(lists)
-    drop(groups)
     wanted = rest.select(F.col("cid").alias("cls")).distinct()
     of = named.select("cls", F.col("n_shingles").alias("size"), "bits").join(wanted, "cls").dropDuplicates(["cls"])
     bits = materialize(of.select(F.col("cls").alias("cid"), "size", "bits"), "bitmaps", release=True)
@@ -448,43 +453,59 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     def as_pairs(df, a, b):
         return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
-    links = checked = labels = last = None
+    # links (a > b) of the rounds so far, contracted by one step each: what a class is linked to is in its component
+    forest = checked = last = None
     for step in range(STAR_ROUNDS + 1):
-        degree = rest.groupBy("cid").agg(F.count("*").alias("degree"))
-        state = degree.withColumn("comp", F.col("cid")) if labels is None else degree.join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        state = rest.groupBy("cid").agg(F.count("*").alias("degree"))
+        if forest is None:
+            state = state.withColumn("comp", F.col("cid"))
+        else:
+            labels = forest.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
+            state = state.join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         seen = materialize(rest.select("token", "part", "cid", "size").join(state, "cid"), "state")
-        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "cid", "size", "comp")).alias("top")).filter("lo < hi")
+        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "cid", "size", "comp")).alias("top"), F.count("*").alias("n")).filter("lo < hi")
         # the leader goes to each part of its list, so that the join's key is as salted as the list is
-        leaders = seen.select("token", "part").distinct().join(mixed.select("token", "top"), "token")
-        led = materialize(seen.join(leaders, ["token", "part"]).select("token", "part", "cid", "size", "comp", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.comp").alias("leader_comp")), "led")
+        leaders = seen.select("token", "part").distinct().join(mixed.select("token", "top", "n"), "token")
+        led = materialize(seen.join(leaders, ["token", "part"]).select("token", "part", "cid", "size", "comp", F.col("top.cid").alias("leader"), F.col("top.size").alias("leader_size"), F.col("top.comp").alias("leader_comp"), "n"), "led")
         drop(rest)
         drop(seen)
         drop(last)
-        if led.isEmpty():
+        # members outside of the leader's component meet all of their list
+        meetings = led.filter("comp <> leader_comp").agg(F.sum("n")).first()[0]
+        if not meetings:
             break
-        if step == STAR_ROUNDS:
+        final = step == STAR_ROUNDS or (step > 0 and meetings <= FEW_MEETINGS * n_docs)
+        if final:
             found = _across(led, bits, percent).distinct()
         else:
             fits = (F.col("comp") != F.col("leader_comp")) & (100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size"))
             found = possible(as_pairs(led.filter(fits), "cid", "leader").distinct(), bits, percent)
         fresh = materialize(found if checked is None else found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            more = verify(fresh, docs, classes, percent, k, id_col, text_col)
-            links = more if links is None else materialize(links.union(more), "links")
-            checked = fresh if checked is None else materialize(checked.union(fresh), "checked")
-            labels = connected_components(links, "a", "b").withColumnRenamed("id", "cid")
+            more = verify(fresh, docs, classes, percent, k, id_col, text_col).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            links = more if forest is None else forest.union(more)
+            if final:
+                forest = links
+            else:
+                contracted = materialize(contract(links), "forest")
+                drop(forest)
+                forest = contracted
+            checked = fresh if checked is None else checked.union(fresh)
+        if final:
+            break
         rest, last = led.filter("cid <> leader"), led
 
-    if labels is None:
-        component = classes.withColumn("component", F.col("cls"))
+    if forest is None:
+        component = classes.select("cls", "cid", F.col("cls").alias("component"))
     else:
-        component = classes.join(labels.withColumnRenamed("cid", "cls"), "cls", "left").select("cls", "cid", F.coalesce("component", "cls").alias("component"))
+        labels = connected_components(forest, "a", "b").withColumnRenamed("id", "cls")
+        component = classes.join(labels, "cls", "left").select("cls", "cid", F.coalesce("component", "cls").alias("component"))
     # components are named by their least document
     component = materialize(component, "of-class")
     least = component.groupBy("component").agg(F.min("cid").alias("component_id"))
-    final = materialize(component.join(least, "component").select("cls", "component_id"), "final")
+    named_by = component.join(least, "component").select("cls", "component_id")
     slim = slim.select("doc_id", "n_shingles", "cls")
-    joined = slim.filter("n_shingles > 0 and doc_id is not null").join(final, "cls").select("doc_id", "n_shingles", "component_id")
+    joined = slim.filter("n_shingles > 0 and doc_id is not null").join(named_by, "cls").select("doc_id", "n_shingles", "component_id")
     return joined.union(slim.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
 
 

@@ -21,6 +21,23 @@ def _star(pairs: DataFrame, keep_up: bool) -> DataFrame:
     )
 
 
+def _ordered(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    return edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def contract(cur: DataFrame) -> DataFrame:
+    """One round, a large star and a small star, over edges ``(a, b)`` with ``a > b``: edges of the same components.
+
+    Copies of an edge change nothing; the edges of the large star keep theirs, which the small star's distinct drops.
+    """
+    both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
+        cur.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    )
+    large = _star(both, True).filter("a != b")
+    return _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False).filter("a != b").distinct()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every vertex with an edge to another vertex; ``component`` is the least id.
 
@@ -28,21 +45,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     not returned: callers attach them with a left join.  Each round writes its edges to the shared folder.
     Rounds are O(log^2 n) in the longest path in theory and a handful in practice.
     """
-    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    cur = materialize(
-        edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct(),
-        "cc",
-    )
+    cur = materialize(_ordered(edges, src, dst), "cc")
     seen = None
     for _ in range(max_rounds):
-        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            cur.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        large = _star(both, True).filter("a != b").distinct()
-        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False).filter("a != b").distinct()
-        nxt = materialize(small, "cc")
+        nxt = materialize(contract(cur), "cc")
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(cur)
         cur = nxt

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlink.llm import bpe, decontaminate, embedding_dedup, html_extract, langid, ngram_join, quality, quote_threads, suffix_dedup, token_store
+from strandlink.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, cid long, token int, slot string, rep int"
 
@@ -204,6 +205,32 @@ def test_ngram_join_blocks_of_components(spark, monkeypatch):
     assert got == dict(enumerate(roots(len(sets), edges)))
 
 
+def test_ngram_join_writes_few_tables(spark, monkeypatch):
+    """Links of several rounds are contracted by one step each, and little that is left meets at once after the first."""
+    texts, tables, settled = [], [], []
+    for g in range(4):  # chains: each text resembles its neighbours only, so no leader reaches all of a list
+        words = [f"c{g}w{k}" for k in range(200)]
+        texts += [" ".join(words[5 * j : 5 * j + 90]) for j in range(20)]
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "materialize", lambda df, label, *a, f=module.materialize, **b: tables.append(label) or f(df, label, *a, **b))
+    monkeypatch.setattr(ngram_join, "connected_components", lambda *a, f=ngram_join.connected_components: settled.append(1) or f(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert got == dict(enumerate(roots(len(sets), edges))) and len(set(got.values())) == 4
+    assert len(settled) == 1 and tables.count("led") == 2, (len(settled), tables)
+
+
+def test_ngram_join_ranks_of_counts(spark):
+    """Ranks are those of the plain formula, and the counters stay as they are."""
+    counts = np.random.default_rng(5).poisson(30, 1 << ngram_join.SKETCH_BITS)
+    counts[::1000] += 5000
+    before = counts.copy()
+    usual = float(np.median(counts))
+    want = np.floor(np.log2(np.maximum(counts - usual - 3 * np.sqrt(usual), 1))).astype(np.uint8)
+    assert (ngram_join.ranks_of(counts) == want).all() and (counts == before).all() and want.max() == 12
+
+
 def test_parity_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 7, 40, 300, 3000):

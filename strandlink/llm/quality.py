@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlink.llm.common import crc_mod, map_arrow, steps
+from strandlink.llm.common import crc_mod, map_arrow, release, steps
 from strandlink.plans.stages import drop, materialize
 from strandlink.llm.features import bounded_ids, char_ngrams, characters, lowered, utf8, word_buckets
 
@@ -157,8 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Embeddings:
     within = _within(sizes.sort_values(["h", "id"]))
     got = sorted((r["id"], r["text"], r["y"]) for r in sample.filter(F.col("id").isin(within)).collect()) if within else []
     drop(sample)
-    texts, ys = [t for _, t, _ in got], [y for _, _, y in got]
-    return train(texts, np.array(ys, np.int64))
+    texts, ys = [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
+    del got
+    model = train(texts, ys)
+    del texts
+    release()  # the driver goes on with the model alone
+    return model
 
 
 def _scores(m: Embeddings, texts: pa.Array) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import weakref
 import re
 import time
 import zlib
@@ -231,6 +232,25 @@ def test_ngram_join_ranks_of_counts(spark):
     assert (ngram_join.ranks_of(counts) == want).all() and (counts == before).all() and want.max() == 12
 
 
+def test_quality_fit_gives_memory_back(spark, monkeypatch):
+    """The driver keeps the model alone: the sample's texts and features are freed before it goes on."""
+    alive, seen = [], []
+
+    class Texts(list):
+        pass
+
+    def train(texts, labels):
+        held = Texts(texts)
+        alive.append(weakref.ref(held))
+        return quality.Embeddings(np.zeros(1 << quality.BITS, np.float32), 0.0)
+
+    monkeypatch.setattr(quality, "train", train)
+    monkeypatch.setattr(quality, "release", lambda: seen.append([x() for x in alive]))
+    docs = docs_frame(spark, [f"text {k}" for k in range(40)])
+    quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    assert seen == [[None]]
+
+
 def test_parity_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 7, 40, 300, 3000):

@@ -13,8 +13,10 @@
    is in the most lists.  The leader then leaves the list, since its pairs are settled.  Verified links are contracted
    by one step towards their components, and members that have met in one do not meet again.
 5. What lists still hold after the rounds, or after the first if it is little, is compared in blocks:
-   members outside of a list's largest component with each other and with that component's.  No cap applies anywhere,
-   so nothing is lost.  Components are settled once, at the end.
+   members outside of a list's largest component with each other and with that component's.  A pair that several lists
+   hold leaves the first of them only, and waves verify each member's likeliest pairs first: what these link need not
+   be looked at again, what a wave has left out meets in the next, and the last leaves out nothing.  No cap applies
+   anywhere, so nothing is lost.  Components are settled once, at the end.
 6. Sizes and parity bitmaps bound the overlap of a pair; pairs that can reach the similarity are verified by joining
    their compressed texts and intersecting their full shingle sets.
 """
@@ -44,6 +46,10 @@ PER_PART = 500_000
 STAR_ROUNDS = 3
 #: After the first, rounds end once what :func:`_across` would compare is no more than this for each document.
 FEW_MEETINGS = 64
+#: Pairs that each member of a block may send in the waves of the last round, which end once no block keeps any back.
+WAVES = (16, None)
+#: First lists of a class that its members carry, to tell which list a pair leaves.
+FIRST = 16
 
 
 def _sets(data, offsets, n, k):
@@ -337,11 +343,6 @@ def _lists(df: DataFrame, keys: list[str], columns: list[str], fn, schema: str)
     return arrow_map(ordered, run, schema)
 
 
-def _pairs(a, b):
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-
 def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sizes and parity bitmaps allow the similarity; ``bits`` is ``(cid, size, bits)``."""
 
@@ -453,6 +454,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     def as_pairs(df, a, b):
         return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
+    def verified(pairs):
+        return verify(pairs, docs, classes, percent, k, id_col, text_col).select(F.col("b").alias("a"), F.col("a").alias("b"))
+
     # links (a > b) of the rounds so far, contracted by one step each: what a class is linked to is in its component
     forest = checked = last = None
     for step in range(STAR_ROUNDS + 1):
@@ -460,8 +464,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         if forest is None:
             state = state.withColumn("comp", F.col("cid"))
         else:
-            labels = forest.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
-            state = state.join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+            state = _labelled(state, forest)
         seen = materialize(rest.select("token", "part", "cid", "size").join(state, "cid"), "state")
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "cid", "size", "comp")).alias("top"), F.count("*").alias("n")).filter("lo < hi")
         # the leader goes to each part of its list, so that the join's key is as salted as the list is
@@ -474,25 +477,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         meetings = led.filter("comp <> leader_comp").agg(F.sum("n")).first()[0]
         if not meetings:
             break
-        final = step == STAR_ROUNDS or (step > 0 and meetings <= FEW_MEETINGS * n_docs)
-        if final:
-            found = _across(led, bits, percent).distinct()
-        else:
-            fits = (F.col("comp") != F.col("leader_comp")) & (100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size"))
-            found = possible(as_pairs(led.filter(fits), "cid", "leader").distinct(), bits, percent)
+        if step == STAR_ROUNDS or (step > 0 and meetings <= FEW_MEETINGS * n_docs):
+            forest = _waves(led, bits, forest, checked, verified, percent)
+            break
+        fits = (F.col("comp") != F.col("leader_comp")) & (100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size"))
+        found = possible(as_pairs(led.filter(fits), "cid", "leader").distinct(), bits, percent)
         fresh = materialize(found if checked is None else found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            more = verify(fresh, docs, classes, percent, k, id_col, text_col).select(F.col("b").alias("a"), F.col("a").alias("b"))
-            links = more if forest is None else forest.union(more)
-            if final:
-                forest = links
-            else:
-                contracted = materialize(contract(links), "forest")
-                drop(forest)
-                forest = contracted
+            more = verified(fresh)
+            contracted = materialize(contract(more if forest is None else forest.union(more)), "forest")
+            drop(forest)
+            forest = contracted
             checked = fresh if checked is None else checked.union(fresh)
-        if final:
-            break
         rest, last = led.filter("cid <> leader"), led
 
     if forest is None:
@@ -509,11 +505,54 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     return joined.union(slim.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", "doc_id"))
 
 
-def _across(led: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within lists that sizes and parity bitmaps allow, by blocks of two chunks.
+def _labelled(rows: DataFrame, forest: DataFrame) -> DataFrame:
+    """Rows with a class ``cid`` and, as ``comp``, the least class that contracted links lead it to."""
+    labels = forest.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
+    return rows.join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+
+
+def _waves(led: DataFrame, bits: DataFrame, forest: DataFrame | None, checked: DataFrame | None, verified, percent: int) -> DataFrame | None:
+    """The links ``forest`` with those that settle what ``led`` still holds; ``verified`` keeps the links of some pairs.
+
+    Two components whose members all resemble each other need one link, not all of theirs: each wave verifies a few pairs of
+    each member and contracts what links.  Lists that have left pairs out meet again, with the new components.
+    """
+    left = led
+    for quota in WAVES:
+        met = materialize(_across(left, bits, percent, quota), "met")
+        found = met.filter("a is not null").select("a", "b").distinct()
+        fresh = materialize(found if checked is None else found.join(checked, ["a", "b"], "left_anti"), "pairs")
+        again = met.filter("a is null").select("token").distinct()
+        done = quota is None or again.isEmpty()
+        if not fresh.isEmpty():
+            more = verified(fresh)
+            forest = more if forest is None else forest.union(more)
+            for _ in range(0 if done else 2):  # the likeliest pairs make long paths
+                forest = materialize(contract(forest), "forest")
+            checked = fresh if checked is None else checked.union(fresh)
+        if done:
+            return forest
+        left = left.select("token", "part", "cid", "size").join(again, "token", "left_semi")
+        left = materialize(left.withColumn("comp", F.col("cid")) if forest is None else _labelled(left, forest), "left")
+    return forest
+
+
+def _firsts(led: DataFrame) -> DataFrame:
+    """``(cid, firsts)``: the least names, ascending, of the lists that hold a class."""
+    by_name = W.partitionBy("cid").orderBy("token")
+    least = led.select("cid", "token").withColumn("at", F.row_number().over(by_name)).filter(F.col("at") <= FIRST)
+    return least.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("firsts"))
+
+
+def _across(led: DataFrame, bits: DataFrame, percent: int, quota: int | None = None) -> DataFrame:
+    """``(a, b, token)``: pairs of different components within lists that sizes and parity bitmaps allow, by blocks of two
+    chunks, without ``token``; and without a pair the lists that left pairs out, as each row of a block sends but
+    ``quota`` pairs, those whose bitmaps leave the most room.
 
     A list's largest component needs no comparison with itself: its chunks meet only those of the others, so a list
-    that one component fills costs what its few others cost.  Pairs that fail never leave their block.
+    that one component fills costs what its few others cost.  Pairs that fail never leave their block, and neither do
+    pairs that another list of a lesser name sends.  A row knows the first ``FIRST`` of its lists: if two rows share
+    one of these, the least they share is the least of all lists they share, so the pair leaves just there.
     """
     counts = led.groupBy("token", "comp").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).filter("most.n < all")
@@ -525,20 +564,25 @@ def _across(led: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     others = F.when(inner, F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(-F.col("majors"), F.col("minors") - 1))
     blocks = (
         led.join(homes, ["token", "part"])
-        .join(bits.select("cid", "bits"), "cid")
-        .select("token", "comp", "cid", "size", "bits", chunk.alias("c"), F.explode(others).alias("o"))
-        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "size", "cid", "comp", "c", "bits")
+        .join(bits.select("cid", "bits").join(_firsts(led), "cid"), "cid")
+        .select("token", "comp", "cid", "size", "bits", "firsts", chunk.alias("c"), F.explode(others).alias("o"))
+        .select("token", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "size", "cid", "comp", "c", "bits", "firsts")
     )
 
     def cross(cols, begin):
-        _, ci, cj, size, cid, comp, c, blobs = cols
+        token, ci, cj, size, cid, comp, c, blobs, firsts = cols
         ends = np.append(begin[1:], len(cid))
-        out_a, out_b = [], []
+        out_a, out_b, cut = [], [], []
         for s, e in zip(begin.tolist(), ends.tolist()):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
             sz, cm, cc, ids = size[s:e].astype(np.int64), comp[s:e], c[s:e], cid[s:e]
             widths = np.array([len(x) // 8 for x in blobs[s:e]])
+            # names of earlier lists, no list's name where there are fewer
+            earlier = np.full((e - s, FIRST), token[s])
+            for k, x in enumerate(firsts[s:e]):
+                earlier[k, : len(x)] = np.minimum(x, token[s])
+            of_i, of_j, spare = [], [], []
             # rows ascend by size, so bitmaps ascend by length; those that fit are as long or twice as long
             for w in np.unique(widths):
                 own = np.flatnonzero(widths == w)
@@ -553,13 +597,39 @@ def _across(led: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                         ok &= cc[j] != cc[i]
                     where = np.flatnonzero(ok)
                     if len(where):
-                        odd = np.bitwise_count(maps[at + 1 + where] ^ maps[at]).sum(1, dtype=np.int64)
-                        j = j[where[odd <= room[where]]]
-                        out_a.append(np.full(len(j), ids[i]))
-                        out_b.append(ids[j])
+                        left = room[where] - np.bitwise_count(maps[at + 1 + where] ^ maps[at]).sum(1, dtype=np.int64)
+                        j, left = j[where[left >= 0]], left[left >= 0]
+                        mine = earlier[i][earlier[i] < token[s]]
+                        if len(j) and len(mine):
+                            once = ~np.isin(earlier[j], mine).any(1)
+                            j, left = j[once], left[once]
+                        of_i.append(np.full(len(j), i))
+                        of_j.append(j)
+                        spare.append(left)
+            if not of_i:
+                continue
+            i, j, left = map(np.concatenate, (of_i, of_j, spare))
+            if quota is not None:
+                sent = _likeliest(i, j, left, quota) | _likeliest(j, i, left, quota)
+                if not sent.all():
+                    cut.append(token[s])
+                i, j = i[sent], j[sent]
+            out_a.append(ids[i])
+            out_b.append(ids[j])
         if out_a:
             a, b = np.concatenate(out_a), np.concatenate(out_b)
-            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield _pairs(both[0], both[1])
+            a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            cut = np.unique(np.array(cut, np.int64))
+            none = pa.nulls(len(cut), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(cut)])], names=["a", "b", "token"])
+
+    return _lists(blocks, ["token", "ci", "cj"], ["size", "cid", "comp", "c", "bits", "firsts"], cross, "a long, b long, token long")
 
-    return _lists(blocks, ["token", "ci", "cj"], ["size", "cid", "comp", "c", "bits"], cross, "a long, b long")
+
+def _likeliest(of: np.ndarray, other: np.ndarray, spare: np.ndarray, quota: int) -> np.ndarray:
+    """Which pairs are among the ``quota`` of their ``of`` that spare the most."""
+    order = np.lexsort((other, -spare, of))
+    begin = np.flatnonzero(np.append(True, np.diff(of[order]) != 0)) if len(of) else np.zeros(0, np.int64)
+    out = np.zeros(len(of), bool)
+    out[order] = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of)))) < quota
+    return out

@@ -206,6 +206,47 @@ def test_ngram_join_blocks_of_components(spark, monkeypatch):
     assert got == dict(enumerate(roots(len(sets), edges)))
 
 
+def test_ngram_join_sends_pairs_in_proportion(spark, monkeypatch):
+    """Near copies that no leader has linked, in many lists: twice as many send some twice as many pairs, not four times."""
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "WAVES", (1, None), raising=False)
+    across, sent = ngram_join._across, []
+    monkeypatch.setattr(ngram_join, "_across", lambda *a: sent.append(across(*a)) or sent[-1])
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    rows = {}
+    for n in (40, 80):
+        texts = [" ".join(base[:k] + [f"n{n}x{j}"] + base[k + 1 :]) for j in range(n) for k in [rng.randrange(200)]]
+        sent.clear()
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
+        assert set(got.values()) == {0} and len(got) == n
+        rows[n] = sum(x.filter("a is not null").count() for x in sent)
+    assert rows[80] < 3 * rows[40] and rows[80] < 80 * 79 / 2, rows
+
+
+@pytest.mark.parametrize("first", [1, 16])
+def test_ngram_join_waves_lose_no_link(spark, monkeypatch, first):
+    """The likeliest pairs fail, and the one link that counts is in no first wave; clusters hold many that nearly link."""
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "WAVES", (1, None))
+    monkeypatch.setattr(ngram_join, "FIRST", first)
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    rng = random.Random(22)
+    texts = []
+    for g in range(3):  # each text differs from the others of its group by 17 % to 25 % of their shingles, some by less
+        base = [f"b{g}w{k}" for k in range(150)]
+        for j in range(25):
+            w = list(base)
+            for k in rng.sample(range(0, 150, 5), rng.choice((1, 2, 3, 3, 3, 4))):
+                w[k] = f"d{g}x{j}x{k}"
+            texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, texts)).collect()}
+    assert got == dict(enumerate(roots(len(sets), edges)))
+    assert 0 < len(edges) < 3 * 25 * 24 / 2
+
+
 def test_ngram_join_writes_few_tables(spark, monkeypatch):
     """Links of several rounds are contracted by one step each, and little that is left meets at once after the first."""
     texts, tables, settled = [], [], []

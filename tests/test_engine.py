@@ -480,3 +480,43 @@ def test_segment_keys_take_no_shuffle(spark):
     reps = frame(spark, mutated(20, seed=3, length=30)).select(F.col("seq_no").alias("rep"), "seq")
     for side in candidates.segment_index(reps, 3):
         assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_profiles_are_neither_written_nor_counted_one_by_one(spark, monkeypatch):
+    """Sequences that are all near each other, copies in pieces: no stage holds more rows than there are sequences."""
+    monkeypatch.setattr(candidates, "COPIES", 3)
+    monkeypatch.setattr(candidates, "ROWS", 40)
+    written, plain = [], candidates.materialize
+
+    def told(df, label, release=False):
+        out = plain(df, label, release)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(candidates, "materialize", told)
+    rng = random.Random(33)
+    seqs = ["".join(rng.choice("acgt") for _ in range(rng.randint(5, 9))) for _ in range(50)] + ["acgta"] * 8 + [""] * 7 + mutated(20, seed=34, length=30)
+    df = frame(spark, seqs)
+    odd = [parities(s) for s in seqs]
+    want = sorted((i, j, d) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if (d := -(-len(odd[i] ^ odd[j]) // 10)) <= 2)
+    assert len(want) > 10 * len(seqs)
+    for join in (candidates.profile_join, candidates.pivot_join):
+        assert sorted(map(tuple, join(df, 2).collect())) == want
+    counts = candidates.pairs_by_bound(df, 2)
+    assert sorted(map(tuple, counts.collect())) == [(d, sum(x[2] == d for x in want)) for d in range(3)]
+    assert max(written) <= len(seqs)
+    assert candidates._met(candidates.word_classes(df), 20, "copies").count() <= 3  # one pair of tiles, a row for each bound
+
+
+def test_tiles_of_profiles_send_a_row_equally_often_at_any_size():
+    shape = [max(1, 100 - abs(s - 60)) for s in range(300)]
+    sent = []
+    for times in (10, 100):
+        held = {s: n * times for s, n in enumerate(shape)}
+        first, parts, lowest, highest = candidates._tiles(held, 20)
+        assert max(held[s] / parts[s] for s in held) <= candidates.WIDE_CHUNK
+        sent.append(sum(held[s] * (highest[first[s]] - lowest[first[s]] + 1) for s in held) / sum(held.values()))
+        for a in held:  # rows within the bound are in tiles that meet
+            for b in range(a, min(a + 21, 300)):
+                assert lowest[first[b]] <= first[a] and highest[first[a]] >= first[b] + parts[b] - 1
+    assert sent[1] <= 1.2 * sent[0] and sent[1] < 15

@@ -520,3 +520,40 @@ def test_tiles_of_profiles_send_a_row_equally_often_at_any_size():
             for b in range(a, min(a + 21, 300)):
                 assert lowest[first[b]] <= first[a] and highest[first[a]] >= first[b] + parts[b] - 1
     assert sent[1] <= 1.2 * sent[0] and sent[1] < 15
+
+
+def test_a_full_bitmap_loses_no_probe_and_an_empty_one_passes_none(spark):
+    reps = frame(spark, mutated(60, seed=41, length=40)).select(F.col("seq_no").alias("rep"), "seq")
+    filed, probes = candidates.segment_index(reps, 4)
+    want = sorted(map(tuple, probes.join(filed.select("key").distinct(), "key", "left_semi").select("rep", "key").distinct().collect()))
+    for bits in (64, 1 << 16):
+        assert sorted(map(tuple, candidates.useful_probes(filed, probes, bits).collect())) == want
+    assert candidates.useful_probes(filed.limit(0), probes, 64).count() == 0
+
+
+def test_short_pairs_do_not_take_the_steps_of_long_ones(monkeypatch):
+    from strandlink.operators import align
+
+    rng = random.Random(43)
+    pairs = [(s, s[:-1] + "ac") for s in ("".join(rng.choice("acgt") for _ in range(n)) for n in [20] * 200 + [60] * 100 + [700])]
+    steps, plain = [], align.diff_batch
+
+    def counted(queries, targets, *rest):
+        steps.append(len(queries) * max(len(q) + len(t) for q, t in zip(queries, targets)))
+        return plain(queries, targets, *rest)
+
+    want = [align.align_diff(q, t, ClusterConfig(resolution=8)) for q, t in pairs]
+    monkeypatch.setattr(align, "diff_batch", counted)
+    assert list(align.diffs(*zip(*pairs), ClusterConfig(resolution=8), True)) == want
+    assert sum(steps) <= 1.5 * sum(len(q) + len(t) for q, t in pairs)
+
+
+def test_leader_rounds_end_when_they_take_nothing_away(spark, monkeypatch):
+    """Sequences of one common half that are far apart: leaders link none of them, and one round shows it."""
+    rng = random.Random(47)
+    half = "".join(rng.choice("acgt") for _ in range(30))
+    seqs = [half + "".join(rng.choice("acgt") for _ in range(30)) for _ in range(60)]
+    counters = cluster.Counters()
+    got = cluster.clusters(frame(spark, seqs), ClusterConfig(resolution=2), counters).collect()
+    assert len({r["cluster_id"] for r in got}) == 60
+    assert counters.rounds == 2
